@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 FANOUT = 8
 _SALT = "_salt"
@@ -40,22 +40,28 @@ def rows_of(df: DataFrame, keys: DataFrame, key: str, spread: Sequence[str]) ->
     return spread_join(df, wanted, [key], "left_semi", spread)
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key is in ``keys``; a NULL key is a key like any other."""
-    left, right = df.alias("l"), keys.select(*key).alias("r")
-    return left.join(right, _matches(key), "left_semi")
+def keep_keys(
+    df: DataFrame, keys: DataFrame, key: Sequence[str], plain: Sequence[str] = ()
+) -> DataFrame:
+    """Rows whose key is in ``keys``; a NULL key is a key like any other.
+
+    ``plain`` columns are never NULL: compared directly, they can prune partitions.
+    """
+    return _matching(df, keys, key, plain, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``keys``."""
-    left, right = df.alias("l"), keys.select(*key).alias("r")
-    return left.join(right, _matches(key), "left_anti")
+    return _matching(df, keys, key, (), "left_anti")
 
 
-def _matches(key: Sequence[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")) for name in key]
-    )
+def _matching(
+    df: DataFrame, keys: DataFrame, key: Sequence[str], plain: Sequence[str], how: str
+) -> DataFrame:
+    left, right = df.alias("l"), keys.select(*key, *plain).alias("r")
+    same = [F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")) for name in key]
+    same += [F.col(f"l.{name}") == F.col(f"r.{name}") for name in plain]
+    return left.join(right, reduce(lambda a, b: a & b, same), how)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

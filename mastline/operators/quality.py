@@ -72,8 +72,3 @@ def check_reference(child: DataFrame, column: str, parent: DataFrame, key: str)
 def replayed_rows(raw: DataFrame) -> DataFrame:
     """Record versions loaded more than once from the same batch."""
     return check_key(raw, ["xdr_id", "record_version", "batch_id"])
-
-
-def unpurged_files(landing: DataFrame, history: DataFrame) -> DataFrame:
-    """Files that were loaded and still lie in the landing folder."""
-    return landing.join(history.select(F.col("file").alias("path")), "path", "left_semi")

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mastline.functions.usage import hour_of, hours_between
+from mastline.schemas import XDR
 
 _ORDER = ["record_version", "ingest_ts", "batch_id"]
 
@@ -14,6 +15,11 @@ def fingerprint(columns: Sequence[str]) -> Column:
     return F.xxhash64(*columns)
 
 
+def version_order() -> Column:
+    """The order of versions as one value, for keeping the greatest; NULL is the least."""
+    return F.struct(*_ORDER, fingerprint(XDR.names))
+
+
 def latest_versions(raw: DataFrame, key: str = "xdr_id") -> DataFrame:
     """One whole row per key: highest version, then latest ingest, then latest batch.
 

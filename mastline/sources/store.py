@@ -8,7 +8,7 @@ version exists once its row is in the commit table.
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from mastline.operators.joins import drop_keys, keep_keys, union_all
 
@@ -111,9 +111,7 @@ class KeyedTable:
         """Write the whole table as a new base. A version already committed stays."""
         if self.has(version):
             return
-        df.select(*self.columns).write.mode("overwrite").parquet(
-            self._versions.folder("base", version)
-        )
+        self._typed(df).write.mode("overwrite").parquet(self._versions.folder("base", version))
         self._versions.commit("base", version)
 
     def apply(self, rows: DataFrame, keys: DataFrame, version: int) -> DataFrame:
@@ -122,12 +120,31 @@ class KeyedTable:
         Rows that come out as they were are not written, so later tables do not see them.
         """
         if not self.has(version):
-            self._difference(rows, keep_keys(self.read(), keys, self.key)).write.mode(
+            self._difference(self._typed(rows), keep_keys(self.read(), keys, self.key)).write.mode(
                 "overwrite"
             ).parquet(self._versions.folder("changes", version))
             self._versions.commit("changes", version)
         return self.changes_of(version)
 
+    def _typed(self, df: DataFrame, *more: str) -> DataFrame:
+        """The declared columns in their declared types, as every version is read back."""
+        declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        return df.select(*declared, *more)
+
+    def upsert(self, rows: DataFrame, version: int, removed: Column | None = None) -> None:
+        """Make ``rows`` the current image of their keys without reading the table.
+
+        ``removed`` marks keys that are gone. Replaying a version writes it once.
+        """
+        if self.has(version):
+            return
+        gone = F.lit(False) if removed is None else removed
+        marked = rows.withColumns({_REMOVED: gone, _EXISTED: F.lit(None).cast("boolean")})
+        self._typed(marked, *_FLAGS).write.mode("overwrite").parquet(
+            self._versions.folder("changes", version)
+        )
+        self._versions.commit("changes", version)
+
     def _difference(self, rows: DataFrame, before: DataFrame) -> DataFrame:
         values = [name for name in self.columns if name not in self.key]
         images = union_all(
