@@ -4,7 +4,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mastline.operators import features as f
 from mastline.operators.changes import affected_by_feature
@@ -14,7 +14,6 @@ from mastline.plans.base import BaseTables, Change
 from mastline.sources.store import KeyedTable
 
 _KEY = "customer_id"
-_LONG, _INT, _MONEY = T.LongType(), T.IntegerType(), T.DecimalType(22, 2)
 CHILDREN = ["subscription_features", "billing_features", "care_features"]
 # refresh order: every table after the tables it reads
 TABLES = [*CHILDREN, "customer_features", "customer_tags"]
@@ -62,10 +61,7 @@ class TagTables:
     def __init__(self, spark: SparkSession, path: str, full_ratio: float = 0.5):
         self.spark, self.path, self.full_ratio = spark, path, full_ratio
         self.tables = {
-            name: KeyedTable(
-                spark, f"{path}/{name}", [_KEY], T.StructType.fromDDL(_DDL[name])
-            )
-            for name in TABLES
+            name: KeyedTable(spark, f"{path}/{name}", [_KEY], _DDL[name]) for name in TABLES
         }
 
     def read(self, name: str = "customer_tags") -> DataFrame:

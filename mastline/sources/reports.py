@@ -1,15 +1,15 @@
 """Run documents in, reports out."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_PROFILE = T.StructType.fromDDL(
+_PROFILE = (
     "data struct<jobSummary: struct<"
     "stats: struct<inputOutputStats: map<string, string>>,"
     "meter: struct<measurements: array<struct<key: string, unit: string, value: string>>>>>"
 )
 
 
-def scan_documents(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFrame:
+def scan_documents(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """JSON documents with a declared schema, and the folder (run) and file they came from."""
     return (
         spark.read.schema(schema)

@@ -92,9 +92,11 @@ class KeyedTable:
     changed key; ``compact`` folds the changes into a new base.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], schema: T.StructType):
+    def __init__(
+        self, spark: SparkSession, path: str, key: Sequence[str], schema: T.StructType | str
+    ):
         self.spark, self.key = spark, list(key)
-        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self._versions = _Versions(spark, path)
 
     @property

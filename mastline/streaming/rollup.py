@@ -34,7 +34,7 @@ _CONTRIBUTIONS = (
     " n_bytes_ul bigint, rated_amount decimal(22,4), n_rated_amount bigint, _version bigint,"
     " day date"
 )
-HOURLY = T.StructType.fromDDL(
+HOURLY = (
     "event_hour timestamp_ntz, cell_id string, rat string, sessions bigint, uniq_subs bigint,"
     " uniq_subs_approx bigint, bytes_dl bigint, bytes_ul bigint, revenue decimal(22,4),"
     " very_late_records bigint"
