@@ -1,8 +1,6 @@
 """Keyed refresh: recompute the customers a change touches, table by table."""
 
-import datetime as dt
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,17 +9,12 @@ from mastline.operators.changes import affected_by_feature
 from mastline.operators.joins import rows_of, union_all
 from mastline.operators.tags import customer_tags
 from mastline.plans.base import BaseTables, Change
-from mastline.sources.store import KeyedTable
+from mastline.sources.store import Commit, CommitLog, KeyedTable, write_counted
 
 _KEY = "customer_id"
 CHILDREN = ["subscription_features", "billing_features", "care_features"]
 # refresh order: every table after the tables it reads
 TABLES = [*CHILDREN, "customer_features", "customer_tags"]
-
-HISTORY = (
-    "version bigint, table_name string, refresh_mode string, affected_keys bigint,"
-    " rows_inserted bigint, rows_deleted bigint, started_at timestamp, finished_at timestamp"
-)
 _DDL = {
     "subscription_features": "customer_id bigint, active_subscriptions bigint,"
     " monthly_spend decimal(22,2), mobile_lines bigint, broadband_lines bigint,"
@@ -38,127 +31,113 @@ _DDL = {
 }
 
 
-@dataclass(frozen=True)
-class Refresh:
-    """What one refresh did to one table."""
-
-    table: str
-    mode: str
-    affected_keys: int
-    rows_inserted: int
-    rows_deleted: int
-    started_at: dt.datetime
-    finished_at: dt.datetime
+# keys to recompute and their number
+Keys = tuple[DataFrame, int]
 
 
 class TagTables:
     """The five derived tables below one folder, refreshed in dependency order.
 
-    A refresh is a version. Tables already committed under a version are left alone, so a
-    refresh that was cut short can simply be run again.
+    A refresh is a version. It becomes visible for all five tables at once, when its
+    commits are written; a refresh cut short before that is simply run again.
     """
 
     def __init__(self, spark: SparkSession, path: str, full_ratio: float = 0.5):
         self.spark, self.path, self.full_ratio = spark, path, full_ratio
+        self.log = CommitLog(spark, f"{path}/commits")
         self.tables = {
-            name: KeyedTable(spark, f"{path}/{name}", [_KEY], _DDL[name]) for name in TABLES
+            name: KeyedTable(f"{path}/{name}", [_KEY], _DDL[name], self.log) for name in TABLES
         }
 
     def read(self, name: str = "customer_tags") -> DataFrame:
         return self.tables[name].read()
 
-    def next_version(self) -> int:
-        return self.tables["customer_tags"].next_version()
+    def history(self) -> DataFrame:
+        """What every refresh did to every table."""
+        return self.log.table().drop("kind")
 
-    def build(self, base: BaseTables) -> list[Refresh]:
+    def build(self, base: BaseTables) -> list[Commit]:
         """First build, or a rebuild of everything."""
-        version = self.next_version()
-        done = [self._full(name, base, version, affected=0) for name in TABLES]
-        self._record(version, done)
+        version = self.log.next_version()
+        done = [self._full(name, base, version) for name in TABLES]
+        self.log.write()
         return done
 
-    def refresh(
-        self, old: BaseTables, new: BaseTables, changes: Sequence[Change]
-    ) -> list[Refresh]:
+    def refresh(self, old: BaseTables, new: BaseTables, changes: Sequence[Change]) -> list[Commit]:
         """Bring all tables from the old base state to the new one."""
-        version = self.next_version()
-        keys = self._affected(old, new, changes, version)
+        version = self.log.next_version()
+        affected = self._affected(old, new, changes, version)
         done, reached = [], []
         for name in CHILDREN:
-            step, changed = self._step(name, new, version, keys.get(name))
-            done.append(step)
-            reached.append(changed)
-        if "customer_features" in keys:
-            reached.append(keys["customer_features"][0])
-        for name in TABLES[len(CHILDREN) :]:
-            ids = [ids for ids in reached if ids is not None]
-            found = None
-            if ids:
-                wanted = self._write_keys(union_all(ids).distinct(), version, name)
-                found = (wanted, wanted.count())
-            step, changed = self._step(name, new, version, found)
-            done.append(step)
-            reached = [changed]
-        self._record(version, done)
+            keys = affected.get(name)
+            done.append(self._step(name, new, version, keys))
+            reached.append(self._reached(done[-1], keys))
+        reached.append(affected.get("customer_features"))
+        keys = self._together([k for k in reached if k is not None], version)
+        done.append(self._step("customer_features", new, version, keys))
+        keys = self._reached(done[-1], keys)
+        done.append(self._step("customer_tags", new, version, keys))
+        self.log.write()
         return done
 
-    def history(self) -> DataFrame:
-        return self.spark.read.schema(HISTORY).parquet(f"{self.path}/history")
-
     def _affected(
         self, old: BaseTables, new: BaseTables, changes: Sequence[Change], version: int
-    ) -> dict[str, tuple[DataFrame, int]]:
+    ) -> dict[str, Keys]:
         """Keys to recompute per table and their number, written down once."""
         by_feature = affected_by_feature(changes, old, new)
         if not by_feature:
             return {}
         folder = f"{self.path}/affected/{version}"
-        union_all(
-            [ids.select(F.lit(name).alias("feature"), _KEY) for name, ids in by_feature.items()]
-        ).write.mode("overwrite").parquet(folder)
+        counts = write_counted(
+            union_all(
+                [ids.select(F.lit(name).alias("feature"), _KEY) for name, ids in by_feature.items()]
+            ),
+            folder,
+            **{name: F.count_if(F.col("feature") == name) for name in by_feature},
+        )
         written = self.spark.read.schema("feature string, customer_id bigint").parquet(folder)
-        counts = {row.feature: row["count"] for row in written.groupBy("feature").count().collect()}
         return {
             name: (written.filter(F.col("feature") == name).select(_KEY), n)
             for name, n in counts.items()
+            if n
         }
 
-    def _write_keys(self, keys: DataFrame, version: int, name: str) -> DataFrame:
-        folder = f"{self.path}/reached/{version}/{name}"
-        keys.write.mode("overwrite").parquet(folder)
-        return self.spark.read.schema("customer_id bigint").parquet(folder)
-
-    def _step(
-        self, name: str, new: BaseTables, version: int, found: tuple[DataFrame, int] | None
-    ) -> tuple[Refresh, DataFrame | None]:
-        """Refresh one table; also give the keys whose rows really changed."""
-        started = _now()
-        if found is None or found[1] == 0:
-            return Refresh(name, "NO_DATA", 0, 0, 0, started, _now()), None
-        keys, n = found
+    def _reached(self, done: Commit, keys: Keys | None) -> Keys | None:
+        """Keys whose rows really changed; after a full rebuild, all that might have."""
+        if done.kind != "changes":
+            return keys
+        changed = self.tables[done.table_name].changes_of(done.version).select(_KEY)
+        n = max(done.rows_inserted, done.rows_deleted)
+        return (changed, n) if n else None
+
+    def _together(self, reached: Sequence[Keys], version: int) -> Keys | None:
+        """Distinct keys of several sets."""
+        if len(reached) < 2:
+            return reached[0] if reached else None
+        folder = f"{self.path}/reached/{version}"
+        counts = write_counted(
+            union_all([keys for keys, _ in reached]).distinct(), folder, keys=F.count(F.lit(1))
+        )
+        return self.spark.read.schema("customer_id bigint").parquet(folder), counts["keys"]
+
+    def _step(self, name: str, new: BaseTables, version: int, found: Keys | None) -> Commit:
         table = self.tables[name]
-        if n > self.full_ratio * table.read().count():
-            return self._full(name, new, version, n), keys
+        if found is None:
+            return table.idle(version)
+        keys, n = found
+        if n > self.full_ratio * table.size():
+            return self._full(name, new, version, n)
         rows = self._rows(name, new, lambda df, spread: rows_of(df, keys, _KEY, spread))
         if name == "billing_features":
             accounts = rows_of(new.billing_account, keys, _KEY, ["account_id"])
             rows = f.billing_features(
                 rows_of(new.customer_bill, accounts, "account_id", ["bill_id"]), accounts
             )
-        changed = table.apply(rows, keys, version)
-        tally = changed.agg(
-            F.count_if(~F.col("_removed")).alias("inserted"),
-            F.count_if("_existed").alias("deleted"),
-        ).first()
-        step = Refresh(name, "INCREMENTAL", n, tally.inserted, tally.deleted, started, _now())
-        return step, changed.select(_KEY) if tally.inserted + tally.deleted else None
-
-    def _full(self, name: str, base: BaseTables, version: int, affected: int) -> Refresh:
-        started = _now()
-        table = self.tables[name]
-        before = table.read().count()
-        table.create(self._rows(name, base, lambda df, spread: df), version)
-        return Refresh(name, "FULL", affected, table.read().count(), before, started, _now())
+        return table.apply(rows, keys, version, n)
+
+    def _full(self, name: str, base: BaseTables, version: int, affected: int = 0) -> Commit:
+        rows = self._rows(name, base, lambda df, spread: df)
+        return self.tables[name].create(rows, version, affected)
 
     def _rows(
         self, name: str, base: BaseTables, reduced: Callable[[DataFrame, list[str]], DataFrame]
@@ -179,24 +158,6 @@ class TagTables:
             )
         return customer_tags(reduced(self.read("customer_features"), [_KEY]))
 
-    def _record(self, version: int, done: Sequence[Refresh]) -> None:
-        rows = [
-            (
-                version,
-                step.table,
-                step.mode,
-                step.affected_keys,
-                step.rows_inserted,
-                step.rows_deleted,
-                step.started_at,
-                step.finished_at,
-            )
-            for step in done
-        ]
-        self.spark.createDataFrame(rows, HISTORY).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/history"
-        )
-
 
 def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:
     """Seconds from the last source commit to finished tags, per version.
@@ -211,7 +172,3 @@ def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:
     last = committed.groupBy("version").agg(F.max("committed_at").alias("committed_at"))
     micros = F.unix_micros("ready_at") - F.unix_micros("committed_at")
     return ready.join(last, "version").select("version", (micros / 1e6).alias("seconds"))
-
-
-def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc)

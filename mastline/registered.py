@@ -53,13 +53,14 @@ def _hourly(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.hourly_cell_usage(sessions(_xdr(spark, sf), rollups.HOURLY_INPUT))
 
 
-def _changed(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "changed_customer")
-
-
 def _outcome(spark: SparkSession, sf: str, case: str):
-    base = fx.base_tables(spark, sf)
-    return base, *scenarios.run(case, base, _changed(spark, sf), fx.AS_OF)
+    """Base state, changed state and changes. The keys are a table, as a change feed's are."""
+    opened: dict[str, DataFrame] = {}
+    base = fx.base_tables(spark, sf, opened)
+    keys = fx.table(spark, sf, "changed_customer", opened)
+    if case in scenarios.BY_KEYS:
+        keys = publish(keys, new_folder(spark, "changed"))
+    return base, *scenarios.run(case, base, keys, fx.AS_OF)
 
 
 # --- usage pipeline

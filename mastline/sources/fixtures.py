@@ -90,23 +90,32 @@ select (c_custkey * 7919) % (SELECT COUNT(*) FROM customer) AS customer_id from
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, or a given one read from its file."""
-    if name not in DEFINITIONS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sources, text = DEFINITIONS[name]
-    inputs = {source: table(spark, sf_dir, source) for source in sources}
-    text = text.replace("{STRING}", "STRING")
-    for source in sources:
-        text = text.replace(f"from {source}", f"from {{{source}}}")
-        text = text.replace(f"FROM {source}", f"FROM {{{source}}}")
-    return spark.sql(text, **inputs)
-
-
-def base_tables(spark: SparkSession, sf_dir: str) -> BaseTables:
+def table(
+    spark: SparkSession, sf_dir: str, name: str, opened: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A derived table, or a given one read from its file. ``opened`` keeps what was read."""
+    opened = {} if opened is None else opened
+    if name not in opened:
+        if name not in DEFINITIONS:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            sources, text = DEFINITIONS[name]
+            inputs = {source: table(spark, sf_dir, source, opened) for source in sources}
+            text = text.replace("{STRING}", "STRING")
+            for source in sources:
+                text = text.replace(f"from {source}", f"from {{{source}}}")
+                text = text.replace(f"FROM {source}", f"FROM {{{source}}}")
+            opened[name] = spark.sql(text, **inputs)
+    return opened[name]
+
+
+def base_tables(
+    spark: SparkSession, sf_dir: str, opened: dict[str, DataFrame] | None = None
+) -> BaseTables:
+    opened = {} if opened is None else opened
     return BaseTables(
         **{
-            name: table(spark, sf_dir, "telco_customer" if name == "customer" else name)
+            name: table(spark, sf_dir, "telco_customer" if name == "customer" else name, opened)
             for name in BaseTables.NAMES
         }
     )

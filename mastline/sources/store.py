@@ -2,17 +2,25 @@
 
 Plain Parquet has no row updates, and overwriting a folder that a running job reads loses
 data. So nothing is ever overwritten in place: every version has its own folder, and a
-version exists once its row is in the commit table.
+version exists once its row is in the commit log.
 """
 
+import datetime as dt
 from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from dataclasses import astuple, dataclass
+
+from pyspark.sql import (
+    Column,
+    DataFrame,
+    Observation,
+    SparkSession,
+    Window,
+    functions as F,
+    types as T,
+)
 
 from mastline.operators.joins import drop_keys, keep_keys, union_all
 
-_COMMIT = "kind string, version bigint, committed_at timestamp"
 _REMOVED, _EXISTED, _VERSION = "_removed", "_existed", "_version"
 _FLAGS = [_REMOVED, _EXISTED]
 
@@ -25,127 +33,208 @@ def publish(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class _Versions:
-    """Commit table of one published table."""
+def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+    """Write a version folder and return counts taken while writing, without another job."""
+    seen = Observation()
+    observed = df.observe(
+        seen, *[F.coalesce(value, F.lit(0)).alias(name) for name, value in counts.items()]
+    )
+    observed.write.mode("overwrite").parquet(path)
+    return {name: int(value) for name, value in seen.get.items()}
+
+
+@dataclass(frozen=True)
+class Commit:
+    """One table brought to one version. ``kind`` names the folder: base, changes or none."""
+
+    version: int
+    table_name: str
+    kind: str
+    refresh_mode: str
+    affected_keys: int
+    rows_inserted: int
+    rows_deleted: int
+    started_at: dt.datetime
+    finished_at: dt.datetime
+
+
+class CommitLog:
+    """The commits of one or more tables. They count for other readers once written."""
+
+    SCHEMA = (
+        "version bigint, table_name string, kind string, refresh_mode string,"
+        " affected_keys bigint, rows_inserted bigint, rows_deleted bigint,"
+        " started_at timestamp, finished_at timestamp"
+    )
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._known: list[tuple[str, int]] | None = None
-
-    def commits(self) -> list[tuple[str, int]]:
-        """(kind, version) of every commit: one small row per refresh."""
-        if self._known is None:
-            try:
-                log = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-                self._known = sorted(
-                    {(row.kind, row.version) for row in log.select("kind", "version").collect()}
-                )
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                self._known = []
-        return self._known
-
-    def commit(self, kind: str, version: int) -> None:
-        self.spark.range(1, numPartitions=1).select(
-            F.lit(kind).alias("kind"),
-            F.lit(version).cast("long").alias("version"),
-            F.current_timestamp().alias("committed_at"),
-        ).write.mode("append").parquet(f"{self.path}/commits")
-        self._known = sorted({*self.commits(), (kind, version)})
-
-    def last(self, kind: str) -> int | None:
-        return max((v for k, v in self.commits() if k == kind), default=None)
-
-    def has(self, version: int) -> bool:
-        return any(v == version for _, v in self.commits())
+        self._written: list[Commit] | None = None
+        self._pending: list[Commit] = []
+
+    def commits(self) -> list[Commit]:
+        """Every commit, one small row per table and refresh, and those about to be written."""
+        if self._written is None:
+            # an empty log comes into being unless there is one
+            empty = self.spark.createDataFrame([], self.SCHEMA).coalesce(1)
+            empty.write.mode("ignore").parquet(self.path)
+            rows = self.table().distinct().collect()
+            self._written = sorted((Commit(*row) for row in rows), key=lambda c: c.version)
+        return [*self._written, *self._pending]
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def add(self, commit: Commit) -> None:
+        self.commits()
+        self._pending.append(commit)
+
+    def write(self) -> None:
+        """Make the pending commits visible, all at once."""
+        if self._pending:
+            self.spark.createDataFrame(
+                [astuple(commit) for commit in self._pending], self.SCHEMA
+            ).coalesce(1).write.mode("append").parquet(self.path)
+            self._written, self._pending = self.commits(), []
 
     def next_version(self) -> int:
-        return max((v for _, v in self.commits()), default=-1) + 1
-
-    def folder(self, kind: str, version: int) -> str:
-        return f"{self.path}/{kind}/{_VERSION}={version}"
+        return max((c.version for c in self.commits()), default=-1) + 1
 
 
 class Snapshots:
     """A table replaced as a whole: readers keep the version they started with."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._versions = _Versions(spark, path)
+        self.spark, self.path = spark, path
+        self.log = CommitLog(spark, f"{path}/commits")
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/base/{_VERSION}={version}"
 
     def replace(self, df: DataFrame) -> None:
-        version = self._versions.next_version()
-        df.write.mode("overwrite").parquet(self._versions.folder("base", version))
-        self._versions.commit("base", version)
+        version, started = self.log.next_version(), now()
+        counts = write_counted(df, self._folder(version), rows=F.count(F.lit(1)))
+        self.log.add(
+            Commit(version, self.path, "base", "FULL", 0, counts["rows"], 0, started, now())
+        )
+        self.log.write()
 
     def read(self) -> DataFrame:
-        version = self._versions.last("base")
-        if version is None:
-            raise ValueError(f"nothing published in {self._versions.path}")
-        return self._versions.spark.read.parquet(self._versions.folder("base", version))
+        versions = [c.version for c in self.log.commits()]
+        if not versions:
+            raise ValueError(f"nothing published in {self.path}")
+        return self.spark.read.parquet(self._folder(max(versions)))
 
 
 class KeyedTable:
     """A table with one row per key. A refresh writes the changed rows only.
 
     ``read`` takes the base without the changed keys, plus the latest image of each
-    changed key; ``compact`` folds the changes into a new base.
+    changed key; ``compact`` folds the changes into a new base. Commits go to the log of
+    the table's owner, who writes them.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, key: Sequence[str], schema: T.StructType | str
+        self,
+        path: str,
+        key: Sequence[str],
+        schema: T.StructType | str,
+        log: CommitLog,
     ):
-        self.spark, self.key = spark, list(key)
+        self.spark, self.path, self.key, self.log = log.spark, path, list(key), log
+        self.name = path.rsplit("/", 1)[-1]
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        self._versions = _Versions(spark, path)
 
     @property
     def columns(self) -> list[str]:
         return self.schema.names
 
+    def _commits(self, *kinds: str) -> list[Commit]:
+        return [c for c in self.log.commits() if c.table_name == self.name and c.kind in kinds]
+
+    def _folder(self, kind: str, version: int) -> str:
+        return f"{self.path}/{kind}/{_VERSION}={version}"
+
     def has(self, version: int) -> bool:
-        return self._versions.has(version)
+        return any(c.version == version for c in self._commits("base", "changes"))
 
-    def next_version(self) -> int:
-        return self._versions.next_version()
+    def size(self) -> int:
+        """Number of rows, from the commits. Only tables kept by create and apply know it."""
+        return sum(c.rows_inserted - c.rows_deleted for c in self._commits("base", "changes"))
 
-    def create(self, df: DataFrame, version: int) -> None:
-        """Write the whole table as a new base. A version already committed stays."""
-        if self.has(version):
-            return
-        self._typed(df).write.mode("overwrite").parquet(self._versions.folder("base", version))
-        self._versions.commit("base", version)
+    def create(self, df: DataFrame, version: int, affected: int = 0) -> Commit:
+        """Write the whole table as a new base."""
+        started, before = now(), self.size()
+        counts = write_counted(
+            self._typed(df), self._folder("base", version), rows=F.count(F.lit(1))
+        )
+        return self._done(version, "base", "FULL", affected, counts["rows"], before, started)
 
-    def apply(self, rows: DataFrame, keys: DataFrame, version: int) -> DataFrame:
-        """Make ``rows`` the only rows of ``keys`` and return what that changed.
+    def apply(self, rows: DataFrame, keys: DataFrame, version: int, affected: int = 0) -> Commit:
+        """Make ``rows`` the only rows of ``keys``.
 
         Rows that come out as they were are not written, so later tables do not see them.
         """
-        if not self.has(version):
-            self._difference(self._typed(rows), keep_keys(self.read(), keys, self.key)).write.mode(
-                "overwrite"
-            ).parquet(self._versions.folder("changes", version))
-            self._versions.commit("changes", version)
-        return self.changes_of(version)
-
-    def _typed(self, df: DataFrame, *more: str) -> DataFrame:
-        """The declared columns in their declared types, as every version is read back."""
-        declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        return df.select(*declared, *more)
+        started = now()
+        counts = write_counted(
+            self._difference(self._typed(rows), keep_keys(self.read(), keys, self.key)),
+            self._folder("changes", version),
+            inserted=F.count_if(~F.col(_REMOVED)),
+            deleted=F.count_if(F.col(_EXISTED)),
+        )
+        return self._done(
+            version,
+            "changes",
+            "INCREMENTAL",
+            affected,
+            counts["inserted"],
+            counts["deleted"],
+            started,
+        )
 
-    def upsert(self, rows: DataFrame, version: int, removed: Column | None = None) -> None:
+    def upsert(self, rows: DataFrame, version: int, removed: Column | None = None) -> Commit:
         """Make ``rows`` the current image of their keys without reading the table.
 
-        ``removed`` marks keys that are gone. Replaying a version writes it once.
+        ``removed`` marks keys that are gone. How many rows were there before is unknown.
         """
-        if self.has(version):
-            return
+        started = now()
         gone = F.lit(False) if removed is None else removed
         marked = rows.withColumns({_REMOVED: gone, _EXISTED: F.lit(None).cast("boolean")})
-        self._typed(marked, *_FLAGS).write.mode("overwrite").parquet(
-            self._versions.folder("changes", version)
+        counts = write_counted(
+            self._typed(marked, *_FLAGS),
+            self._folder("changes", version),
+            inserted=F.count_if(~F.col(_REMOVED)),
+            removed=F.count_if(F.col(_REMOVED)),
         )
-        self._versions.commit("changes", version)
+        n = counts["inserted"] + counts["removed"]
+        return self._done(
+            version, "changes", "INCREMENTAL", n, counts["inserted"], counts["removed"], started
+        )
+
+    def idle(self, version: int) -> Commit:
+        """Nothing to do in this version."""
+        return self._done(version, "none", "NO_DATA", 0, 0, 0, now())
+
+    def _done(
+        self,
+        version: int,
+        kind: str,
+        mode: str,
+        affected: int,
+        inserted: int,
+        deleted: int,
+        started: dt.datetime,
+    ) -> Commit:
+        commit = Commit(
+            version, self.name, kind, mode, affected, inserted, deleted, started, now()
+        )
+        self.log.add(commit)
+        return commit
+
+    def _typed(self, df: DataFrame, *more: str) -> DataFrame:
+        """The declared columns in their declared types, as every version is read back."""
+        declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        return df.select(*declared, *more)
 
     def _difference(self, rows: DataFrame, before: DataFrame) -> DataFrame:
         values = [name for name in self.columns if name not in self.key]
@@ -168,32 +257,23 @@ class KeyedTable:
         )
 
     def changes_of(self, version: int) -> DataFrame:
-        """Changed rows of one version (none if that version replaced the whole table)."""
-        if ("changes", version) not in self._versions.commits():
-            return self.spark.createDataFrame([], self._change_schema())
-        return self.spark.read.schema(self._change_schema()).parquet(
-            self._versions.folder("changes", version)
-        )
-
-    def _change_schema(self) -> T.StructType:
+        """Rows written by one refresh, with whether they are gone."""
         flags = [T.StructField(name, T.BooleanType()) for name in _FLAGS]
-        return T.StructType([*self.schema.fields, *flags])
+        return self.spark.read.schema(T.StructType([*self.schema.fields, *flags])).parquet(
+            self._folder("changes", version)
+        )
 
     def read(self) -> DataFrame:
-        base_version = self._versions.last("base")
-        if base_version is None:
-            base = self.spark.createDataFrame([], self.schema)
-        else:
-            base = self.spark.read.schema(self.schema).parquet(
-                self._versions.folder("base", base_version)
-            )
-        since = -1 if base_version is None else base_version
-        newer = [v for kind, v in self._versions.commits() if kind == "changes" and v > since]
+        bases = [c.version for c in self._commits("base")]
+        since = max(bases, default=-1)
+        newer = [c.version for c in self._commits("changes") if c.version > since]
+        if bases:
+            base = self.spark.read.schema(self.schema).parquet(self._folder("base", since))
+        elif not newer:
+            return self.spark.createDataFrame([], self.schema)
         if not newer:
             return base
-        changes = union_all(
-            [self.changes_of(v).withColumn(_VERSION, F.lit(v)) for v in newer]
-        )
+        changes = union_all([self.changes_of(v).withColumn(_VERSION, F.lit(v)) for v in newer])
         if len(newer) > 1:
             latest_first = Window.partitionBy(*self.key).orderBy(F.col(_VERSION).desc())
             changes = (
@@ -202,10 +282,13 @@ class KeyedTable:
                 .drop("_rank")
             )
         current = changes.filter(~F.col(_REMOVED)).select(*self.columns)
-        if base_version is None:
-            return current
-        return drop_keys(base, changes, self.key).unionByName(current)
+        return drop_keys(base, changes, self.key).unionByName(current) if bases else current
 
     def compact(self) -> None:
         """Fold all changes into a new base."""
-        self.create(self.read(), self.next_version())
+        self.create(self.read(), self.log.next_version())
+        self.log.write()
+
+
+def now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mastline.operators.versions import version_order
 from mastline.schemas import XDR
-from mastline.sources.store import KeyedTable
+from mastline.sources.store import CommitLog, KeyedTable
 
 
 def latest_stream(records: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def latest_stream(records: DataFrame) -> DataFrame:
 
 
 def sessions_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, ["xdr_id"], XDR)
+    return KeyedTable(f"{path}/sessions", ["xdr_id"], XDR, CommitLog(spark, f"{path}/commits"))
 
 
 def keep_latest(
@@ -31,13 +31,20 @@ def keep_latest(
 ) -> StreamingQuery:
     """Bring a keyed table up to date with what has arrived, then stop.
 
-    Each micro-batch writes only the rows it changed, under its own number.
+    Each micro-batch writes only the rows it changed, under its own number; a replayed one
+    changes nothing.
     """
+
+    def absorb(rows: DataFrame, batch: int) -> None:
+        if not table.has(batch):
+            table.upsert(rows, batch)
+            table.log.write()
+
     return (
         latest_stream(records)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda rows, batch: table.upsert(rows, batch))
+        .foreachBatch(absorb)
         .trigger(availableNow=True)
         .start()
     )

@@ -17,7 +17,7 @@ from mastline.functions.usage import hour_of, hours_between
 from mastline.operators.joins import keep_keys
 from mastline.operators.rollups import CELL_HOUR, cell_hours
 from mastline.operators.versions import version_order
-from mastline.sources.store import KeyedTable
+from mastline.sources.store import CommitLog, KeyedTable
 
 _MEASURES = ["bytes_dl", "bytes_ul", "rated_amount"]
 _IMAGE = [*CELL_HOUR, "msisdn", *_MEASURES, "very_late"]
@@ -97,7 +97,9 @@ class HourlyRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self._images, self._log = f"{path}/images", f"{path}/contributions"
-        self.table = KeyedTable(spark, f"{path}/hourly", CELL_HOUR, HOURLY)
+        self.table = KeyedTable(
+            f"{path}/hourly", CELL_HOUR, HOURLY, CommitLog(spark, f"{path}/commits")
+        )
 
     def read(self) -> DataFrame:
         return self.table.read()
@@ -119,6 +121,7 @@ class HourlyRollup:
             log.filter(F.col(_VERSION) <= version), touched, CELL_HOUR, plain=["day"]
         )
         self.table.upsert(_settled(standing), version, removed=F.col("sessions") == 0)
+        self.table.log.write()
 
     def _write(self, df: DataFrame, path: str, version: int) -> None:
         df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
