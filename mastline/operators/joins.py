@@ -35,8 +35,8 @@ def spread_join(
 
 
 def rows_of(df: DataFrame, keys: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
-    """Rows whose key is in a key set, even where one key has most of the rows."""
-    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    """Rows whose key is in a (small or distinct) key set, even if one key has most rows."""
+    wanted = keys.select(key).filter(F.col(key).isNotNull())
     return spread_join(df, wanted, [key], "left_semi", spread)
 
 
@@ -59,9 +59,8 @@ def _matching(
     df: DataFrame, keys: DataFrame, key: Sequence[str], plain: Sequence[str], how: str
 ) -> DataFrame:
     left, right = df.alias("l"), keys.select(*key, *plain).alias("r")
-    same = [F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")) for name in key]
-    same += [F.col(f"l.{name}") == F.col(f"r.{name}") for name in plain]
-    return left.join(right, reduce(lambda a, b: a & b, same), how)
+    same = [f"l.{name} <=> r.{name}" for name in key] + [f"l.{name} = r.{name}" for name in plain]
+    return left.join(right, F.expr(" AND ".join(same)), how)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

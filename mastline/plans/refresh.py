@@ -4,6 +4,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mastline.functions.usage import seconds_between
 from mastline.operators import features as f
 from mastline.operators.changes import affected_by_feature
 from mastline.operators.joins import rows_of, union_all
@@ -75,8 +76,7 @@ class TagTables:
         reached.append(affected.get("customer_features"))
         keys = self._together([k for k in reached if k is not None], version)
         done.append(self._step("customer_features", new, version, keys))
-        keys = self._reached(done[-1], keys)
-        done.append(self._step("customer_tags", new, version, keys))
+        done.append(self._tags_step(done[-1], new, version, keys))
         self.log.write()
         return done
 
@@ -106,7 +106,7 @@ class TagTables:
         """Keys whose rows really changed; after a full rebuild, all that might have."""
         if done.kind != "changes":
             return keys
-        changed = self.tables[done.table_name].changes_of(done.version).select(_KEY)
+        changed = self.tables[done.table_name].changes([done.version]).select(_KEY)
         n = max(done.rows_inserted, done.rows_deleted)
         return (changed, n) if n else None
 
@@ -127,7 +127,7 @@ class TagTables:
         keys, n = found
         if n > self.full_ratio * table.size():
             return self._full(name, new, version, n)
-        rows = self._rows(name, new, lambda df, spread: rows_of(df, keys, _KEY, spread))
+        rows = self._rows(name, new, lambda df, spread: _cut(df, keys, spread))
         if name == "billing_features":
             accounts = rows_of(new.billing_account, keys, _KEY, ["account_id"])
             rows = f.billing_features(
@@ -135,6 +135,19 @@ class TagTables:
             )
         return table.apply(rows, keys, version, n)
 
+    def _tags_step(
+        self, features: Commit, new: BaseTables, version: int, keys: Keys | None
+    ) -> Commit:
+        """Tags follow the features row by row: the rows just written are all they need."""
+        found = self._reached(features, keys)
+        table = self.tables["customer_tags"]
+        if found is None or features.kind != "changes" or found[1] > self.full_ratio * table.size():
+            return self._step("customer_tags", new, version, found)
+        changed = self.tables["customer_features"].changes([version])
+        return table.apply(
+            customer_tags(changed.filter("NOT _removed")), changed.select(_KEY), version, found[1]
+        )
+
     def _full(self, name: str, base: BaseTables, version: int, affected: int = 0) -> Commit:
         rows = self._rows(name, base, lambda df, spread: df)
         return self.tables[name].create(rows, version, affected)
@@ -153,16 +166,20 @@ class TagTables:
             return f.care_features(reduced(base.trouble_ticket, ["ticket_id"]))
         if name == "customer_features":
             return f.customer_features(
-                reduced(base.customer, [_KEY]),
-                *[reduced(self.read(child), [_KEY]) for child in CHILDREN],
+                reduced(base.customer, []), *[reduced(self.read(child), []) for child in CHILDREN]
             )
-        return customer_tags(reduced(self.read("customer_features"), [_KEY]))
+        return customer_tags(reduced(self.read("customer_features"), []))
+
+
+def _cut(df: DataFrame, keys: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows of the wanted customers; tables with one row per customer need no spreading."""
+    return rows_of(df, keys, _KEY, spread) if spread else df.join(keys, _KEY, "left_semi")
 
 
 def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:
     """Seconds from the last source commit to finished tags, per version.
 
-    ``committed`` has the columns version and committed_at.
+    ``committed`` has the columns version and committed_at (a zone-less UTC time).
     """
     ready = (
         history.filter("table_name = 'customer_tags'")
@@ -170,5 +187,6 @@ def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:
         .agg(F.max("finished_at").alias("ready_at"))
     )
     last = committed.groupBy("version").agg(F.max("committed_at").alias("committed_at"))
-    micros = F.unix_micros("ready_at") - F.unix_micros("committed_at")
-    return ready.join(last, "version").select("version", (micros / 1e6).alias("seconds"))
+    return ready.join(last, "version").select(
+        "version", seconds_between(F.col("committed_at"), F.col("ready_at")).alias("seconds")
+    )

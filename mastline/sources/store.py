@@ -7,8 +7,9 @@ version exists once its row is in the commit log.
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import (
     Column,
     DataFrame,
@@ -58,13 +59,26 @@ class Commit:
     finished_at: dt.datetime
 
 
+_ARROW = {
+    "version": pa.int64(),
+    "table_name": pa.string(),
+    "kind": pa.string(),
+    "refresh_mode": pa.string(),
+    "affected_keys": pa.int64(),
+    "rows_inserted": pa.int64(),
+    "rows_deleted": pa.int64(),
+    "started_at": pa.timestamp("us"),
+    "finished_at": pa.timestamp("us"),
+}
+
+
 class CommitLog:
     """The commits of one or more tables. They count for other readers once written."""
 
     SCHEMA = (
         "version bigint, table_name string, kind string, refresh_mode string,"
         " affected_keys bigint, rows_inserted bigint, rows_deleted bigint,"
-        " started_at timestamp, finished_at timestamp"
+        " started_at timestamp_ntz, finished_at timestamp_ntz"
     )
 
     def __init__(self, spark: SparkSession, path: str):
@@ -76,8 +90,7 @@ class CommitLog:
         """Every commit, one small row per table and refresh, and those about to be written."""
         if self._written is None:
             # an empty log comes into being unless there is one
-            empty = self.spark.createDataFrame([], self.SCHEMA).coalesce(1)
-            empty.write.mode("ignore").parquet(self.path)
+            self._append([], "ignore")
             rows = self.table().distinct().collect()
             self._written = sorted((Commit(*row) for row in rows), key=lambda c: c.version)
         return [*self._written, *self._pending]
@@ -92,11 +105,15 @@ class CommitLog:
     def write(self) -> None:
         """Make the pending commits visible, all at once."""
         if self._pending:
-            self.spark.createDataFrame(
-                [astuple(commit) for commit in self._pending], self.SCHEMA
-            ).coalesce(1).write.mode("append").parquet(self.path)
+            self._append(self._pending, "append")
             self._written, self._pending = self.commits(), []
 
+    def _append(self, commits: Sequence[Commit], mode: str) -> None:
+        names = [field.name for field in fields(Commit)]
+        columns = list(zip(*map(astuple, commits))) or [[] for _ in names]
+        rows = pa.table({name: pa.array(values, _ARROW[name]) for name, values in zip(names, columns)})
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode(mode).parquet(self.path)
+
     def next_version(self) -> int:
         return max((c.version for c in self.commits()), default=-1) + 1
 
@@ -233,8 +250,10 @@ class KeyedTable:
 
     def _typed(self, df: DataFrame, *more: str) -> DataFrame:
         """The declared columns in their declared types, as every version is read back."""
-        declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        return df.select(*declared, *more)
+        declared = [
+            f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in self.schema.fields
+        ]
+        return df.selectExpr(*declared, *more)
 
     def _difference(self, rows: DataFrame, before: DataFrame) -> DataFrame:
         values = [name for name in self.columns if name not in self.key]
@@ -249,18 +268,21 @@ class KeyedTable:
             F.first("_n", ignorenulls=True).alias("_n"),
             F.first("_o", ignorenulls=True).alias("_o"),
         )
-        return paired.filter(~F.col("_n").eqNullSafe(F.col("_o"))).select(
+        return paired.filter("NOT _n <=> _o").selectExpr(
             *self.key,
-            *[F.col(f"_n.{name}").alias(name) for name in values],
-            F.col("_n").isNull().alias(_REMOVED),
-            F.col("_o").isNotNull().alias(_EXISTED),
+            *[f"_n.{name}" for name in values],
+            f"_n IS NULL AS {_REMOVED}",
+            f"_o IS NOT NULL AS {_EXISTED}",
         )
 
-    def changes_of(self, version: int) -> DataFrame:
-        """Rows written by one refresh, with whether they are gone."""
-        flags = [T.StructField(name, T.BooleanType()) for name in _FLAGS]
-        return self.spark.read.schema(T.StructType([*self.schema.fields, *flags])).parquet(
-            self._folder("changes", version)
+    def changes(self, versions: Sequence[int]) -> DataFrame:
+        """Rows written by some refreshes, with whether they are gone and the version."""
+        more = [T.StructField(name, T.BooleanType()) for name in _FLAGS]
+        more.append(T.StructField(_VERSION, T.LongType()))
+        return (
+            self.spark.read.schema(T.StructType([*self.schema.fields, *more]))
+            .parquet(f"{self.path}/changes")
+            .filter(F.col(_VERSION).isin(list(versions)))
         )
 
     def read(self) -> DataFrame:
@@ -273,7 +295,7 @@ class KeyedTable:
             return self.spark.createDataFrame([], self.schema)
         if not newer:
             return base
-        changes = union_all([self.changes_of(v).withColumn(_VERSION, F.lit(v)) for v in newer])
+        changes = self.changes(newer)
         if len(newer) > 1:
             latest_first = Window.partitionBy(*self.key).orderBy(F.col(_VERSION).desc())
             changes = (
