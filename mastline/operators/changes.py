@@ -19,14 +19,20 @@ def marked(
     key: str | None = None,
     spread: Sequence[str] = (),
 ) -> DataFrame:
-    """Add whether a row qualifies: ``where`` holds and, if given, its key is in ``keys``."""
+    """Add whether a row qualifies: ``where`` holds and, if given, its key is in ``keys``.
+
+    ``spread`` names the columns that tell the rows apart.
+    """
     hit = F.coalesce(where, F.lit(False))
     if keys is None:
         return df.withColumn(_HIT, hit)
-    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
-    found = spread_join(
-        df, wanted.withColumn("_found", F.lit(True)), [key], "left", spread or [key]
+    wanted = (
+        keys.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_found", F.lit(True))
     )
+    if key in spread:  # the rows' own key: no value repeats
+        found = df.join(wanted, key, "left")
+    else:
+        found = spread_join(df, wanted, [key], "left", spread)
     return found.select(*df.columns, (hit & F.col("_found").isNotNull()).alias(_HIT))
 
 

@@ -48,9 +48,21 @@ def snapshot_diff(new: DataFrame, old: DataFrame, columns: Sequence[str]) -> Dat
 
 def verify_counts(rows: DataFrame, key: str, expected: DataFrame) -> DataFrame:
     """Rows, distinct keys and the number expected, side by side; all three must agree."""
-    return rows.agg(
-        F.count("*").alias("customers"), F.count_distinct(key).alias("distinct_customers")
-    ).join(expected.agg(F.count("*").alias("expected_customers")))
+    unknown = F.lit(None).cast("long")
+    parts = [
+        rows.agg(
+            F.count("*").alias("customers"),
+            F.count_distinct(key).alias("distinct_customers"),
+            unknown.alias("expected_customers"),
+        ),
+        expected.agg(
+            unknown.alias("customers"),
+            unknown.alias("distinct_customers"),
+            F.count("*").alias("expected_customers"),
+        ),
+    ]
+    names = ["customers", "distinct_customers", "expected_customers"]
+    return union_all(parts).agg(*[F.max(name).alias(name) for name in names])
 
 
 def check_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -143,18 +143,23 @@ def run_rollup(
     ).drop(*hidden)
 
 
-def summarise(df: DataFrame, group: Sequence[str], value: str, accuracy: int = 10000) -> DataFrame:
+# the sketch is off by at most this share of the rows of a group; brackets are five times wider
+_RANK_ERROR = 1e-5
+_MARGIN = 5 * _RANK_ERROR
+
+
+def summarise(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """n, exact median, nearest-rank p95, min and max per group; NULLs do not count.
 
     No group is gathered in one place. A sketch brackets the wanted ranks; values outside
     the brackets are only counted, and equal values inside them are counted together, so
-    the exact ranks are found among about two percent of the values of a group.
+    the exact ranks are found among a five-thousandth of the values of a group. Should a
+    rank ever fall outside its bracket, the query fails rather than answer wrongly.
     """
     present = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    # the sketch is off by at most 1/accuracy of the rows; the bracket is far wider
-    brackets = [0.495, 0.505, 0.945, 0.955]
+    brackets = [p + side * _MARGIN for p in (0.5, 0.95) for side in (-1, 1)]
     sketch = present.groupBy(*group).agg(
-        F.percentile_approx("_v", brackets, accuracy).alias("_b"),
+        F.percentile_approx("_v", brackets, int(1 / _RANK_ERROR)).alias("_b"),
         F.count("*").alias("n"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
@@ -187,9 +192,9 @@ def summarise(df: DataFrame, group: Sequence[str], value: str, accuracy: int = 1
     placed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(
         ranked.select(*group, "_r1", "_r2", "_r3"), list(group)
     )
-    at = lambda rank: F.max(
-        F.when((F.col(rank) <= F.col("_upto")) & (F.col(rank) > F.col("_upto") - F.col("_n")), v)
-    )
+    holds = lambda rank: (F.col(rank) <= F.col("_upto")) & (F.col(rank) > F.col("_upto") - F.col("_n"))
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    at = lambda rank: F.max(F.when(holds(rank), F.coalesce(v, missed)))
     exact = placed.groupBy(*group).agg(
         ((at("_r1") + at("_r2")) / 2).alias("median"), at("_r3").alias("p95_nearest_rank")
     )

@@ -34,6 +34,11 @@ def publish(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def consume(df: DataFrame) -> None:
+    """Run a micro-batch without keeping it: its state is only saved if it is read to the end."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
     """Write a version folder and return counts taken while writing, without another job."""
     seen = Observation()
@@ -46,7 +51,7 @@ def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Commit:
-    """One table brought to one version. ``kind`` names the folder: base, changes or none."""
+    """One table brought to one version. ``kind`` says what was written; 'none' is nothing."""
 
     version: int
     table_name: str
@@ -307,9 +312,11 @@ class KeyedTable:
         return drop_keys(base, changes, self.key).unionByName(current) if bases else current
 
     def compact(self) -> None:
-        """Fold all changes into a new base."""
-        self.create(self.read(), self.log.next_version())
-        self.log.write()
+        """Fold the changes into a new base of the same version, if there are any."""
+        changed = max((c.version for c in self._commits("changes")), default=-1)
+        if changed > max((c.version for c in self._commits("base")), default=-1):
+            self.create(self.read(), changed)
+            self.log.write()
 
 
 def now() -> dt.datetime:

@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mastline.operators.versions import version_order
 from mastline.schemas import XDR
-from mastline.sources.store import CommitLog, KeyedTable
+from mastline.sources.store import CommitLog, KeyedTable, consume
 
 
 def latest_stream(records: DataFrame) -> DataFrame:
@@ -36,9 +36,10 @@ def keep_latest(
     """
 
     def absorb(rows: DataFrame, batch: int) -> None:
-        if not table.has(batch):
-            table.upsert(rows, batch)
-            table.log.write()
+        if table.has(batch):
+            return consume(rows)
+        table.upsert(rows, batch)
+        table.log.write()
 
     return (
         latest_stream(records)

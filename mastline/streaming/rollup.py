@@ -17,10 +17,12 @@ from mastline.functions.usage import hour_of, hours_between
 from mastline.operators.joins import keep_keys
 from mastline.operators.rollups import CELL_HOUR, cell_hours
 from mastline.operators.versions import version_order
-from mastline.sources.store import CommitLog, KeyedTable
+from mastline.sources.store import Commit, CommitLog, KeyedTable, consume, now
 
 _MEASURES = ["bytes_dl", "bytes_ul", "rated_amount"]
 _IMAGE = [*CELL_HOUR, "msisdn", *_MEASURES, "very_late"]
+_SUMMED = ["sessions", "very_late_records", *_MEASURES, *[f"n_{name}" for name in _MEASURES]]
+_ANY = " OR ".join(f"{name} <> 0" for name in _SUMMED)
 _NO_DAY = "1900-01-01"  # folder of records without an event time
 _VERSION = "_version"
 _IMAGES = (
@@ -87,65 +89,96 @@ def _contributions(signed: DataFrame) -> DataFrame:
         F.sum(sign * F.col("very_late")).alias("very_late_records"),
         *amounts,
     )
-    moved = [f"{c} <> 0" for c in sums.columns if c not in (*CELL_HOUR, "msisdn", "day")]
-    return sums.filter(" OR ".join(moved))
+    return sums.filter(_ANY)
 
 
 class HourlyRollup:
     """The maintained rollup: images and contributions by day, cell-hours as a keyed table."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self._images, self._log = f"{path}/images", f"{path}/contributions"
-        self.table = KeyedTable(
-            f"{path}/hourly", CELL_HOUR, HOURLY, CommitLog(spark, f"{path}/commits")
-        )
+        self.spark, self.path = spark, path
+        self.log = CommitLog(spark, f"{path}/commits")
+        self.table = KeyedTable(f"{path}/hourly", CELL_HOUR, HOURLY, self.log)
 
     def read(self) -> DataFrame:
         return self.table.read()
 
+    def _folder(self, name: str) -> str:
+        """Where images or contributions are kept since the last compaction."""
+        generation = max((c.version for c in self.log.commits() if c.kind == "logs"), default=-1)
+        return f"{self.path}/logs/{generation + 1}/{name}"
+
+    def _images(self) -> DataFrame:
+        return self.spark.read.schema(_IMAGES).parquet(self._folder("images"))
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(_CONTRIBUTIONS).parquet(self._folder("contributions"))
+
     def absorb(self, images: DataFrame, version: int) -> None:
         """Take in the changed records of a micro-batch; a replayed batch changes nothing."""
         if self.table.has(version):
-            return
-        self._write(images, self._images, version)
-        known = self.spark.read.schema(_IMAGES).parquet(self._images)
-        now = known.filter(F.col(_VERSION) == version)
-        signed = now.select("day", *_IMAGE, F.lit(1).alias("_sign")).unionByName(
-            self._replaced(known, now, version).select("day", *_IMAGE, F.lit(-1).alias("_sign"))
+            return consume(images)
+        self._write(images, self._folder("images"), version)
+        known = self._images()
+        fresh = known.filter(F.col(_VERSION) == version)
+        signed = fresh.select("day", *_IMAGE, F.lit(1).alias("_sign")).unionByName(
+            self._replaced(known, fresh, version).select("day", *_IMAGE, F.lit(-1).alias("_sign"))
         )
-        self._write(_contributions(signed), self._log, version)
-        log = self.spark.read.schema(_CONTRIBUTIONS).parquet(self._log)
+        self._write(_contributions(signed), self._folder("contributions"), version)
+        log = self._log()
         touched = log.filter(F.col(_VERSION) == version).select(*CELL_HOUR, "day").distinct()
         standing = keep_keys(
             log.filter(F.col(_VERSION) <= version), touched, CELL_HOUR, plain=["day"]
         )
         self.table.upsert(_settled(standing), version, removed=F.col("sessions") == 0)
-        self.table.log.write()
+        self.log.write()
+
+    def compact(self) -> None:
+        """Fold the logs: one image per record, one contribution per cell-hour and subscriber.
+
+        Run it between micro-batches. The new folder counts once its commit is written; the
+        old one is left to the owner of the storage.
+        """
+        last = max(c.version for c in self.log.commits() if c.table_name == self.table.name)
+        started = now()
+        upto = F.col(_VERSION) <= last
+        images = _newest(self._images().filter(upto)).drop(_VERSION)
+        sums = [F.sum(c).alias(c) for c in _SUMMED]
+        folded = self._log().filter(upto).groupBy(*CELL_HOUR, "msisdn", "day").agg(*sums)
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(_CONTRIBUTIONS)}
+        typed = folded.withColumns({c: F.col(c).cast(kinds[c]) for c in _SUMMED})
+        generation = 1 + max((c.version for c in self.log.commits() if c.kind == "logs"), default=-1)
+        target = f"{self.path}/logs/{generation + 1}"
+        self._write(images, f"{target}/images", last)
+        self._write(typed.filter(_ANY), f"{target}/contributions", last)
+        self.log.add(Commit(generation, "logs", "logs", "FULL", 0, 0, 0, started, now()))
+        self.log.write()
 
     def _write(self, df: DataFrame, path: str, version: int) -> None:
         df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
             f"{path}/{_VERSION}={version}"
         )
 
-    def _replaced(self, known: DataFrame, now: DataFrame, version: int) -> DataFrame:
+    def _replaced(self, known: DataFrame, fresh: DataFrame, version: int) -> DataFrame:
         """The images that records of this micro-batch had before it."""
-        again = now.filter("seen > 1").select("xdr_id", F.explode("days").alias("day"))
+        again = fresh.filter("seen > 1").select("xdr_id", F.explode("days").alias("day"))
         earlier = keep_keys(
             known.filter(F.col(_VERSION) < version), again, ["xdr_id"], plain=["day"]
         )
-        newest = Window.partitionBy("xdr_id").orderBy(F.col(_VERSION).desc())
-        return earlier.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
+        return _newest(earlier)
+
+
+def _newest(images: DataFrame) -> DataFrame:
+    """The last image written for each record."""
+    last_first = Window.partitionBy("xdr_id").orderBy(F.col(_VERSION).desc())
+    ranked = images.withColumn("_rank", F.row_number().over(last_first))
+    return ranked.filter("_rank = 1").drop("_rank")
 
 
 def _settled(contributions: DataFrame) -> DataFrame:
     """Cell-hours from all their contributions; a subscriber without sessions is gone."""
     total = contributions.groupBy(*CELL_HOUR, "msisdn").agg(
-        *[
-            F.sum(name).alias(name)
-            for name in ("sessions", "very_late_records", *_MEASURES)
-        ],
-        *[F.sum(f"n_{name}").alias(f"n_{name}") for name in _MEASURES],
+        *[F.sum(name).alias(name) for name in _SUMMED]
     )
     here = F.col("sessions") > 0
     known = lambda name: F.when(here & (F.col(f"n_{name}") > 0), F.col(name))

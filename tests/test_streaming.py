@@ -89,8 +89,12 @@ def test_streams_equal_batch_after_every_load(spark):
         found = hourly.read()
         assert tuple(quality.verify_equal(found, expected, expected.columns).first()) == (0, 0)
         assert found.count() == expected.count()
+        if rows is SECOND:
+            hourly.compact()
+            hourly.table.compact()
+            latest.compact()
     # a replayed micro-batch is ignored, and a reopened table reads the same
-    hourly.absorb(None, 0)
+    hourly.absorb(spark.range(1), 0)
     reopened = HourlyRollup(spark, hourly.table.path.rsplit("/", 1)[0]).read()
     assert tuple(quality.verify_equal(reopened, expected, expected.columns).first()) == (0, 0)
 
