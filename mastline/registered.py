@@ -100,6 +100,13 @@ def batch_type_counts(spark, sf):
     return _xdr(spark, sf).groupBy("batch_type").agg(F.count("*").alias("records"))
 
 
+@registered
+def ingest_dates(spark, sf):
+    """Records per day of arrival."""
+    day = F.to_date("ingest_ts").alias("ingest_date")
+    return _xdr(spark, sf).groupBy(day).agg(F.count("*").alias("records"))
+
+
 @registered
 def newest_records(spark, sf):
     return rollups.newest_records(_xdr(spark, sf))
@@ -550,8 +557,7 @@ def redact_documents(spark, sf):
 # --- telemetry
 
 
-@registered
-def run_rollup(spark, sf):
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
     manifest, history, jobs, profiles = (
         run_fixtures.table(spark, sf, name)
         for name in ("manifest", "history", "jobs", "profiles")
@@ -559,6 +565,18 @@ def run_rollup(spark, sf):
     return telemetry.run_rollup(manifest, history, jobs, telemetry.profile_metrics(profiles))
 
 
+@registered
+def run_rollup(spark, sf):
+    return _runs(spark, sf)
+
+
+@registered
+def run_summary(spark, sf):
+    """Refresh seconds per run-name prefix; runs without a complete time do not count."""
+    runs = _runs(spark, sf).withColumn("prefix", F.substring("run_id", 1, 5))
+    return telemetry.summarise(runs, ["prefix"], "incremental_server_seconds")
+
+
 @registered
 def metric_summary(spark, sf):
     return telemetry.summarise(fx.table(spark, sf, "events"), ["event_type"], "value")

@@ -18,6 +18,11 @@ def scan_xdr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(XDR).option("recursiveFileLookup", True).parquet(path)
 
 
+def peek(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """A few records, to see that the files are readable."""
+    return scan_xdr(spark, path).limit(n)
+
+
 def with_origin(df: DataFrame) -> DataFrame:
     """Add the file a row was read from; only valid right on a file scan."""
     return df.select(

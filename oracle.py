@@ -249,12 +249,16 @@ FROM manifest m LEFT JOIN history h ON h.run_id = m.run_id AND h.job_id = m.job_
     )
 
 
-_SUMMARY = """
-SELECT event_type, COUNT(*) AS n, median(value) AS median,
- max(value) FILTER (WHERE place = CAST(ceil(CAST(0.95 AS DOUBLE) * total) AS BIGINT)) AS p95_nearest_rank,
- min(value) AS min, max(value) AS max
-FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS place,
-  COUNT(*) OVER (PARTITION BY event_type) AS total FROM events WHERE value IS NOT NULL) GROUP BY event_type"""
+def _summary(group: str, value: str, source: str) -> str:
+    return f"""
+SELECT {group}, COUNT(*) AS n, median({value}) AS median,
+ max({value}) FILTER (WHERE place = CAST(ceil(CAST(0.95 AS DOUBLE) * total) AS BIGINT)) AS p95_nearest_rank,
+ min({value}) AS min, max({value}) AS max
+FROM (SELECT {group}, {value}, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS place,
+  COUNT(*) OVER (PARTITION BY {group}) AS total FROM {source} WHERE {value} IS NOT NULL) GROUP BY {group}"""
+
+
+_SUMMARY = _summary("event_type", "value", "events")
 
 
 def _redacted(expr: str) -> str:
@@ -334,6 +338,9 @@ FROM sessions GROUP BY ALL""",
         ),
         "late_arrival_audit": _sql(_SESSIONS, _AUDIT),
         "batch_type_counts": _sql(_XDR, "SELECT batch_type, COUNT(*) AS records FROM xdr GROUP BY ALL"),
+        "ingest_dates": _sql(
+            _XDR, "SELECT CAST(ingest_ts AS DATE) AS ingest_date, COUNT(*) AS records FROM xdr GROUP BY ALL"
+        ),
         "newest_records": _sql(
             _XDR, "SELECT * FROM xdr ORDER BY ingest_ts DESC, xdr_id, record_version DESC LIMIT 1000"
         ),
@@ -500,6 +507,11 @@ SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM lineitem GROUP BY ALL HAV
         ),
         "redact_documents": f"SELECT doc_id, {_redacted('text')} AS text FROM documents",
         "run_rollup": _run_rollup(),
+        "run_summary": _summary(
+            "prefix",
+            "incremental_server_seconds",
+            f"(SELECT *, run_id[:5] AS prefix FROM ({_run_rollup()}))",
+        ),
         "metric_summary": _SUMMARY,
         "cost_scenarios": """
 SELECT o_orderkey, rate, cru, active_seconds, idle_seconds, cadence_minutes, days, 'ILLUSTRATIVE_NOT_MEASURED' AS status,
