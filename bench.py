@@ -48,7 +48,7 @@ HEADLINE = [
 ONCE = {"incremental_delta", "stream_latest", "stream_hourly"}
 SIZES = {"100k": 100_000, "1m": 1_000_000}
 CHANGED = 100
-CYCLES = 4  # the first one warms up
+CYCLES = 3  # the first one warms up
 
 
 def drain(df: DataFrame) -> None:
@@ -122,6 +122,7 @@ def main() -> None:
     for name in HEADLINE:
         runs = 1 if name in ONCE else 2
         results[name] = min(timed(lambda: drain(QUERIES[name](spark, sf_dir))) for _ in range(runs))
+        print(f"{name} {results[name]:.2f}s", file=sys.stderr, flush=True)
     for label, customers in SIZES.items():
         results.update(tagging_cycles(spark, label, customers))
     print(
