@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastline.llm import simhash
+from mastline.llm import decontaminate, simhash
 from mastline.llm.runtime import on_workers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,11 @@ def _query(run):
 def op6_simhash_near_dedup(spark, sf_dir):
     """Groups of documents whose 3-word SimHash fingerprints differ in two bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@_query
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Each document's best window for every benchmark item of similarity 0.8 or more."""
+    return decontaminate.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
