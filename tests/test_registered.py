@@ -6,6 +6,7 @@ The maintained and streamed ones have suites of their own; ``compare.py`` runs a
 import pytest
 
 import __spark_entry__ as entry
+from mastline.registered import QUERIES
 from tests.compare import compare, database
 
 SF = "/root/testdata/sf0.001"
@@ -18,10 +19,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(_SLOW)])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(_SLOW)])
 def test_query_equals_sql(spark, connection, name):
     assert compare(spark, connection, SF, entry.queries()[name], entry.oracle_sql()[name]) is None
 
