@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastline.llm import decontaminate, simhash
+from mastline.llm import decontaminate, simhash, token_files
 from mastline.llm.runtime import on_workers, table
+from mastline.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +34,18 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return decontaminate.matches(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file, at the same place on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_query
+def op3_token_id_output(spark, sf_dir):
+    """Token files of all documents in doc_id order, read back."""
+    folder = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=0)
+    return token_files.read(spark, folder)
