@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mastline.llm import decontaminate, quality_rules, simhash, token_files
+from mastline.llm import decontaminate, mixture, quality_rules, simhash, token_files
 from mastline.llm.runtime import on_workers, table
 from mastline.workspace import new_folder
 
@@ -63,3 +63,9 @@ def op1_quality_classifier(spark, sf_dir):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op8_source_mixture(spark, sf_dir):
+    """What a mix of all documents by source weights 5, 2, 1 takes of each."""
+    return mixture.Mixture(table(spark, sf_dir, "documents")).documents()
