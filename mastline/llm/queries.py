@@ -5,7 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mastline.llm import decontaminate, mixture, quality_rules, simhash, token_files
+from mastline.llm import (
+    decontaminate,
+    mixture,
+    ngram_quality,
+    quality_rules,
+    simhash,
+    token_files,
+)
 from mastline.llm.runtime import on_workers, table
 from mastline.workspace import new_folder
 
@@ -69,3 +76,15 @@ def op1_quality_classifier(spark, sf_dir):
 def op8_source_mixture(spark, sf_dir):
     """What a mix of all documents by source weights 5, 2, 1 takes of each."""
     return mixture.Mixture(table(spark, sf_dir, "documents")).documents()
+
+
+@_query
+def op7_quality_rules(spark, sf_dir):
+    """Base counts of every document, and whether its n-grams look like the trusted ones."""
+    docs = table(spark, sf_dir, "documents")
+    target = ngram_quality.trusted(docs, table(spark, sf_dir, "labels"))
+    ratio = ngram_quality.weights(ngram_quality.counts(target), ngram_quality.counts(docs))
+    return ngram_quality.judged(docs, ratio).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "llr",
+    )
