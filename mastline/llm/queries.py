@@ -9,9 +9,11 @@ from mastline.llm import (
     decontaminate,
     mixture,
     ngram_quality,
+    pseudonyms,
     quality_rules,
     simhash,
     token_files,
+    url_rules,
 )
 from mastline.llm.runtime import on_workers, table
 from mastline.workspace import new_folder
@@ -88,3 +90,17 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "llr",
     )
+
+
+@_query
+def op4_pii_pseudonyms(spark, sf_dir):
+    """All documents with personal data replaced by pseudonyms of the same format."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, key="a key kept elsewhere")
+
+
+@_query
+def op10_url_filter(spark, sf_dir):
+    """The verdict on every page's URL, by host rules and indexed patterns."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judged(pages).drop("url")
