@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mastline.llm import (
+    chat,
     decontaminate,
     mixture,
     ngram_quality,
@@ -104,3 +105,9 @@ def op10_url_filter(spark, sf_dir):
     """The verdict on every page's URL, by host rules and indexed patterns."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judged(pages).drop("url")
+
+
+@_query
+def op9_chat_formatting(spark, sf_dir):
+    """All conversations and the probe, formatted with a loss mask and read back."""
+    return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))
