@@ -15,6 +15,7 @@ from mastline.llm import (
     simhash,
     token_files,
     url_rules,
+    warc,
 )
 from mastline.llm.runtime import on_workers, table
 from mastline.workspace import new_folder
@@ -111,3 +112,21 @@ def op10_url_filter(spark, sf_dir):
 def op9_chat_formatting(spark, sf_dir):
     """All conversations and the probe, formatted with a loss mask and read back."""
     return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+@_query
+def op5_warc_archive(spark, sf_dir):
+    """All pages archived and read back."""
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.listed(spark, folder)
+
+
+ORACLE["op5_warc_archive"] = """
+SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN octet_length(payload) >= 100 AND page_id <> first_id THEN 'revisit'
+            ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(payload) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first_id
+      FROM (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages))
+"""
