@@ -1,8 +1,19 @@
 """Column expressions of the usage pipeline. None depends on the session time zone."""
 
+from fractions import Fraction
+from math import lcm
+
 from pyspark.sql import Column, functions as F
 
 GIB = 1073741824.0
+# fixed values: 0.05 per minute, 8 per 10^9 bytes, 0.05 per SMS, 2 for roaming
+RATES = {
+    "second": Fraction("0.05") / 60,
+    "byte": Fraction(8, 10**9),
+    "sms": Fraction("0.05"),
+    "roaming": Fraction(2),
+}
+STEPS = 10_000  # of an amount, in one unit of money
 
 
 def hour_of(ts: Column) -> Column:
@@ -30,18 +41,20 @@ def lateness_bucket(lateness_h: Column) -> Column:
 def rated_amount(
     duration_s: Column, bytes_total: Column, record_type: Column, roaming_partner: Column
 ) -> Column:
-    """Price of a record: 0.05 per minute, 8 per 10^9 bytes, 0.05 per SMS, 2 for roaming.
+    """Price of a record by ``RATES``, rounded half up to four digits.
 
-    Worked out in whole units of 1/375,000,000 so that the rounding to four digits is
-    exact: 37,500 units make one ten-thousandth.
+    Worked out in whole units so small that every rate is a whole number of them.
     """
+    unit = lcm(*(rate.denominator for rate in RATES.values()), 2 * STEPS)
+    whole = {name: int(rate * unit) for name, rate in RATES.items()}
+    step = unit // STEPS
     units = (
-        duration_s.cast("long") * 312_500
-        + bytes_total.cast("long") * 3
-        + F.when(record_type == "SMS", F.lit(18_750_000)).otherwise(0)
-        + F.when(roaming_partner != "", F.lit(750_000_000)).otherwise(0)
+        duration_s.cast("long") * whole["second"]
+        + bytes_total.cast("long") * whole["byte"]
+        + F.when(record_type == "SMS", F.lit(whole["sms"])).otherwise(0)
+        + F.when(roaming_partner != "", F.lit(whole["roaming"])).otherwise(0)
     )
-    steps = F.call_function("div", units + 18_750, F.lit(37_500))
+    steps = F.call_function("div", units + step // 2, F.lit(step))
     return (steps.cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(
         "decimal(12,4)"
     )

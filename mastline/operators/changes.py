@@ -212,20 +212,22 @@ def rate_usage(df: DataFrame) -> DataFrame:
 _HEX = "0123456789abcdef"
 
 
-def correction_batch(issued: DataFrame, batch_id: int, ingest_ts: Column, n: int = 200) -> DataFrame:
-    """Re-rate a sample of n issued records as version 2: refunded, halved or raised by 25 %.
+def correction_batch(
+    issued: DataFrame, batch_id: int, ingest_ts: Column, share: float
+) -> DataFrame:
+    """Re-rate a share of the issued records as version 2: refunded, halved or raised by 25 %.
 
     Sample and factor come from a digest of batch and record, so a rerun gives the same
     batch. The whole row is replaced; access point and partner become empty.
     """
+    below = f"{int(share * 16**8):08x}" if share < 1 else "g"
     digest = F.md5(F.concat(F.lit(f"{batch_id}:"), F.col("xdr_id")))
     lot = F.instr(F.lit(_HEX), F.substring("_digest", 1, 1)) % 3
     factor = F.when(lot == 0, F.lit("0.00")).when(lot == 1, F.lit("0.50")).otherwise("1.25")
     names = issued.columns
     return (
         issued.withColumn("_digest", digest)
-        .orderBy("_digest", "xdr_id")
-        .limit(n)
+        .filter(F.col("_digest") < below)
         .withColumns(
             {
                 "record_version": F.lit(2),

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 FANOUT = 8
-_SALT = "_salt"
+_SALT, _KEY = "_salt", "_boxed_key"
 
 
 def spread_join(
@@ -19,25 +19,28 @@ def spread_join(
 ) -> DataFrame:
     """Join many rows to a narrow lookup whose keys may be very unevenly used.
 
-    ``spread`` names columns that differ between the facts of one key. Together with the
-    input partition (which tells copies of one row apart) they pick one of ``fanout``
-    salts, so the rows of a hot key land in that many tasks; the lookup is repeated once
-    per salt. Both are the same when a lost task runs again. Valid for joins that keep or
-    filter the facts. No broadcast is forced: Spark broadcasts the lookup only where its
-    own size check allows.
+    ``spread`` names columns that differ between the facts of one key. Their hash picks one
+    of ``fanout`` salts, so the rows of a hot key land in that many tasks, each of which
+    adaptive execution can split further; the lookup is repeated once per salt. The salt
+    depends on the row alone: filters pass through it, and a lost task makes it again.
+    Valid for joins that keep or filter the facts. NULL keys match nothing. No broadcast is
+    forced: Spark broadcasts the lookup only where its own size check allows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat lookup rows once per salt")
-    by_row = F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int")
-    salted = facts.withColumn(_SALT, F.pmod(by_row + F.spark_partition_id(), F.lit(fanout)))
+    salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int"))
     repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
 def rows_of(df: DataFrame, keys: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
-    """Rows whose key is in a (small or distinct) key set, even if one key has most rows."""
-    wanted = keys.select(key).filter(F.col(key).isNotNull())
-    return spread_join(df, wanted, [key], "left_semi", spread)
+    """Rows whose key is in a (small or distinct) key set, even if one key has most rows.
+
+    A NULL key is a key like any other, as in ``keep_keys``: structs compare that way.
+    """
+    boxed = F.struct(F.col(key).alias("k")).alias(_KEY)
+    found = spread_join(df.select("*", boxed), keys.select(boxed), [_KEY], "left_semi", spread)
+    return found.drop(_KEY)
 
 
 def keep_keys(

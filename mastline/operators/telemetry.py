@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mastline.operators.joins import spread_join
 
-# fixed values: job categories, counters of a job profile, refresh order
+# fixed values: job categories, counters of a job profile
 CATEGORIES = ["incremental", "full", "source_change", "consumption"]
 COUNTERS = [
     "inputRowCount",
@@ -19,13 +19,6 @@ COUNTERS = [
     "spillingBytes",
 ]
 METRICS = [*COUNTERS, "cpu_wall_seconds", "job_meter_cru"]
-REFRESH_ORDER = [
-    "subscription_features",
-    "billing_features",
-    "care_features",
-    "customer_features",
-    "customer_tags",
-]
 DERIVED_TYPES = ["DYNAMIC_TABLE", "MATERIALIZED_VIEW"]
 STORAGE_RATE = 0.025
 
@@ -61,6 +54,17 @@ def _sum_if_complete(value: Column, member: Column) -> Column:
     return F.when(complete, F.coalesce(F.sum(F.when(member, value)), F.lit(0)))
 
 
+def _last_seen(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key of documents collected again and again: that of the last snapshot.
+
+    Without a ``snapshot`` column, or within one, the latest end and then a fingerprint
+    decide, so that reruns agree.
+    """
+    order = [name for name in ("snapshot", "end_time") if name in df.columns]
+    last = F.max_by(F.struct(*df.columns), F.struct(*order, F.xxhash64(*df.columns)))
+    return df.groupBy(*key).agg(last.alias("_last")).select("_last.*").drop("snapshot")
+
+
 def run_rollup(
     manifest: DataFrame, history: DataFrame, jobs: DataFrame, profiles: DataFrame
 ) -> DataFrame:
@@ -68,10 +72,15 @@ def run_rollup(
 
     manifest: run_id, seq, label, category, job_id, ok; history: run_id, job_id,
     refresh_mode, duration_s, end_time; jobs: job_id, execution_s, end_time; profiles as
-    given by ``profile_metrics``. A refresh takes its time from the history, any other
-    statement from its job. Statement totals are kept in one row per run, not in lists, so
-    a run of any length is aggregated in parts.
+    given by ``profile_metrics``. The last three may hold a document several times, with
+    the number of its ``snapshot``; the last one counts. A refresh takes its time from the
+    history, any other statement from its job. Statement totals are kept in one row per
+    run, so a run of any length is aggregated in parts; only the refresh modes, which the
+    result lists in statement order, are gathered.
     """
+    history = _last_seen(history, ["run_id", "job_id"])
+    jobs = _last_seen(jobs, ["job_id"])
+    profiles = _last_seen(profiles, ["run_id", "label"])
     lookup = (
         manifest.join(
             history.select(
@@ -112,15 +121,9 @@ def run_rollup(
             _sum_if_complete(F.col(metric), member).alias(f"{category}_{metric}")
             for metric in METRICS
         ]
-    for name in REFRESH_ORDER:
-        outputs.append(
-            F.max(
-                F.when(
-                    refreshed & (F.col("label") == f"refresh_{name}"),
-                    F.concat_ws(":", F.lit(name), "refresh_mode"),
-                )
-            ).alias(f"_mode_{name}")
-        )
+    mode = F.concat(F.regexp_replace("label", "^refresh_", ""), F.lit(":"), "refresh_mode")
+    listed = F.when(refreshed & mode.isNotNull(), F.struct("seq", mode.alias("mode")))
+    outputs.append(F.sort_array(F.collect_list(listed)).alias("_modes"))
     last_change = F.when(F.col("category") == "source_change", F.col("seq"))
     outputs += [
         F.max_by("_job_end", last_change).alias("_committed"),
@@ -133,7 +136,7 @@ def run_rollup(
     hidden = [c for c in rolled.columns if c.startswith("_")]
     return rolled.withColumns(
         {
-            "refresh_modes": F.concat_ws(";", *[f"_mode_{name}" for name in REFRESH_ORDER]),
+            "refresh_modes": F.array_join(F.col("_modes")["mode"], ";"),
             "last_source_commit_to_tags_seconds": (
                 F.unix_micros(F.col("_ready").cast("timestamp"))
                 - F.unix_micros(F.col("_committed").cast("timestamp"))
@@ -149,16 +152,20 @@ _MARGIN = 5 * _RANK_ERROR
 
 
 def summarise(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """n, exact median, nearest-rank p95, min and max per group; NULLs do not count.
+    """n, exact median, nearest-rank p95, min and max per group; NULL values do not count.
+
+    A NULL group is a group like any other: groups are compared as structs.
 
     No group is gathered in one place. A sketch brackets the wanted ranks; values outside
     the brackets are only counted, and equal values inside them are counted together, so
     the exact ranks are found among a five-thousandth of the values of a group. Should a
     rank ever fall outside its bracket, the query fails rather than answer wrongly.
     """
-    present = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    present = df.select(
+        F.struct(*group).alias("_g"), F.col(value).cast("double").alias("_v")
+    ).filter("_v IS NOT NULL")
     brackets = [p + side * _MARGIN for p in (0.5, 0.95) for side in (-1, 1)]
-    sketch = present.groupBy(*group).agg(
+    sketch = present.groupBy("_g").agg(
         F.percentile_approx("_v", brackets, int(1 / _RANK_ERROR)).alias("_b"),
         F.count("*").alias("n"),
         F.min("_v").alias("min"),
@@ -171,9 +178,7 @@ def summarise(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
             "_r3": F.ceil(F.col("n") * F.lit(0.95)).cast("long"),
         }
     )
-    near = spread_join(
-        present, ranked.select(*group, "_b"), list(group), "inner", spread=["_v"]
-    )
+    near = spread_join(present, ranked.select("_g", "_b"), ["_g"], "inner", spread=["_v"])
     v, b = F.col("_v"), F.col("_b")
     zone = (
         F.when(v < b[0], 0).when(v <= b[1], 1).when(v < b[2], 2).when(v <= b[3], 3).otherwise(4)
@@ -181,25 +186,25 @@ def summarise(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     # one row per value inside a bracket, one row per zone outside
     counted = (
         near.withColumn("_zone", zone)
-        .groupBy(*group, "_zone", F.when(F.col("_zone").isin(1, 3), v).alias("_v"))
+        .groupBy("_g", "_zone", F.when(F.col("_zone").isin(1, 3), v).alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
     upto = (
-        Window.partitionBy(*group)
+        Window.partitionBy("_g")
         .orderBy("_zone", "_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(
-        ranked.select(*group, "_r1", "_r2", "_r3"), list(group)
+        ranked.select("_g", "_r1", "_r2", "_r3"), "_g"
     )
     holds = lambda rank: (F.col(rank) <= F.col("_upto")) & (F.col(rank) > F.col("_upto") - F.col("_n"))
     missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
     at = lambda rank: F.max(F.when(holds(rank), F.coalesce(v, missed)))
-    exact = placed.groupBy(*group).agg(
+    exact = placed.groupBy("_g").agg(
         ((at("_r1") + at("_r2")) / 2).alias("median"), at("_r3").alias("p95_nearest_rank")
     )
-    return ranked.join(exact, list(group)).select(
-        *group, "n", "median", "p95_nearest_rank", "min", "max"
+    return ranked.join(exact, "_g").select(
+        *[F.col("_g")[name].alias(name) for name in group], "n", "median", "p95_nearest_rank", "min", "max"
     )
 
 

@@ -20,20 +20,27 @@ def version_order() -> Column:
     return F.struct(*_ORDER, fingerprint(XDR.names))
 
 
-def latest_versions(raw: DataFrame, key: str = "xdr_id") -> DataFrame:
-    """One whole row per key: highest version, then latest ingest, then latest batch.
-
-    The rank limit lets Spark drop superseded rows before the shuffle, so a key repeated
-    across a third of the input sends one row per task.
+def latest_versions(
+    raw: DataFrame, key: str = "xdr_id", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per key: highest version, then latest ingest, then latest batch.
+
+    Different rows that agree in all three are settled by a fingerprint of the declared
+    record, whatever else ``raw`` has and whichever ``columns`` are asked for: every reader
+    and every stream picks the same row. The fingerprint is taken before the shuffle, so
+    only the wanted columns travel. The rank limit lets Spark drop superseded rows before
+    it, so a key repeated across a third of the input sends one row per task.
     """
+    wanted = raw.columns if columns is None else list(dict.fromkeys([key, *_ORDER, *columns]))
     latest_first = Window.partitionBy(key).orderBy(
-        *[F.col(name).desc() for name in _ORDER if name in raw.columns],
-        fingerprint(raw.columns).desc(),
+        *[F.col(name).desc() for name in _ORDER], F.col("_tie").desc()
     )
     return (
-        raw.withColumn("_rank", F.row_number().over(latest_first))
+        raw.withColumn("_tie", fingerprint(XDR.names))
+        .select(*wanted, "_tie")
+        .withColumn("_rank", F.row_number().over(latest_first))
         .filter("_rank = 1")
-        .drop("_rank")
+        .drop("_rank", "_tie")
     )
 
 
@@ -48,12 +55,7 @@ def with_event_time(latest: DataFrame) -> DataFrame:
 
 
 def sessions(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Current usage records. ``columns`` limits the scan to what one rollup needs.
-
-    Rows of one id that agree in version, ingest time and batch but differ otherwise are
-    ordered by the columns read; pipelines that feed several rollups read all columns.
-    """
+    """Current usage records. ``columns`` limits the shuffle to what one rollup needs."""
     if columns is not None:
-        needed = dict.fromkeys(["xdr_id", *_ORDER, "event_ts", *columns])
-        raw = raw.select(*needed)
-    return with_event_time(latest_versions(raw))
+        columns = ["event_ts", *columns]
+    return with_event_time(latest_versions(raw, columns=columns))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mastline.functions.usage import seconds_between
 from mastline.operators import features as f
 from mastline.operators.changes import affected_by_feature
-from mastline.operators.joins import rows_of, union_all
+from mastline.operators.joins import keep_keys, rows_of, union_all
 from mastline.operators.tags import customer_tags
 from mastline.plans.base import BaseTables, Change
 from mastline.sources.store import Commit, CommitLog, KeyedTable, write_counted
@@ -173,7 +173,7 @@ class TagTables:
 
 def _cut(df: DataFrame, keys: DataFrame, spread: list[str]) -> DataFrame:
     """Rows of the wanted customers; tables with one row per customer need no spreading."""
-    return rows_of(df, keys, _KEY, spread) if spread else df.join(keys, _KEY, "left_semi")
+    return rows_of(df, keys, _KEY, spread) if spread else keep_keys(df, keys, [_KEY])
 
 
 def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from mastline.operators.joins import union_all
 from mastline.operators.tags import campaign_audience, tag_counts
 from mastline.operators.versions import sessions
 from mastline.plans import scenarios
+from mastline.plans.base import Change
 from mastline.plans.refresh import TagTables
 from mastline.plans.tagging import features_from_base, tags_from_base
 from mastline.schemas import TAG_COLUMNS
@@ -120,7 +121,8 @@ def rate_usage(spark, sf):
 @registered
 def correction_batch(spark, sf):
     issued = fx.table(spark, sf, "xdr_v1")
-    return ch.correction_batch(issued, 7, F.lit("2026-09-10 00:00:00").cast("timestamp_ntz"))
+    when = F.lit("2026-09-10 00:00:00").cast("timestamp_ntz")
+    return ch.correction_batch(issued, 7, when, share=1 / 40)
 
 
 # --- landing, loading, streaming
@@ -214,12 +216,13 @@ def unpurged_files(spark, sf):
 
 @registered
 def ingest_once(spark, sf):
-    """Two batches arrive, three runs load them: each file counts once."""
+    """The first batch and the others arrive, three runs load them: each file counts once."""
     xdr = _xdr(spark, sf)
     folder, raw, state = (new_folder(spark, name) for name in ("landing", "raw", "ingest"))
-    for batch in (0, None, 1):
-        if batch is not None:
-            landing.write_landing(xdr.filter(F.col("batch_id") == batch), folder)
+    first = F.col("batch_id").eqNullSafe(0)
+    for arrived in (first, None, ~first):
+        if arrived is not None:
+            landing.write_landing(xdr.filter(arrived), folder)
         ingest_stream(stream_xdr(spark, folder), raw, state).awaitTermination()
     return (
         landing.read_raw(spark, raw)
@@ -353,22 +356,23 @@ def audience(spark, sf):
     return campaign_audience(tags_from_base(fx.base_tables(spark, sf)))
 
 
-@registered
-def seeded_tags(spark, sf):
-    """Tag totals of the arithmetic data set, sized by the given customers and orders."""
-    customers = fx.table(spark, sf, "customer").count()
-    subscriptions = fx.table(spark, sf, "orders").count()
-    return tag_counts(tags_from_base(fx.seed_base(spark, customers, subscriptions)))
+# --- changes
 
 
-# --- changes
+def _stored_outcome(spark: SparkSession, sf: str, case: str):
+    """As ``_outcome``, with what changed written down, as a change feed hands it over."""
+    old, new, changes = _outcome(spark, sf, case)
+    folder = new_folder(spark, f"changes-{case}")
 
+    def stored(df: DataFrame | None, name: str) -> DataFrame | None:
+        return None if df is None else publish(df, f"{folder}/{name}")
 
-@registered
-def changed_keys(spark, sf):
-    """A fifteenth of the customer numbers, spread over the range 1..customers."""
-    customers = fx.table(spark, sf, "customer").count()
-    return fx.spread_keys(spark, max(1, customers // 15), customers)
+    for table in {change.table for change in changes}:
+        new = new.with_table(table, stored(getattr(new, table), table))
+    return old, new, [
+        Change(c.table, stored(c.before, f"{i}-before"), stored(c.after, f"{i}-after"))
+        for i, c in enumerate(changes)
+    ]
 
 
 def _change_query(case: str) -> Query:
@@ -381,7 +385,7 @@ def _change_query(case: str) -> Query:
 
 def _incremental_query(case: str) -> Query:
     def query(spark, sf):
-        old, new, changes = _outcome(spark, sf, case)
+        old, new, changes = _stored_outcome(spark, sf, case)
         tables = TagTables(spark, new_folder(spark, f"tags-{case}"))
         tables.build(old)
         tables.refresh(old, new, changes)
@@ -398,7 +402,7 @@ for _case in CASES:
 @registered
 def refresh_noop(spark, sf):
     """A cycle without changes leaves all five tables alone."""
-    old, new, changes = _outcome(spark, sf, "noop")
+    old, new, changes = _stored_outcome(spark, sf, "noop")
     tables = TagTables(spark, new_folder(spark, "tags-noop"))
     tables.build(old)
     tables.refresh(old, new, changes)
@@ -410,7 +414,7 @@ def refresh_noop(spark, sf):
 @registered
 def refresh_history(spark, sf):
     """What a refresh after the delta change did to each table."""
-    old, new, changes = _outcome(spark, sf, "delta")
+    old, new, changes = _stored_outcome(spark, sf, "delta")
     tables = TagTables(spark, new_folder(spark, "tags-history"))
     tables.build(old)
     tables.refresh(old, new, changes)
@@ -493,7 +497,7 @@ def publish_versions(spark, sf):
 @registered
 def verify_mismatches(spark, sf):
     """The maintained tags against the rebuild, and against the tags before the change."""
-    old, new, changes = _outcome(spark, sf, "terminate")
+    old, new, changes = _stored_outcome(spark, sf, "terminate")
     tables = TagTables(spark, new_folder(spark, "tags-verify"))
     tables.build(old)
     tables.refresh(old, new, changes)
@@ -528,6 +532,8 @@ def orphan_rows(spark, sf):
         ("customer_bill", "account_id", "billing_account"),
         ("billing_account", "customer_id", "customer"),
         ("trouble_ticket", "customer_id", "customer"),
+        ("product_inventory", "customer_id", "customer"),
+        ("product_inventory", "account_id", "billing_account"),
     ]
     return union_all(
         [

@@ -1,4 +1,7 @@
-"""Run telemetry derived from the test events: sixteen statements make one run."""
+"""Run telemetry derived from the test events: sixteen statements make one run.
+
+Some jobs and refreshes were collected twice; the older snapshot says something else.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +20,16 @@ from events""",
     "history": """
 select CONCAT('run_', CAST(event_id {DIV} 16 AS {STRING})) AS run_id, CAST(event_id AS {STRING}) AS job_id,
  CASE event_type WHEN 'click' THEN 'NO_DATA' WHEN 'view' THEN 'FULL' ELSE 'INCREMENTAL' END AS refresh_mode,
- CAST(event_id % 400 AS DOUBLE) / 4 AS duration_s, ts + INTERVAL 15 SECOND AS end_time
-from events where event_id % 16 between 2 and 6 and event_id % 11 <> 0""",
+ CAST(event_id % 400 AS DOUBLE) / 4 AS duration_s, ts + INTERVAL 15 SECOND AS end_time, 1 AS snapshot
+from events where event_id % 16 between 2 and 6 and event_id % 11 <> 0
+union all select CONCAT('run_', CAST(event_id {DIV} 16 AS {STRING})), CAST(event_id AS {STRING}), 'RUNNING',
+ CAST(event_id % 30 AS DOUBLE), ts + INTERVAL 60 SECOND, 0
+from events where event_id % 16 between 2 and 6 and event_id % 11 <> 0 and event_id % 7 = 0""",
     "jobs": """
-select CAST(event_id AS {STRING}) AS job_id, CAST(event_id % 80 AS DOUBLE) / 4 AS execution_s, ts AS end_time
-from events where event_id % 13 <> 0""",
+select CAST(event_id AS {STRING}) AS job_id, CAST(event_id % 80 AS DOUBLE) / 4 AS execution_s, ts AS end_time, 1 AS snapshot
+from events where event_id % 13 <> 0
+union all select CAST(event_id AS {STRING}), CAST(event_id % 50 AS DOUBLE), ts + INTERVAL 90 SECOND, 0
+from events where event_id % 13 <> 0 and event_id % 3 = 0""",
 }
 
 PROFILES = """

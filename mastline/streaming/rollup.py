@@ -7,7 +7,8 @@ is superseded takes back what it had contributed, wherever that was.
 The stream's keyed state knows the current image of every record, how often it was seen
 and on which event days. So only records seen before look for the image they replace, and
 only in the folders of those days. Work per micro-batch follows the batch and the days it
-touches, not the history.
+touches, not the history: the days, a bounded list, become literal partition filters, and
+the logs are folded every ``compact_every`` versions.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -95,8 +96,8 @@ def _contributions(signed: DataFrame) -> DataFrame:
 class HourlyRollup:
     """The maintained rollup: images and contributions by day, cell-hours as a keyed table."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 100):
+        self.spark, self.path, self.compact_every = spark, path, compact_every
         self.log = CommitLog(spark, f"{path}/commits")
         self.table = KeyedTable(f"{path}/hourly", CELL_HOUR, HOURLY, self.log)
 
@@ -125,13 +126,19 @@ class HourlyRollup:
             self._replaced(known, fresh, version).select("day", *_IMAGE, F.lit(-1).alias("_sign"))
         )
         self._write(_contributions(signed), self._folder("contributions"), version)
-        log = self._log()
-        touched = log.filter(F.col(_VERSION) == version).select(*CELL_HOUR, "day").distinct()
-        standing = keep_keys(
-            log.filter(F.col(_VERSION) <= version), touched, CELL_HOUR, plain=["day"]
-        )
+        standing = self._standing(version)
         self.table.upsert(_settled(standing), version, removed=F.col("sessions") == 0)
         self.log.write()
+        if version % self.compact_every == self.compact_every - 1:
+            self.compact()
+            self.table.compact()
+
+    def _standing(self, version: int) -> DataFrame:
+        """All contributions to the cell-hours that a version touched."""
+        log = self._log()
+        touched = log.filter(F.col(_VERSION) == version).select(*CELL_HOUR, "day").distinct()
+        upto = log.filter((F.col(_VERSION) <= version) & _on_days(touched))
+        return keep_keys(upto, touched, CELL_HOUR, plain=["day"])
 
     def compact(self) -> None:
         """Fold the logs: one image per record, one contribution per cell-hour and subscriber.
@@ -162,10 +169,17 @@ class HourlyRollup:
     def _replaced(self, known: DataFrame, fresh: DataFrame, version: int) -> DataFrame:
         """The images that records of this micro-batch had before it."""
         again = fresh.filter("seen > 1").select("xdr_id", F.explode("days").alias("day"))
-        earlier = keep_keys(
-            known.filter(F.col(_VERSION) < version), again, ["xdr_id"], plain=["day"]
-        )
-        return _newest(earlier)
+        before = known.filter((F.col(_VERSION) < version) & _on_days(again))
+        return _newest(keep_keys(before, again, ["xdr_id"], plain=["day"]))
+
+
+def _on_days(rows: DataFrame) -> Column:
+    """Whether a folder's day is among those of ``rows``, as literals: one value a day.
+
+    Pruning by a join would depend on Spark broadcasting the other side.
+    """
+    days = [row["day"] for row in rows.select("day").distinct().collect()]
+    return F.col("day").isin(days) if days else F.lit(False)
 
 
 def _newest(images: DataFrame) -> DataFrame:

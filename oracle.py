@@ -216,7 +216,9 @@ def _run_rollup() -> str:
 SELECT m.*, h.refresh_mode, h.job_id IS NOT NULL AND m.category = 'incremental' AS refreshed,
  CASE WHEN h.job_id IS NOT NULL AND m.category = 'incremental' THEN h.duration_s ELSE j.execution_s END AS seconds,
  h.end_time AS history_end, j.end_time AS job_end, p.*
-FROM manifest m LEFT JOIN history h ON h.run_id = m.run_id AND h.job_id = m.job_id LEFT JOIN jobs j ON j.job_id = m.job_id
+FROM manifest m LEFT JOIN (FROM history QUALIFY snapshot = max(snapshot) OVER (PARTITION BY run_id, job_id)) h
+ ON h.run_id = m.run_id AND h.job_id = m.job_id
+ LEFT JOIN (FROM jobs QUALIFY snapshot = max(snapshot) OVER (PARTITION BY job_id)) j ON j.job_id = m.job_id
  LEFT JOIN (SELECT e.event_id AS profile_of, {profile} FROM events e WHERE e.event_id % 17 <> 0) p ON p.profile_of = m.seq""",
     }
     columns = []
@@ -267,37 +269,6 @@ def _redacted(expr: str) -> str:
     return expr
 
 
-def _seeded() -> str:
-    """The arithmetic data set over the numbers of given customers and orders."""
-    ctes = {
-        "sizes": "SELECT (SELECT COUNT(*) FROM customer) AS c, (SELECT COUNT(*) FROM orders) AS s",
-        "seed_customer": """
-SELECT n AS customer_id, 'active' AS status, n % 7 <> 0 AS marketing_consent
-FROM sizes, unnest(range(1, c + 1)) AS r(n)""",
-        "seed_account": "SELECT customer_id AS account_id, customer_id FROM seed_customer",
-        "seed_offering": "FROM (VALUES (1, 'mobile'), (2, 'broadband')) AS v(offering_id, family)",
-        "seed_inventory": """
-SELECT (n - 1) % c + 1 AS customer_id, CASE WHEN n % 5 = 0 THEN 2 ELSE 1 END AS offering_id, 'active' AS status,
- CAST(40 + n % 100 AS DECIMAL(12,2)) AS monthly_charge, n % 60 <= 30 AS renewal_due
-FROM sizes, unnest(range(1, s + 1)) AS r(n)""",
-        "seed_bill": """
-SELECT customer_id AS account_id, CAST(CASE WHEN customer_id % 9 = 0 THEN 75 ELSE 0 END AS DECIMAL(12,2)) AS outstanding_amount,
- customer_id % 60 >= 30 AS overdue_30 FROM seed_customer""",
-        "seed_ticket": """
-SELECT customer_id, 'open' AS status, 'high' AS priority FROM seed_customer WHERE customer_id % 20 = 0""",
-    }
-    tags = _tag_ctes(
-        "_seed",
-        customer="seed_customer",
-        billing_account="seed_account",
-        product_offering="seed_offering",
-        product_inventory="seed_inventory",
-        customer_bill="seed_bill",
-        trouble_ticket="seed_ticket",
-    )
-    return _sql({**ctes, **tags}, "SELECT " + _totals() + " FROM tags_seed")
-
-
 def _totals() -> str:
     return ", ".join(f"CAST(SUM({flag}) AS BIGINT) AS {flag}" for flag in FLAGS)
 
@@ -308,6 +279,8 @@ def _orphans() -> str:
         ("customer_bill", "account_id", "billing_account"),
         ("billing_account", "customer_id", "telco_customer"),
         ("trouble_ticket", "customer_id", "telco_customer"),
+        ("product_inventory", "customer_id", "telco_customer"),
+        ("product_inventory", "account_id", "billing_account"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{child}' AS child, {col} AS missing, COUNT(*) AS rows FROM {child} c"
@@ -346,16 +319,18 @@ FROM sessions GROUP BY ALL""",
         ),
         "rate_usage": _sql(
             _XDR,
-            """SELECT xdr_id, record_version, CAST(((CAST(duration_s AS BIGINT) * 312500 + (bytes_ul + bytes_dl) * 3
- + CASE record_type WHEN 'SMS' THEN 18750000 ELSE 0 END + CASE roaming_partner WHEN '' THEN 0 ELSE 750000000 END
- + 18750) // 37500) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS rated_amount FROM xdr""",
+            # 0.05 a minute, 8 per 10^9 bytes, 0.05 an SMS, 2 for roaming: sixty times the price is exact
+            """SELECT xdr_id, record_version,
+ CAST((CAST(sixty * 100000000 AS HUGEINT) + 300000) // 600000 AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS rated_amount
+FROM (SELECT *, CAST(duration_s AS DECIMAL(18,0)) * 0.05 + CAST(bytes_ul + bytes_dl AS DECIMAL(18,0)) * 0.00000048
+  + CASE record_type WHEN 'SMS' THEN 3.0 ELSE 0.0 END + CASE roaming_partner WHEN '' THEN 0.0 ELSE 120.0 END AS sixty FROM xdr)""",
         ),
         "correction_batch": _sql(
             _inputs("xdr_v1"),
             """SELECT * EXCLUDE digest REPLACE (CAST(2 AS INTEGER) AS record_version, '' AS apn, '' AS roaming_partner,
  TIMESTAMP '2026-09-10 00:00:00' AS ingest_ts, CAST(7 AS INTEGER) AS batch_id, 'CORRECTION' AS batch_type,
  CAST(rated_amount * CASE instr('0123456789abcdef', digest[1]) % 3 WHEN 0 THEN 0.00 WHEN 1 THEN 0.50 ELSE 1.25 END AS DECIMAL(12,4)) AS rated_amount)
-FROM (SELECT *, md5('7:' || xdr_id) AS digest FROM xdr_v1) ORDER BY digest, xdr_id LIMIT 200""",
+FROM (SELECT *, md5('7:' || xdr_id) AS digest FROM xdr_v1) WHERE digest < '06666666'""",
         ),
         "landing_scan": _sql(_XDR, "SELECT * FROM xdr"),
         "landing_layout": _sql(
@@ -420,9 +395,6 @@ WHERE sessions >= 2 ORDER BY sessions DESC, event_hour, reliability LIMIT 24""",
             _BASE_TAGS,
             "SELECT customer_id, rule_version FROM tags WHERE broadband_cross_sell = 1 AND campaign_suppressed = 0 ORDER BY customer_id LIMIT 100",
         ),
-        "seeded_tags": _seeded(),
-        "changed_keys": """
-SELECT (n - 1) * 7919 % c + 1 AS customer_id FROM (SELECT COUNT(*) AS c FROM customer), unnest(range(1, c // 15 + 1)) AS r(n)""",
         "refresh_noop": " UNION ALL ".join(
             ["SELECT 'subscription_features' AS table_name, 'NO_DATA' AS refresh_mode, CAST(0 AS BIGINT) AS affected_keys,"
              " CAST(0 AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_deleted"]

@@ -315,6 +315,31 @@ def test_run_documents_to_rollup(spark, tmp_path):
     assert two.last_source_commit_to_tags_seconds is None and not two.all_statements_ok
 
 
+def test_a_null_group_is_summarised_too(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), ("b", None)], "g string, v double")
+    rows = {r.g: (r.n, r.median, r.max) for r in telemetry.summarise(df, ["g"], "v").collect()}
+    assert rows == {"a": (2, 1.5, 2.0), None: (1, 3.0, 3.0)}
+
+
+def test_documents_collected_twice_count_once(spark):
+    manifest = spark.createDataFrame(
+        [("r", 2, "refresh_b", "incremental", "2", True), ("r", 1, "refresh_other", "incremental", "1", True), ("r", 3, "q", "full", "3", True)],
+        "run_id string, seq int, label string, category string, job_id string, ok boolean",
+    )
+    history = spark.createDataFrame(
+        [("r", "1", "RUNNING", 9.0, 0), ("r", "1", "FULL", 1.0, 1), ("r", "2", "INCREMENTAL", 2.0, 0), ("r", "2", "INCREMENTAL", 2.0, 0)],
+        "run_id string, job_id string, refresh_mode string, duration_s double, snapshot int",
+    ).selectExpr("*", "TIMESTAMP_NTZ '2026-09-10 00:00:00' AS end_time")
+    jobs = spark.createDataFrame([("3", 1.5, 1), ("3", 1.0, 0), ("3", 1.5, 1)], "job_id string, execution_s double, snapshot int").selectExpr(
+        "*", "TIMESTAMP_NTZ '2026-09-10 00:00:00' AS end_time"
+    )
+    stats = spark.createDataFrame([("r", "q", {"inputBytes": "7"}, [])] * 2, "run_id string, label string, stats map<string,string>, meter array<struct<key:string,unit:string,value:string>>")
+    run = telemetry.run_rollup(manifest, history, jobs, telemetry.profile_metrics(stats)).first()
+    assert (run.full_server_seconds, run.full_job_count, run.full_inputBytes) == (1.5, 1, 7)
+    assert (run.incremental_server_seconds, run.incremental_job_count) == (3.0, 2)
+    assert run.refresh_modes == "other:FULL;b:INCREMENTAL"
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("b", 2)], "run_id string, n int").coalesce(1)
     reports.write_report(df, f"{tmp_path}/csv")

@@ -99,6 +99,29 @@ def test_streams_equal_batch_after_every_load(spark):
     assert tuple(quality.verify_equal(reopened, expected, expected.columns).first()) == (0, 0)
 
 
+def test_touched_days_are_literal_partition_filters(spark):
+    folder = new_folder(spark, "landing")
+    hourly = HourlyRollup(spark, new_folder(spark, "hourly"), compact_every=2)
+    state = new_folder(spark, "state")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for rows in BATCHES:
+            landing.write_landing(xdr_frame(spark, rows), folder)
+            keep_hourly(stream_xdr(spark, folder), hourly, state).awaitTermination()
+        last = max(c.version for c in hourly.log.commits() if c.kind == "changes")
+        plan = hourly._standing(last)._jdf.queryExecution().executedPlan().toString()
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+        assert filters and all("dynamicpruning" not in line for line in filters)
+        assert any(" day#" in line.split("PartitionFilters")[1] and "-" in line.split("PartitionFilters")[1] for line in filters)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    raw = xdr_frame(spark, [row for rows in BATCHES for row in rows])
+    expected = rollups.hourly_cell_usage(sessions(raw))
+    assert tuple(quality.verify_equal(hourly.read(), expected, expected.columns).first()) == (0, 0)
+    assert any(c.kind == "logs" for c in hourly.log.commits())
+
+
 def test_bound_splits_and_loses_nothing(spark):
     df = xdr_frame(spark, SECOND)
     near, far = within_bound(df, 69), beyond_bound(df, 69)

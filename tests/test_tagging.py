@@ -229,3 +229,23 @@ def test_transitions_of_nothing(base):
     none = tags_from_base(base).limit(0)
     row = ch.tag_transitions(none, none).first()
     assert tuple(row) == (0, None, None)
+
+
+def test_rows_without_a_customer_survive_a_refresh(spark, base):
+    lost = F.col("customer_id") % 5 == 1
+    without = lambda df: df.withColumn("customer_id", F.when(~lost, F.col("customer_id")))
+    old = base.with_table("product_inventory", without(base.product_inventory))
+    old = old.with_table("trouble_ticket", without(old.trouble_ticket))
+    tables = TagTables(spark, new_folder(spark, "tags"), full_ratio=1e9)
+    tables.build(old)
+    before = old.product_inventory
+    raised = before.withColumn("monthly_charge", (F.col("monthly_charge") + 1).cast("decimal(12,2)"))
+    picked = F.col("subscription_id") % 3 == 0
+    new = old.with_table("product_inventory", raised.filter(picked).unionByName(before.filter(~picked)))
+    tables.refresh(old, new, [Change("product_inventory", before.filter(picked), raised.filter(picked))])
+    rebuilt = TagTables(spark, new_folder(spark, "tags"))
+    rebuilt.build(new)
+    for name in tables.tables:
+        both = quality.verify_equal(tables.read(name), rebuilt.read(name), rebuilt.read(name).columns)
+        assert tuple(both.first()) == (0, 0), name
+    assert tables.read("subscription_features").filter("customer_id IS NULL").count() == 1

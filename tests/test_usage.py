@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mastline.functions.usage import hour_of, hours_between, interval_seconds, lateness_bucket
 from mastline.operators import rollups
 from mastline.operators.changes import correction_batch, rate_usage
-from mastline.operators.versions import latest_versions, sessions
+from mastline.operators.versions import latest_versions, sessions, version_order
 from tests.records import HOUR, collected, xdr, xdr_frame
 
 H, M = dt.timedelta(hours=1), dt.timedelta(minutes=1)
@@ -138,9 +138,11 @@ def test_rating_is_exact(spark):
 def test_corrections_replace_the_row_and_repeat(spark):
     issued = xdr_frame(spark, [xdr(str(i), rated_amount=Decimal("2.0000")) for i in range(500)])
     when = F.lit("2026-09-12 00:00:00").cast("timestamp_ntz")
-    batch = correction_batch(issued, 3, when)
+    batch = correction_batch(issued, 3, when, share=0.4)
     rows = batch.collect()
-    assert len(rows) == 200 and rows == correction_batch(issued.repartition(5), 3, when).collect()
+    again = correction_batch(issued.repartition(5), 3, when, share=0.4).collect()
+    assert 150 < len(rows) < 250 and {r.xdr_id: r for r in rows} == {r.xdr_id: r for r in again}
+    assert correction_batch(issued, 3, when, share=1).count() == 500
     assert {r.rated_amount for r in rows} == {Decimal("0.0000"), Decimal("1.0000"), Decimal("2.5000")}
     assert {(r.record_version, r.apn, r.batch_type) for r in rows} == {(2, "", "CORRECTION")}
     assert batch.schema.names == issued.schema.names
@@ -158,3 +160,26 @@ def test_months_have_no_length(spark):
     df = spark.createDataFrame([(1, 0, 0)], "m int, d int, n long")
     with pytest.raises(Exception, match="months"):
         df.select(interval_seconds(F.col("m"), F.col("d"), F.col("n"))).collect()
+
+
+def tying_rows():
+    """Forty ids, each with two different rows that agree in version, ingest time and batch."""
+    return [
+        xdr(str(i), rated_amount=Decimal(f"{amount}.0000"), msisdn=f"m{i % 7}{amount}", cell_id=f"c{i % 3}")
+        for i in range(40)
+        for amount in (1, 2)
+    ]
+
+
+def test_every_rollup_sees_the_same_winner_of_a_tie(spark):
+    raw = xdr_frame(spark, tying_rows())
+    whole = sessions(raw.withColumn("origin", F.monotonically_increasing_id()))
+    revenue = lambda df, name: df.agg(F.sum(name)).first()[0]
+    expected = revenue(whole, "rated_amount")
+    assert whole.count() == 40
+    hourly = rollups.hourly_cell_usage(sessions(raw, rollups.HOURLY_INPUT))
+    daily = rollups.subscriber_daily(sessions(raw, rollups.DAILY_INPUT))
+    assert revenue(hourly, "revenue") == expected
+    assert revenue(daily, next(c for c in daily.columns if "revenue" in c or "amount" in c)) == expected
+    streamed = raw.groupBy("xdr_id").agg(F.max_by("rated_amount", version_order()).alias("a"))
+    assert revenue(streamed, "a") == expected
