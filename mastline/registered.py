@@ -21,7 +21,7 @@ from mastline.sources import landing, run_fixtures
 from mastline.sources.store import Snapshots, publish
 from mastline.streaming.ingest import ingest_stream, stream_xdr
 from mastline.streaming.latest import keep_latest, sessions_table
-from mastline.streaming.rollup import HourlyRollup, keep_hourly
+from mastline.streaming.rollup import ROLLUPS, UsageRollups, keep_rollups
 from mastline.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,12 +249,27 @@ def stream_late(spark, sf):
     return rollups.late_arrival_audit(sessions(_streamed_sessions(spark, sf)))
 
 
+def _streamed_rollup(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    wanted = [rollup for rollup in ROLLUPS if rollup.name == name]
+    tables = UsageRollups(spark, new_folder(spark, name), wanted)
+    records = stream_xdr(spark, _landed(spark, sf), max_files=1)
+    keep_rollups(records, tables, new_folder(spark, f"{name}-state")).awaitTermination()
+    return tables.read(name)
+
+
 @registered
 def stream_hourly(spark, sf):
-    rollup = HourlyRollup(spark, new_folder(spark, "hourly"))
-    records = stream_xdr(spark, _landed(spark, sf), max_files=1)
-    keep_hourly(records, rollup, new_folder(spark, "hourly-state")).awaitTermination()
-    return rollup.read().drop("uniq_subs_approx")
+    return _streamed_rollup(spark, sf, "hourly").drop("uniq_subs_approx")
+
+
+@registered
+def stream_daily(spark, sf):
+    return _streamed_rollup(spark, sf, "daily")
+
+
+@registered
+def stream_audit(spark, sf):
+    return _streamed_rollup(spark, sf, "audit")
 
 
 # --- semantic queries

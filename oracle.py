@@ -361,6 +361,13 @@ FROM xdr x GROUP BY batch_type""",
         "stream_latest": _sql(_SESSIONS, "SELECT * EXCLUDE (event_hour, lateness_h) FROM sessions"),
         "stream_late": _sql(_SESSIONS, _AUDIT),
         "stream_hourly": _sql(_HOURLY, "SELECT * FROM hourly"),
+        "stream_daily": _sql(
+            _SESSIONS,
+            """SELECT CAST(event_ts AS DATE) AS event_date, msisdn, CAST(SUM(bytes_dl + bytes_ul) AS BIGINT) AS bytes_total,
+ CAST(SUM(duration_s) AS BIGINT) AS voice_s, CAST(SUM(rated_amount) AS DECIMAL(22,4)) AS revenue, MAX(lateness_h) AS max_lateness_h
+FROM sessions GROUP BY ALL""",
+        ),
+        "stream_audit": _sql(_SESSIONS, _AUDIT),
         "semantic_top_cells": _sql(
             _HOURLY,
             f"""SELECT cell_id AS cell, rat AS radio, {_SUMS}, {_USAGE} AS data_gb, {_MONEY4}

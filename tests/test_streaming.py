@@ -7,7 +7,7 @@ from mastline.schemas import XDR
 from mastline.sources import landing
 from mastline.streaming.ingest import beyond_bound, ingest_stream, stream_xdr, within_bound
 from mastline.streaming.latest import keep_latest, sessions_table
-from mastline.streaming.rollup import HourlyRollup, keep_hourly
+from mastline.streaming.rollup import UsageRollups, keep_rollups
 from mastline.workspace import new_folder
 from tests.records import HOUR, xdr, xdr_frame
 
@@ -70,56 +70,69 @@ def test_consumed_files_leave_the_landing_folder(spark):
     assert left.count() < landing.load_history(loaded).count()
 
 
+def batch_rollups(raw):
+    whole = sessions(raw)
+    return {
+        "hourly": rollups.hourly_cell_usage(whole),
+        "daily": rollups.subscriber_daily(whole),
+        "audit": rollups.late_arrival_audit(whole),
+    }
+
+
+def assert_current(tables, raw):
+    for name, expected in batch_rollups(raw).items():
+        found = tables.read(name)
+        both = quality.verify_equal(found, expected, expected.columns)
+        assert tuple(both.first()) == (0, 0), name
+        assert found.count() == expected.count()
+
+
 def test_streams_equal_batch_after_every_load(spark):
     folder = new_folder(spark, "landing")
     latest = sessions_table(spark, new_folder(spark, "latest"))
-    hourly = HourlyRollup(spark, new_folder(spark, "hourly"))
+    path = new_folder(spark, "usage")
+    tables = UsageRollups(spark, path)
     states = [new_folder(spark, "state") for _ in range(2)]
     seen = []
     for rows in BATCHES:
         seen += rows
         landing.write_landing(xdr_frame(spark, rows), folder)
         keep_latest(stream_xdr(spark, folder), latest, states[0]).awaitTermination()
-        keep_hourly(stream_xdr(spark, folder), hourly, states[1]).awaitTermination()
+        keep_rollups(stream_xdr(spark, folder), tables, states[1]).awaitTermination()
         raw = xdr_frame(spark, seen)
         assert tuple(
             quality.verify_equal(latest.read(), latest_versions(raw), XDR.names).first()
         ) == (0, 0)
-        expected = rollups.hourly_cell_usage(sessions(raw))
-        found = hourly.read()
-        assert tuple(quality.verify_equal(found, expected, expected.columns).first()) == (0, 0)
-        assert found.count() == expected.count()
+        assert_current(tables, raw)
         if rows is SECOND:
-            hourly.compact()
-            hourly.table.compact()
+            tables.compact()
             latest.compact()
     # a replayed micro-batch is ignored, and a reopened table reads the same
-    hourly.absorb(spark.range(1), 0)
-    reopened = HourlyRollup(spark, hourly.table.path.rsplit("/", 1)[0]).read()
-    assert tuple(quality.verify_equal(reopened, expected, expected.columns).first()) == (0, 0)
+    tables.absorb(spark.range(1), 0)
+    assert_current(UsageRollups(spark, path), raw)
+    assert {r.table_name for r in tables.history().collect()} == {"hourly", "daily", "audit"}
 
 
 def test_touched_days_are_literal_partition_filters(spark):
     folder = new_folder(spark, "landing")
-    hourly = HourlyRollup(spark, new_folder(spark, "hourly"), compact_every=2)
+    tables = UsageRollups(spark, new_folder(spark, "usage"), compact_every=2)
     state = new_folder(spark, "state")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         for rows in BATCHES:
             landing.write_landing(xdr_frame(spark, rows), folder)
-            keep_hourly(stream_xdr(spark, folder), hourly, state).awaitTermination()
-        last = max(c.version for c in hourly.log.commits() if c.kind == "changes")
-        plan = hourly._standing(last)._jdf.queryExecution().executedPlan().toString()
-        filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
-        assert filters and all("dynamicpruning" not in line for line in filters)
-        assert any(" day#" in line.split("PartitionFilters")[1] and "-" in line.split("PartitionFilters")[1] for line in filters)
+            keep_rollups(stream_xdr(spark, folder), tables, state).awaitTermination()
+        last = max(c.version for c in tables.log.commits() if c.kind == "changes")
+        for name in tables.rollups:
+            plan = tables._standing(last, name)._jdf.queryExecution().executedPlan().toString()
+            filters = [x.split("PartitionFilters")[1] for x in plan.splitlines() if "PartitionFilters" in x]
+            assert filters and not any("dynamicpruning" in x for x in filters)
+            assert any("day#" in x and ("IN (" in x or "day#" in x and "= " in x) for x in filters)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    raw = xdr_frame(spark, [row for rows in BATCHES for row in rows])
-    expected = rollups.hourly_cell_usage(sessions(raw))
-    assert tuple(quality.verify_equal(hourly.read(), expected, expected.columns).first()) == (0, 0)
-    assert any(c.kind == "logs" for c in hourly.log.commits())
+    assert_current(tables, xdr_frame(spark, [row for rows in BATCHES for row in rows]))
+    assert any(c.kind == "logs" for c in tables.log.commits())
 
 
 def test_bound_splits_and_loses_nothing(spark):
