@@ -1,7 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio between target and raw corpus.
 
 Words and word pairs of the trusted texts and of all texts are counted in hashed buckets,
-two multinomials with additive smoothing. A document's score is the mean over its n-grams of
+two multinomials; the target is learnt from a bounded sample of labelled
+documents, the raw counts take in every document. A document's score is the mean over its n-grams of
 log(target share / raw share) of their buckets; what lies below a fixed threshold is not
 kept. Everything is built-in column functions: the counts are one grouped sum each, the
 weights one literal array, and the score a fold over the words of a text.
@@ -13,37 +14,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 8_192
+PRIOR = 16  # n-grams a bucket that the target is taken to have seen as the raw corpus has them
+#: Documents that the target counts are learnt from, at most; those whose hashed id is smallest.
+MAX_TRUSTED = 20_000
 THRESHOLD = -0.05
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text, split by ASCII white space; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
 
 
-def _shape(word: Column) -> Column:
-    """A word's hashed form: lower case, digits alike."""
-    return F.translate(F.lower(word), "123456789", "000000000")
+def _hashes(w: Column) -> Column:
+    """A hash of each word in lower case; pairs are told apart by the hash of these."""
+    return F.transform(w, lambda x: F.xxhash64(F.lower(x)))
 
 
-def _buckets(w: Column, n: Column, buckets: int) -> Column:
-    """Buckets of all words, then of all word pairs."""
-    own = F.transform(w, _shape)
-    single = F.transform(own, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
-    pair = F.zip_with(
-        own,
-        F.slice(own, 2, F.greatest(n, F.lit(1))),
-        lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets))),
-    )
-    return F.concat(single, F.array_compact(pair))
+def _pairs(h: Column, function) -> Column:
+    """The function of each word's hash and the next one's."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), function)
+
+
+def _single(buckets: int):
+    return lambda a: F.pmod(a, F.lit(buckets)).cast("int")
+
+
+def _pair(buckets: int):
+    return lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
 
 
 def counts(texts: DataFrame, text_column: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``(bucket, n)``: how many n-grams of all texts fall into each bucket."""
-    split = texts.select(words(F.col(text_column)).alias("w"))
+    h = F.col("h")
+    grams = F.concat(F.transform(h, _single(buckets)), _pairs(h, _pair(buckets)))
     return (
-        split.select(F.explode(_buckets(F.col("w"), F.size("w"), buckets)).alias("bucket"))
+        texts.select(words(F.col(text_column)).alias("w"))
+        .select(_hashes(F.col("w")).alias("h"))
+        .select(F.explode(grams).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("n"))
     )
@@ -52,27 +62,29 @@ def counts(texts: DataFrame, text_column: str = "text", buckets: int = BUCKETS)
 def weights(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket, of two tables ``(bucket, n)``; one row a bucket at most.
 
-    Each bucket counts one more in both. Equal corpora, or empty ones, give zeros.
+    Each raw bucket counts one more. The target starts from ``PRIOR`` n-grams a bucket, spread
+    like the raw corpus, so that a small target says little. No target at all gives zeros.
     """
-    shares = []
-    for table in (target, raw):
-        found = dict(table.collect())
-        total = sum(found.values()) + buckets
-        shares.append([(found.get(b, 0) + 1) / total for b in range(buckets)])
-    return [math.log(t / r) for t, r in zip(*shares, strict=True)]
+    wanted, found = dict(target.collect()), dict(raw.collect())
+    n, m = sum(found.values()) + buckets, sum(wanted.values()) + PRIOR * buckets
+    shares = [(found.get(b, 0) + 1) / n for b in range(buckets)]
+    return [
+        math.log((wanted.get(b, 0) + PRIOR * buckets * share) / m / share)
+        for b, share in enumerate(shares)
+    ]
 
 
 def base(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Columns ``row``, ``w`` (words), and the counts of the base rules, in ``base``.
+    """Columns ``row``, ``h`` (hashes of lower-case words), and the counts of the base rules, in ``base``.
 
-    A null text has no words. Windows are told apart by a 64-bit hash of their words.
+    A null text has no words. Words and windows are told apart by 64-bit hashes.
     """
-    w, n = F.col("w"), F.size("w")
+    x, n = F.col("x"), F.size("w")
     split = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("row"),
         F.coalesce(docs[text_column], F.lit("")).alias("text"),
         words(docs[text_column]).alias("w"),
-    )
+    ).select("*", _hashes(F.col("w")).alias("h"), F.transform("w", lambda a: F.xxhash64(a)).alias("x"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
     hashed = split.select(
         "*",
@@ -81,7 +93,7 @@ def base(docs: DataFrame, text_column: str = "text") -> DataFrame:
             n >= 4,
             F.transform(
                 F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
+                lambda i: F.xxhash64(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)),
             ),
         ).alias("hashes"),
     )
@@ -101,17 +113,15 @@ def base(docs: DataFrame, text_column: str = "text") -> DataFrame:
     )
     places = F.flatten(F.array_compact(same))
     covered = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))
-    text = F.col("text")
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     counted = {
         "n_words": n,
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")),
-        "n_symbols": symbols,
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": F.when(F.col("ordered").isNotNull(), F.size(covered)).otherwise(0),
     }
     return ordered.select(
-        "row", "w", F.struct(*(c.cast("long").alias(k) for k, c in counted.items())).alias("base")
+        "row", "h", F.struct(*(c.cast("long").alias(k) for k, c in counted.items())).alias("base")
     )
 
 
@@ -129,17 +139,18 @@ def judged(
     these names are replaced.
     """
     table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded to a literal
-    with_ratio = base(docs, text_column).select(
-        "row", "base", _buckets(F.col("w"), F.size("w"), len(ratio)).alias("grams")
-    )
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int")))
-    llr = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
+    at = lambda bucket: F.get(table, bucket)
+    h, buckets = F.col("h"), len(ratio)
+    singles = F.aggregate(h, F.lit(0.0), lambda s, a: s + at(_single(buckets)(a)))
+    both = F.aggregate(_pairs(h, lambda a, b: at(_pair(buckets)(a, b))), singles, lambda s, x: s + x)
+    llr = F.when(F.size(h) > 0, both / (2 * F.size(h) - 1)).otherwise(0.0)
     n, repeats = F.col("base.n_words"), F.col("base.n_repeat_words")
     failed = (n < 50) | (100 * repeats > 50 * n)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     new = [*names, "base_failed", "llr", "kept"]
     return (
-        with_ratio.select("row", "base", failed.alias("base_failed"), llr.alias("llr"))
+        base(docs, text_column)
+        .select("row", "base", failed.alias("base_failed"), llr.alias("llr"))
         .select(
             *(F.col("row")[c].alias(c) for c in docs.columns if c not in new),
             *(F.col("base")[c].alias(c) for c in names),
@@ -150,7 +161,14 @@ def judged(
     )
 
 
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents labelled good and not toxic, the target corpus."""
-    good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+def trusted(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """Documents labelled good and not toxic, ``max_trusted`` ids at most: the target corpus."""
+    good = (
+        labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
+        .select("doc_id")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_trusted)
+    )
+    good = F.broadcast(good)  # max_trusted ids
     return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
