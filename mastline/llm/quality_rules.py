@@ -184,5 +184,7 @@ def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataF
     name = "_score"
     while name in docs.columns:
         name = f"_{name}"
-    scored = model.score(docs, name=name)
+    # observed rows are where a filter stays: pushed below, it would work out the statistics
+    # anew for every rule
+    scored = model.score(docs, name=name).observe("quality_scored", F.count(F.lit(1)).alias("rows"))
     return scored.where(F.col(name) >= threshold).drop(name)
