@@ -22,7 +22,10 @@ one batch of texts. Spark's committer writes them: a lost task leaves nothing be
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 22
 _SAMPLE = 256
-_KNOWN = 1 << 19  # pieces whose ids a worker remembers
+_KNOWN = 1 << 20  # pieces whose ids a worker remembers
 SHARD = (
     "part int, shard int, n_docs long, n_tokens long, width int, tokens binary, low_bits int,"
     " low binary, high binary, samples binary, doc_ids binary, null_ids long"
@@ -101,8 +104,9 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins a non-space with a space or line feed after
     it, so a text is the sum of its pieces cut there, and the ids of a piece are those the
-    library gives it alone. Pieces with any other white space, and empty ones, make their
-    text go through the library whole. A worker remembers the ids of pieces.
+    library gives it alone; so are a word and the marks behind it. Pieces with any other
+    white space, and empty ones, make their text go through the library whole. A worker
+    remembers the ids of pieces.
     """
 
     def __init__(self, path: str):
@@ -113,22 +117,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
-        self.known: dict[str, bytes | None] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.known: dict[str, bytes | bool] = {}
+        self.tails: dict[str, bytes] = {}
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.type).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > _KNOWN:
-            self.known.clear()
-        self.known.update(dict.fromkeys(pieces))  # None: not a piece that stands alone
-        alone = [p for p in pieces if _one_word(p.removeprefix("\n"))]
+            # frequent pieces came first: the older half stays
+            self.known = dict(islice(self.known.items(), _KNOWN // 2))
+            self.tails.clear()
+        self.known.update(dict.fromkeys(pieces, False))  # not a piece that stands alone
+        new, ended = set(), []
+        for piece in pieces:
+            # letters never share a token with the marks behind them
+            head = piece.rstrip(punctuation)
+            word = head.removeprefix("\n")
+            if len(head) < len(piece) and word.isalpha() and max(word) < "\u0250":
+                ended.append((piece, head, piece[len(head) :]))
+                if not self.known.get(head):
+                    new.add(head)
+            elif _one_word(piece.removeprefix("\n")):
+                new.add(piece)
         # a piece with a line feed stood behind it, any other behind a space
-        ids = self._ids([p if p[0] == "\n" else " " + p for p in alone])
-        self.known.update(zip(alone, ids, strict=True))
+        ids = self._ids([p if p[0] == "\n" else " " + p for p in new])
+        self.known.update(zip(new, ids, strict=True))
+        tails = list({tail for *_, tail in ended}.difference(self.tails))
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        for piece, head, tail in ended:
+            self.known[piece] = self.known[head] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -136,11 +158,17 @@ class Encoder:
             return self._ids(texts)
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         first = [c.pop(0) for c in cut]
-        self._learn(set().union(*cut).difference(self.known))
+        found = [[*map(self.known.get, pieces)] for pieces in cut]
+        holes = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        self._learn({p[i] for p, h in zip(cut, holes, strict=True) for i in h})
         out: list[bytes | None] = []
-        for head, ids, pieces in zip(first, self._ids(first), cut, strict=True):
-            found = [*map(self.known.get, pieces)]
-            out.append(None if None in found or not _one_word(head) else ids + b"".join(found))
+        for head, start, pieces, ids, hole in zip(first, self._ids(first), cut, found, holes, strict=True):
+            for i in hole:
+                ids[i] = self.known[pieces[i]]
+            try:
+                out.append(start + b"".join(ids) if _one_word(head) else None)
+            except TypeError:  # some piece does not stand alone
+                out.append(None)
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
             out[i] = ids
