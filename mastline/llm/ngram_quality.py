@@ -1,22 +1,28 @@
 """Quality rules: hashed n-gram log-likelihood ratio between target and raw corpus.
 
 Words and word pairs of the trusted texts and of all texts are counted in hashed buckets,
-two multinomials; the target is learnt from a bounded sample of labelled
-documents, the raw counts take in every document. A document's score is the mean over its n-grams of
-log(target share / raw share) of their buckets; what lies below a fixed threshold is not
-kept. Everything is built-in column functions: the counts are one grouped sum each, the
-weights one literal array, and the score a fold over the words of a text.
+two multinomials; the target takes in every trusted document, the raw counts every document.
+A document's score is the mean over its n-grams of log(target share / raw share) of their
+buckets; what lies below a fixed threshold is not kept. Everything is built-in column
+functions: the counts are grouped sums, the weights one literal array, and the score a fold
+over the words of a text.
+
+The number of buckets is that of the model's parameters and need not follow the corpus: more
+texts make each share more exact, and rare n-grams that meet in a bucket weigh little in a
+mean over all n-grams of a text.
 """
 
 import math
+from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 8_192
 PRIOR = 16  # n-grams a bucket that the target is taken to have seen as the raw corpus has them
-#: Documents that the target counts are learnt from, at most; those whose hashed id is smallest.
-MAX_TRUSTED = 20_000
+#: Trusted ids that are broadcast at a time, about; the texts are read once for each block.
+BLOCK = 1 << 20
 THRESHOLD = -0.05
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -59,13 +65,16 @@ def counts(texts: DataFrame, text_column: str = "text", buckets: int = BUCKETS)
     )
 
 
-def weights(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> list[float]:
+def weights(
+    target: DataFrame | Mapping[int, int], raw: DataFrame, buckets: int = BUCKETS
+) -> list[float]:
     """The log ratio of each bucket, of two tables ``(bucket, n)``; one row a bucket at most.
 
     Each raw bucket counts one more. The target starts from ``PRIOR`` n-grams a bucket, spread
     like the raw corpus, so that a small target says little. No target at all gives zeros.
     """
-    wanted, found = dict(target.collect()), dict(raw.collect())
+    wanted = target if isinstance(target, Mapping) else dict(target.collect())
+    found = dict(raw.collect())
     n, m = sum(found.values()) + buckets, sum(wanted.values()) + PRIOR * buckets
     shares = [(found.get(b, 0) + 1) / n for b in range(buckets)]
     return [
@@ -161,14 +170,33 @@ def judged(
     )
 
 
-def trusted(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """Documents labelled good and not toxic, ``max_trusted`` ids at most: the target corpus."""
-    good = (
-        labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_trusted)
-    )
-    good = F.broadcast(good)  # max_trusted ids
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
+    return good.select("doc_id").distinct()
+
+
+def trusted(docs: DataFrame, labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
+    """Documents labelled good and not toxic, the target corpus: all, or ``max_trusted`` ids at most.
+
+    The ids are broadcast, so that no text is moved.
+    """
+    good = _trusted_ids(labels)
+    if max_trusted is not None:
+        good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")
+
+
+def target_counts(
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, block: int = BLOCK
+) -> dict[int, int]:
+    """How many n-grams of all trusted documents fall into each bucket.
+
+    Ids are dealt into blocks by their hash; each block is broadcast and counted in a job of
+    its own, so that memory holds one block and no text is moved.
+    """
+    blocks = -(-_trusted_ids(labels).count() // block)
+    total: Counter[int] = Counter()
+    for i in range(blocks):
+        some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)
+        total.update(dict(counts(trusted(docs, some), buckets=buckets).collect()))
+    return dict(total)

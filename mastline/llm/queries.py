@@ -86,8 +86,8 @@ def op8_source_mixture(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     """Base counts of every document, and whether its n-grams look like the trusted ones."""
     docs = table(spark, sf_dir, "documents")
-    target = ngram_quality.trusted(docs, table(spark, sf_dir, "labels"))
-    ratio = ngram_quality.weights(ngram_quality.counts(target), ngram_quality.counts(docs))
+    target = ngram_quality.target_counts(docs, table(spark, sf_dir, "labels"))
+    ratio = ngram_quality.weights(target, ngram_quality.counts(docs))
     return ngram_quality.judged(docs, ratio).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "llr",

@@ -109,6 +109,18 @@ def test_odd_rows(spark):
     assert N.trusted(docs, many, max_trusted=4).count() == 4
 
 
+def test_every_trusted_document_is_counted(spark):
+    n = 20_500  # more than the bound there once was
+    docs = spark.range(-1, n).selectExpr("id AS doc_id", "'one two' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    labels = labels.unionAll(labels.limit(50))
+    assert N.trusted(docs, labels).count() == n
+    found = N.target_counts(docs, labels)
+    assert sum(found.values()) == 3 * n
+    assert N.target_counts(docs, labels, block=6_000) == found
+    assert N.target_counts(docs, labels.where(F.lit(False))) == {}
+
+
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op7_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
