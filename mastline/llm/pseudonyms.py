@@ -7,6 +7,11 @@ format by a keyed Feistel network: lengths, separators, letter case, check digit
 calendar validity stay, equal values get equal pseudonyms in every document, and ``restore``
 with the same key gives the texts back. What fails its check is left alone.
 
+Numbers may stand beside a card: the first and longest run of groups that is a card counts.
+Where a pseudonym would be read together with such a neighbour, the next one is taken. An
+IBAN ends where its country says. Separated digits behind a telephone number that begins
+with ``+`` cannot be told from it, up to 15 digits in all.
+
 Only built-in column functions are used; texts without a digit or ``@`` are not searched.
 """
 
@@ -19,19 +24,55 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _YEAR, _MONTH, _DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
 _NAME = r"\p{L}\p{M}\p{N}._%+\-"
 
+#: countries by the length of their IBANs
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    tail = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![0-9A-Za-z])"
+
+
+_IBANS = "|".join(_iban_of(n, c) for n, c in _IBAN_LENGTHS.items())
+
+# what begins another value behind a separator; formats alone, which pseudonyms keep
+_OTHER = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
+    r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}(?![0-9])"
+    # groups of four in fours
+    r"|[0-9]{4}(?:[ \-][0-9]{4}){3}(?:(?:[ \-][0-9]{4}){4})*+(?![ \-][0-9]{4}(?![0-9]))(?![0-9])"
+    rf"|[{_NAME}]{{1,64}}+@|[0-9a-f]{{32,128}}(?![0-9A-Za-z])|[0-9A-F]{{32,128}}(?![0-9A-Za-z])"
+)
+_NEXT = rf"{_OTHER}|(?:1[ .\-])?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9])"
+
 #: kind -> pattern; the first that fits at a place counts
 PATTERNS = {
     "email": rf"(?<![{_NAME}])[{_NAME}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}){{1,8}}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "date": rf"(?<![0-9./\-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}[./]{_MONTH}[./]{_YEAR})(?![0-9])(?![./\-][0-9])",
     "national": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])(?!-[0-9])",
     "phone": r"\+1[ .\-]?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|(?<![0-9+])(?:\+?1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+    r"|\+[1-9][0-9]{8,14}(?![0-9])"
+    rf"|\+[1-9](?:(?:[ \-/](?!{_OTHER}))?\(?[0-9]\)?){{7}}(?:(?:[ \-/](?!{_NEXT}))?\(?[0-9]\)?){{0,7}}(?![0-9])"
+    r"|\+(?=(?:\.?[0-9]){8,15}(?!\.?[0-9]))(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![.0-9]))[1-9][0-9]{0,2}(?:\.[0-9]{1,8}){2,6}"
     r"|\+[1-9][0-9]{6,14}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "card": rf"(?<![0-9])[0-9](?:[ \-]?[0-9]){{12}}(?:[0-9]|[ \-](?!{_NEXT})[0-9]){{0,6}}(?![0-9])",
 }
+#: groups of a card that stands among other numbers
+_CARD_FORM = (
+    r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}"
+    r"|[0-9]{4}(?:[ \-][0-9]{3}){3})$"
+)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -148,13 +189,65 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda s, x: s + x)
 
 
+def _card_span(text: Column) -> Column:
+    """Place and length of the card in a stretch of groups, the first and of these the longest; or null."""
+    n = F.length(text)
+    digit = lambda i: F.substring(text, i, F.lit(1)).between("0", "9")
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    ends = F.filter(F.reverse(places), lambda i: digit(i) & ((i == n) | ~digit(i + 1)))
+    spans = F.flatten(
+        F.transform(
+            starts, lambda a: F.transform(ends, lambda b: F.struct(a.alias("at"), (b - a + 1).alias("n")))
+        )
+    )
+
+    def valid(span: Column) -> Column:
+        value = F.substring(text, span["at"], span["n"])
+        digits = _digits(value)
+        return (
+            (span["n"] >= 13)
+            & ((span["n"] == n) | value.rlike(_CARD_FORM))
+            & F.length(digits).between(13, 19)
+            & (_luhn(digits) % 10 == 0)
+        )
+
+    return F.get(F.filter(spans, valid), F.lit(0))
+
+
 def _card(text: Column, key: str, restore: bool) -> Column:
-    digits = _digits(text)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = _permuted(_chars(body), key, "card", restore)
-    check = F.pmod(-_luhn(F.concat(F.array_join(new, ""), F.lit("0"))), F.lit(10)).cast("string")
-    valid = F.length(digits).between(13, 19) & (_luhn(digits) % 10 == 0)
-    return F.when(valid, _refilled(text, F.concat(new, F.array(check)))).otherwise(text)
+    def turned(value: Column) -> Column:
+        digits = _digits(value)
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        new = _permuted(_chars(body), key, "card", restore)
+        check = F.pmod(-_luhn(F.concat(F.array_join(new, ""), F.lit("0"))), F.lit(10)).cast("string")
+        return _refilled(value, F.concat(new, F.array(check)))
+
+    def replaced(span: Column) -> Column:
+        head = F.substring(text, F.lit(1), span["at"] - 1)
+        tail = F.substring(text, span["at"] + span["n"], F.length(text))
+
+        def step(state: Column, turn: Column) -> Column:
+            # a pseudonym that its neighbours would hide is turned again; so is its way back
+            new = F.transform(
+                F.array(turned(state["value"])),
+                lambda v: F.struct(
+                    v.alias("value"),
+                    F.coalesce(_card_span(F.concat(head, v, tail)) == span, F.lit(False)).alias("found"),
+                ),
+            )
+            return F.when(state["found"], state).otherwise(F.get(new, F.lit(0)))
+
+        start = F.struct(
+            F.substring(text, span["at"], span["n"]).alias("value"), F.lit(False).alias("found")
+        )
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)
+        return F.concat(head, done["value"], tail)
+
+    found = F.transform(
+        F.array(_card_span(text)), lambda span: F.when(span.isNull(), text).otherwise(replaced(span))
+    )
+    return F.get(found, F.lit(0))
 
 
 def _rest_97(text: Column) -> Column:
@@ -233,7 +326,8 @@ def _national(text: Column, key: str, restore: bool) -> Column:
 def _phone(text: Column, key: str, restore: bool) -> Column:
     """All digits but a leading country code 1 of ten-digit numbers, or the first digit."""
     digits = _digits(text)
-    kept = F.when(F.length(digits) == 10, 0).otherwise(1)
+    separated = text.rlike(r"^\+.*[^0-9]")  # its first digit is not zero
+    kept = F.when((F.length(digits) == 10) & ~separated, 0).otherwise(1)
     body = _chars(F.substring(digits, kept + 1, F.length(digits)))
     new = _permuted(body, key, "phone", restore)
     return _refilled(text, F.concat(_chars(F.substring(digits, F.lit(1), kept)), new))
