@@ -107,14 +107,20 @@ class Encoder:
     library gives it alone; so are a word and the marks behind it. Pieces with any other
     white space, and empty ones, make their text go through the library whole. A worker
     remembers the ids of pieces.
+
+    With ``added_tokens`` the vocabulary's added tokens get the ids of their own that a plain
+    call gives them, otherwise they are ordinary text. Texts that hold one go through the
+    library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = added if added_tokens else []
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
@@ -162,11 +168,13 @@ class Encoder:
         holes = [[i for i, x in enumerate(ids) if x is None] for ids in found]
         self._learn({p[i] for p, h in zip(cut, holes, strict=True) for i in h})
         out: list[bytes | None] = []
-        for head, start, pieces, ids, hole in zip(first, self._ids(first), cut, found, holes, strict=True):
+        parts = zip(texts, first, self._ids(first), cut, found, holes, strict=True)
+        for text, head, start, pieces, ids, hole in parts:
             for i in hole:
                 ids[i] = self.known[pieces[i]]
+            alone = _one_word(head) and not any(x in text for x in self.added)
             try:
-                out.append(start + b"".join(ids) if _one_word(head) else None)
+                out.append(start + b"".join(ids) if alone else None)
             except TypeError:  # some piece does not stand alone
                 out.append(None)
         rest = [i for i, x in enumerate(out) if x is None]
@@ -208,7 +216,7 @@ def _written(tokenizer: str, end_id: int, shard_tokens: int):
         from pyspark import TaskContext
 
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
+            _encoders[tokenizer] = Encoder(tokenizer, added_tokens=True)
         encoder = _encoders[tokenizer]
         end = np.array([end_id], encoder.type).tobytes()
         part = TaskContext.get().partitionId()

@@ -65,6 +65,20 @@ def test_pieces_give_the_ids_of_the_library(library):
     assert found == [library(t) for t in texts]
 
 
+def test_added_tokens_have_ids_of_their_own(spark):
+    plain_library = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(1)
+    parts = ["a", "Hello", "don't", " ", "  ", "\n", "\t", "!!", "<|endoftext|>", "<|endoftext", "|>", "é", "x "]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a\n<|endoftext|>\nb"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(500)]
+    rows = list(enumerate(texts))
+    folder = new_folder(spark, "tokens")
+    K.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, tokenizer_path())
+    ids = lambda text: plain_library.encode(text, add_special_tokens=False).ids
+    assert 50256 in ids(texts[0])
+    assert plain(K.read(spark, folder)) == expected(rows, ids)
+
+
 def test_a_full_memory_of_pieces(library, monkeypatch):
     monkeypatch.setattr(K, "_KNOWN", 3)
     encoder = K.Encoder(tokenizer_path())
