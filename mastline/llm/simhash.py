@@ -303,32 +303,41 @@ def near_duplicates(
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each group, that with the smallest ``doc_id``; all columns kept.
+    """One row of each group, that with the smallest ``doc_id``; all columns kept as they are.
 
-    Repeated rows are one group. A group without any id keeps one row.
+    Repeated rows are one group. A group without any id keeps one row. Of several rows with
+    the kept id and fingerprint the one with the smallest hash of all its columns stays.
+    Columns of any name and type pass through: rows travel as one struct. An empty table
+    gives an empty one.
     """
     columns = docs.columns
     hashed = stored(
-        docs.withColumn("_fp", fingerprint_column(F.col("text"), shingle)), "fingerprints"
+        docs.select(
+            F.struct(*(docs[f"`{c}`"].alias(c) for c in columns)).alias("_row"),
+            docs["doc_id"].alias("_doc"),
+            fingerprint_column(docs["text"], shingle).alias("_fp"),
+        ),
+        "fingerprints",
     )
-    groups = _groups(hashed, "doc_id", radius)
+    groups = _groups(hashed.select("_doc", "_fp"), "_doc", radius)
     # the group's row: smallest id, of several fingerprints with it the smallest
     first = (
-        hashed.select("doc_id", "_fp")
+        hashed.select("_doc", "_fp")
         .join(groups, "_fp")
         .where(
-            (F.col("doc_id") == F.col("component_id"))
+            (F.col("_doc") == F.col("component_id"))
             | (F.col("component_id").isNull() & (F.col("_fp") == F.col("_root")))
         )
         .groupBy("_root")
-        .agg(F.min(F.struct("_fp", "doc_id")).alias("kept"))
-        .select(F.col("kept._fp").alias("_kept"), F.col("kept.doc_id").alias("_id"))
+        .agg(F.min(F.struct("_fp", "_doc")).alias("kept"))
+        .select(F.col("kept._fp").alias("_kept"), F.col("kept._doc").alias("_id"))
     )
-    same = (F.col("_fp") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    one = Window.partitionBy("_fp", "doc_id").orderBy(*columns)
+    same = (F.col("_fp") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    # as JSON, since maps can neither be ordered nor hashed
+    one = Window.partitionBy("_fp", "_doc").orderBy(F.xxhash64(F.to_json("_row")))
     return (
         hashed.join(first, same)
         .withColumn("_place", F.row_number().over(one))
         .where("_place = 1")
-        .select(*columns)
+        .select(*(F.col("_row").getField(c).alias(c) for c in columns))
     )

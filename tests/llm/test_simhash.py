@@ -108,3 +108,27 @@ def test_odd_rows(spark):
     )
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
     assert simhash.distinct_documents(docs.where(F.lit(False))).count() == 0
+
+
+def test_distinct_documents_leaves_any_column_alone(spark):
+    """Names the operator uses itself, and types that cannot be ordered."""
+    names = ["_fp", "_id", "_place", "_root", "_kept", "_row", "_doc", "component_id", "id", "fp"]
+    docs = spark.range(12).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "one two three four")
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("five six seven "), F.col("id").cast("string")))
+        .alias("text"),
+        *(F.concat(F.lit(f"{n} "), F.col("id").cast("string")).alias(n) for n in names),
+        F.create_map(F.lit("k"), F.col("id")).alias("a map"),
+        F.array("id").alias("a.list"),
+    )
+    docs = docs.unionAll(docs)
+    kept = simhash.distinct_documents(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    groups = {g for _, _, g in slow_groups([(r["doc_id"], r["text"]) for r in docs.collect()])}
+    assert rows.keys() == groups
+    assert kept.count() == len(groups)
+    for doc_id, row in rows.items():
+        assert [row[n] for n in names] == [f"{n} {doc_id}" for n in names]
+        assert row["a map"] == {"k": doc_id} and row["a.list"] == [doc_id]
