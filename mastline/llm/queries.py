@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mastline.llm import (
     chat,
     decontaminate,
+    merkle,
     mixture,
     ngram_quality,
     pseudonyms,
@@ -130,3 +131,56 @@ SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS paylo
 FROM (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first_id
       FROM (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages))
 """
+
+
+@_query
+def op11_merkle_manifest(spark, sf_dir):
+    """Merkle proofs of all documents; every second one was tampered with by losing its \\n."""
+    tampered = F.expr(
+        "CASE WHEN crc32(CAST(doc_id AS STRING)) % 2 = 0 THEN replace(text, '\\n', '') ELSE text END"
+    )
+    return merkle.checked_documents(table(spark, sf_dir, "documents"), tampered).drop("source")
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    parts = [f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE
+bits AS (SELECT i, 0 AS k, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+docs AS (SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS code FROM documents, crc),
+digests AS (SELECT doc_id, source, {_sql_leaf("text")} AS leaf,
+  CASE WHEN code % 2 = 0 THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf("text")} END AS found FROM docs),
+leaves AS (SELECT *, row_number() OVER () AS id, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM digests),
+up AS (SELECT source, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM up WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+fold AS (SELECT id, source, 0 AS lvl, pos, found AS h, '' AS proof FROM leaves
+  UNION ALL SELECT f.id, f.source, f.lvl + 1, f.pos // 3,
+    sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)),
+    f.proof || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos <> f.pos), '')
+  FROM fold f JOIN up u ON u.source IS NOT DISTINCT FROM f.source AND u.lvl = f.lvl AND u.pos // 3 = f.pos // 3
+  WHERE u.n > 1 GROUP BY f.id, f.source, f.lvl, f.pos, f.proof),
+subroots AS (SELECT source, lvl, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+  count(*) OVER () AS n FROM up WHERE n = 1),
+up2 AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM up2 WHERE n > 1 GROUP BY lvl, pos // 3, n),
+fold2 AS (SELECT f.id, 0 AS lvl, s.pos, f.h, f.proof, s.subroot FROM fold f JOIN subroots s
+    ON s.source IS NOT DISTINCT FROM f.source AND s.lvl = f.lvl
+  UNION ALL SELECT f.id, f.lvl + 1, f.pos // 3,
+    sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)),
+    f.proof || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos <> f.pos), ''), f.subroot
+  FROM fold2 f JOIN up2 u ON u.lvl = f.lvl AND u.pos // 3 = f.pos // 3
+  WHERE u.n > 1 GROUP BY f.id, f.lvl, f.pos, f.proof, f.subroot)
+SELECT l.doc_id, l.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN fold2 f USING (id) JOIN (SELECT lvl, h FROM up2 WHERE n = 1) r ON r.lvl = f.lvl
+"""
