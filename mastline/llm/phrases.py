@@ -13,25 +13,28 @@ a full cycle like any other. With more phrases than slots less is left out, but
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mastline.llm.runtime import stored
+from mastline.operators.joins import spread_join
+from mastline.workspace import new_folder
 
 LONGEST = 3
-#: fixed values: what ends a piece, what stands between words
+# fixed values: what ends a piece, what stands between words
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BLANKS = b" \t"
 #: a byte that no UTF-8 text holds
 _MARK = b"\xff"
 _NEVER = 255
-#: tokens counted together by a task before it hands on what it has
-_CHUNK = 4_000_000
+#: bytes of text counted together by a task before it hands on what it has
+_CHUNK = 12_000_000
 
 
 def _byte_table() -> bytes:
@@ -49,11 +52,23 @@ def _byte_table() -> bytes:
 _TABLE = _byte_table()
 
 
+def normalised(text: bytes) -> bytes:
+    return text.translate(_TABLE) + _MARK
+
+
 def tokens_of(texts: list[bytes]) -> list[bytes]:
-    """The words of the texts in order, with a mark behind each piece."""
-    joined = _MARK.join([*texts, b""]).translate(_TABLE)
-    # a NUL is a word character, and split() only knows the blanks that are left
-    return joined.replace(_MARK, b" " + _MARK + b" ").split()
+    """The words of normalised texts in order, with a mark behind each piece."""
+    return b"".join(texts).replace(_MARK, b" " + _MARK + b" ").split()
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A normalised text in parts of whole pieces, so that a very long one is not held as words."""
+    start = 0
+    while len(text) - start > _CHUNK:
+        end = text.index(_MARK, start + _CHUNK - 1) + 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
 
 
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
@@ -96,13 +111,13 @@ class _Counter:
         text = [words.take(pa.array(p)) for p in parts]
         phrase = text[0]
         if len(text) > 1:
-            phrase = pa.compute.binary_join_element_wise(*text, pa.scalar(b" ", pa.binary()))
+            phrase = pc.binary_join_element_wise(*text, pa.scalar(b" ", pa.binary()))
         n = len(counts)
         return pa.record_batch(
             {
                 "lang": pa.array([self.lang], pa.string()).take(pa.array(np.zeros(n, np.int32))),
                 "length": pa.array(np.full(n, len(parts), np.int32)),
-                "phrase": phrase.cast(pa.string()),
+                "phrase": phrase.view(pa.string()),
                 "slot": pa.array(_slot(keys, self.bits)),
                 "count": pa.array(counts.astype(np.int64)),
             }
@@ -157,78 +172,77 @@ _COUNTS = "lang string, length int, phrase string, slot long, count long"
 
 
 def _scan(step: int, shards: int, bits: int, sent):
-    """Counts of one shard's batches; ``sent`` broadcasts the bitmaps of every earlier step."""
+    """Counts of one shard's batches; ``sent`` holds the steps of all slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = {}
-        for length, maps in (sent.value if sent else {}).items():
-            reached[length] = np.full(1 << bits, _NEVER, np.uint8)
-            for since, parts in reversed(sorted(maps.items())):
-                for bucket, bitmap in parts:
-                    new = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
-                    view = reached[length][bucket * len(new) : (bucket + 1) * len(new)]
-                    view[new[: len(view)] == 1] = since
+        reached = sent.value
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
+
+        def counted(lang: str) -> Iterator[pa.RecordBatch]:
+            del sizes[lang]
+            return _Counter(lang, tokens_of(held.pop(lang)), bits).counted(step, shards, reached)
+
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for lang, text in zip(langs, texts):
-                held.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] > 6 * _CHUNK:
-                    counter = _Counter(lang, tokens_of(held.pop(lang)), bits)
-                    del sizes[lang]
-                    yield from counter.counted(step, shards, reached)
-            if sum(sizes.values()) > 12 * _CHUNK:
-                for lang in list(held):
-                    counter = _Counter(lang, tokens_of(held.pop(lang)), bits)
-                    yield from counter.counted(step, shards, reached)
-                sizes.clear()
-        for lang, kept in held.items():
-            yield from _Counter(lang, tokens_of(kept), bits).counted(step, shards, reached)
+            for lang, text in zip(langs, batch.column("text").cast(pa.binary())):
+                for part in _cut(normalised(text.as_py())):
+                    held.setdefault(lang, []).append(part)
+                    sizes[lang] = sizes.get(lang, 0) + len(part)
+                    if sizes[lang] >= _CHUNK:
+                        yield from counted(lang)
+            while sum(sizes.values()) >= 2 * _CHUNK:  # many languages
+                yield from counted(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield from counted(lang)
 
     return run
 
 
-def _bitmaps(slots: DataFrame) -> list[tuple[int, bytes]]:
-    """The slots as bitmaps of 32,768 bits: at most a fixed number of small rows."""
+def _newly_reached(slots: DataFrame, known: np.ndarray, step: int) -> bool:
+    """Note ``step`` for the slots that are not in ``known`` yet; whether there are any.
+
+    Slots come as bitmaps of 32,768 bits, so the driver takes in a fixed number of small rows.
+    """
     rows = (
         slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-        .collect()
+        .toLocalIterator()
     )
-    return [(r["bucket"] - 1, bytes(r["bits"])) for r in rows]
+    found = False
+    for row in rows:
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        part = known[(row["bucket"] - 1) * len(bits) : row["bucket"] * len(bits)]
+        new = (bits[: len(part)] == 1) & (part == _NEVER)
+        part[new] = step
+        found |= bool(new.any())
+    return found
 
 
 def counted_phrases(
-    docs: DataFrame,
-    least: int = 10,
-    shards: int = 4,
-    bits: int = 24,
-    text_column: str = "text",
-    lang_column: str = "lang",
-) -> DataFrame:
-    """``(lang, length, phrase, f)`` of all phrases of one to three words seen ``least`` times.
-
-    ``f`` counts all contiguous occurrences within pieces, overlaps included. A null text is
-    empty, a null language ``und``. What of rarer phrases has been counted is left out. Copies
-    and long texts are counted like any other; an empty table gives an empty one.
+    docs: DataFrame, least: int = 10, shards: int = 4, bits: int = 24
+) -> tuple[DataFrame, DataFrame]:
+    """All phrases of up to three words seen ``least`` times, and the size of each language.
+
+    The first result is ``(lang, length, phrase, f)``; ``f`` counts all contiguous occurrences
+    within pieces, overlaps included. The second is ``(lang, n)`` with all word occurrences.
+    Only ``text`` (null: empty) and ``lang`` (null: ``und``) are read. Repeated rows and very
+    long texts count like any other; an empty table gives empty results. ``2 ** bits`` slots
+    of a byte are sent to every task; ``shards`` is 80 at most.
     """
     spark = docs.sparkSession
-    # dealt by what the row says, so that a shard is the same rows in every cycle
-    shard = F.pmod(F.xxhash64("lang", "text", "salt"), F.lit(shards)).cast("int")
-    texts = docs.select(
-        F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
-        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-        F.monotonically_increasing_id().alias("salt"),
-    ).select("lang", "text", shard.alias("shard"))
-    texts = stored_by_shard(texts)
-    counts: list[DataFrame] = []
-    maps: dict[int, dict[int, list]] = {1: {}, 2: {}}
+    folder = new_folder(spark, "shards")
+    docs.select(
+        F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"),
+        F.coalesce(docs["text"], F.lit("")).alias("text"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
+    ).write.partitionBy("shard").parquet(folder)
+    texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
+    reached = {n: np.full(1 << bits, _NEVER, np.uint8) for n in range(1, LONGEST)}
+    counts: dict[int, list[DataFrame]] = {n: [] for n in range(1, LONGEST + 1)}
     step, last = 0, shards - 1
     while step <= last:
-        sent = spark.sparkContext.broadcast(maps) if step else None
+        sent = spark.sparkContext.broadcast(reached)
         found = (
             texts.where(F.col("shard") == step % shards)
             .select("lang", "text")
@@ -236,18 +250,110 @@ def counted_phrases(
             .groupBy("lang", "length", "phrase", "slot")
             .agg(F.sum("count").alias("count"))
         )
-        counts.append(stored(found, f"phrases-{step}"))
-        for length in (1, 2):
-            new = _new_slots(counts, length, least, maps[length], step, shards)
-            if new:
-                maps[length][step + 1] = new
+        found = stored(found, f"phrases-{step}", "length")
+        sent.destroy()
+        for length, tables in counts.items():
+            # words are all counted after the first cycle
+            if length > 1 or step < shards:
+                tables.append(found.where(F.col("length") == length))
+        for length, known in reached.items():
+            if length == 1 and step >= shards:
+                continue
+            often = _total(counts[length], "slot").where(F.col("f") >= least)
+            if _newly_reached(often, known, step + 1):
                 last = max(last, step + shards)
         step += 1
-    total = counts[0]
-    for more in counts[1:]:
-        total = total.unionAll(more)
-    return (
-        total.groupBy("lang", "length", "phrase")
-        .agg(F.sum("count").alias("f"))
-        .where(F.col("f") >= least)
+    frequent = [
+        _total(tables).where(F.col("f") >= least).withColumn("length", F.lit(length))
+        for length, tables in counts.items()
+    ]
+    sizes = _union(counts[1]).groupBy("lang").agg(F.sum("count").alias("n"))
+    return _union(frequent).select("lang", "length", "phrase", "f"), sizes
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, tables)
+
+
+def _total(tables: list[DataFrame], *more: str) -> DataFrame:
+    return _union(tables).groupBy("lang", "phrase", *more).agg(F.sum("count").alias("f"))
+
+
+def _part(words: Column, start: Column | int, length: Column | int) -> Column:
+    return F.array_join(F.slice(words, start, length), " ")
+
+
+def score_column() -> Column:
+    """Millionths of a * a / (l * r), cut to a whole number, in decimals of 38 digits."""
+    return F.expr("(wide_a * wide_a * 1000000BD) div (wide_l * wide_r)")
+
+
+def collocations(
+    docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, shards: int = 4
+) -> DataFrame:
+    """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score.
+
+    Candidates are phrases of two or more words with ``a = f(phrase) >= least``. ``score`` is
+    the least ``floor(1000000 * a * a / (l * r))`` over all cuts into a first part seen ``l``
+    times and a rest seen ``r`` times; of equal ones the earliest cut counts. Numbers are exact
+    while ``a`` is below 10^16. A candidate that lies in a longer one with at least ``share``
+    percent of its occurrences is dropped. Order: score and ``a`` falling, then the phrase.
+    See ``counted_phrases`` for null, empty and repeated rows.
+    """
+    frequent, sizes = counted_phrases(docs, least, shards)
+    frequent = stored(frequent, "frequent")
+    words = F.split("phrase", " ")
+    candidates = frequent.where("length > 1").withColumn("words", words)
+    cuts = candidates.select(
+        "lang", "phrase", "length", F.col("f").alias("a"), "words",
+        F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("cut"),
+    ).select(
+        "lang", "phrase", "length", "a", "cut",
+        _part(F.col("words"), F.lit(1), F.col("cut")).alias("head"),
+        _part(F.col("words"), F.col("cut") + 1, F.col("length") - F.col("cut")).alias("tail"),
+    )
+    parts = frequent.where(F.col("length") < LONGEST)
+    # a frequent word begins or ends very many candidates
+    cuts = spread_join(
+        cuts, parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")),
+        ["lang", "head"], "inner", spread=["phrase"],
+    )
+    cuts = spread_join(
+        cuts, parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")),
+        ["lang", "tail"], "inner", spread=["phrase"],
+    )
+    wide = {f"wide_{c}": F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r")}
+    exact = cuts.withColumns(wide).withColumn("score", score_column())
+    scored = exact.groupBy("lang", "phrase", "length", "a").agg(
+        F.min(F.struct("score", "cut", "l", "r")).alias("best")
+    )
+    inside = (
+        candidates.where("length > 2")
+        .select(
+            "lang",
+            F.col("f").alias("longer"),
+            F.explode(
+                F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(2), F.col("length") - 1),
+                        lambda size: F.transform(
+                            F.sequence(F.lit(1), F.col("length") - size + 1),
+                            lambda start: _part(F.col("words"), start, size),
+                        ),
+                    )
+                )
+            ).alias("phrase"),
+        )
+        .groupBy("lang", "phrase")
+        .agg(F.max("longer").alias("longer"))
+    )
+    kept = (
+        scored.join(inside, ["lang", "phrase"], "left")
+        .where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share))
+        .select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    )
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return first.join(sizes, "lang").select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

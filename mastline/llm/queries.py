@@ -11,6 +11,7 @@ from mastline.llm import (
     merkle,
     mixture,
     ngram_quality,
+    phrases,
     pseudonyms,
     quality_rules,
     simhash,
@@ -184,3 +185,39 @@ fold2 AS (SELECT f.id, 0 AS lvl, s.pos, f.h, f.proof, s.subroot FROM fold f JOIN
 SELECT l.doc_id, l.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
 FROM leaves l JOIN fold2 f USING (id) JOIN (SELECT lvl, h FROM up2 WHERE n = 1) r ON r.lvl = f.lvl
 """
+
+
+@_query
+def op13_phrase_collocations(spark, sf_dir):
+    """Each language's 2,000 closest phrases of two or three words seen ten times."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH pieces AS (SELECT lang, row_number() OVER () AS piece,
+    list_filter(string_split_regex(p, '[ \x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM words
+  WINDOW p AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, 1 AS len, w1 AS phrase, w1, NULL AS w2, NULL AS w3, count(*) AS f FROM runs GROUP BY lang, w1
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, w1, w2, NULL, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+c AS (SELECT * FROM f WHERE len > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, len, f AS a, 1 AS k, w1 AS head, CASE len WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS tail FROM c
+  UNION ALL SELECT lang, phrase, len, f, 2, w1 || ' ' || w2, w3 FROM c WHERE len = 3),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.len, a, l.f AS l, r.f AS r, k,
+    (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, f FROM c WHERE len = 3
+    UNION ALL SELECT lang, w2 || ' ' || w3, f FROM c WHERE len = 3) GROUP BY ALL),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""

@@ -18,12 +18,16 @@ def on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write below the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write below the shared folder and read again: cuts lineage, survives lost executors.
+
+    ``folders`` are columns whose values get folders of their own.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    df.write.partitionBy(*folders).parquet(folder)
+    kept = spark.read.schema(df.schema).parquet(folder)
+    return kept.select(*df.columns) if folders else kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
