@@ -6,25 +6,29 @@ its last and without its first word, have been seen often enough, whatever shard
 then counted for exactly one full cycle. Lengths are so counted side by side, and after its
 cycle the count of a phrase is exact.
 
-When a phrase becomes active is kept per hash slot: a slot remembers the step at which some
-phrase in it first reached the threshold. Slots are of a fixed number, so what every task is
-sent is bounded; two phrases in one slot only make longer ones be counted that need not be, over
-a full cycle like any other. With more phrases than slots less is left out, but nothing changes.
+When a phrase becomes active is kept per hash slot: a slot remembers the step at which the
+phrases in it first reached the threshold. Slots are of a fixed number, so what every task is
+sent is bounded; phrases that share a slot only make longer ones be counted that need not be,
+over a full cycle like any other. With more phrases than slots less is left out, but nothing
+changes.
+
+While counting, words go by a 64-bit number, the hash of language and word. Two words with one
+number would be noticed when the words have been counted; counting then starts again with
+another seed.
 """
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastline.llm.runtime import stored
 from mastline.operators.joins import spread_join
-from mastline.workspace import new_folder
 
 LONGEST = 3
 # fixed values: what ends a piece, what stands between words
@@ -71,15 +75,35 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _slot(key: np.ndarray, bits: int) -> np.ndarray:
-    """The top bits of a mixed 64-bit key."""
-    mixed = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+# fixed values: the primes of XXH64, and the seed Spark starts from
+_P1, _P2, _P3, _P4, _P5 = (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+    0x27D4EB2F165667C5,
+)
+_SEED = 42
 
 
-def _joined_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return left * np.uint64(0x94D049BB133111EB) + right
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hashed(*numbers: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` makes of columns of longs, as unsigned numbers."""
+    with np.errstate(over="ignore"):
+        seed = np.full(len(numbers[0]), _SEED, np.uint64)
+        for number in numbers:
+            mixed = seed + np.uint64(_P5) + np.uint64(8)
+            mixed ^= _rotated(number.view(np.uint64) * np.uint64(_P2), 31) * np.uint64(_P1)
+            mixed = _rotated(mixed, 27) * np.uint64(_P1) + np.uint64(_P4)
+            mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(_P2)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_P3)
+            seed = mixed ^ (mixed >> np.uint64(32))
+        return seed
+
+
+def _slot(bits: int, *numbers: np.ndarray) -> np.ndarray:
+    """The first bits of the hash of a phrase's words."""
+    return (hashed(*numbers) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class _Vocabulary(dict):
@@ -96,82 +120,80 @@ class _Vocabulary(dict):
 class _Counter:
     """Counts the active phrases of one language in a chunk of tokens."""
 
-    def __init__(self, lang: str, tokens: list[bytes], bits: int):
+    def __init__(self, lang: str, tokens: list[bytes], bits: int, seed: int):
         self.lang, self.bits = lang, bits
         vocabulary = _Vocabulary()
         self.ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
         self.words = list(vocabulary)
         prefix = lang.encode() + b"\t"
         self.keys = np.fromiter(
-            (xxhash.xxh64_intdigest(prefix + w) for w in self.words), np.uint64, len(self.words)
-        )
-
-    def _rows(self, parts: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        words = pa.array(self.words, pa.binary())
-        text = [words.take(pa.array(p)) for p in parts]
-        phrase = text[0]
-        if len(text) > 1:
-            phrase = pc.binary_join_element_wise(*text, pa.scalar(b" ", pa.binary()))
-        n = len(counts)
+            (xxhash.xxh64_intdigest(prefix + w, seed) for w in self.words), np.uint64, len(self.words)
+        ).view(np.int64)
+
+    def _rows(self, words: list[np.ndarray], counts: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        """Rows of phrases; ``words`` holds the places of their words in the vocabulary."""
+        n, empty = len(counts), pa.nulls(len(counts), pa.int64())
+        keys = [pa.array(self.keys[w]) for w in words]
+        named = len(words) == 1
         return pa.record_batch(
             {
-                "lang": pa.array([self.lang], pa.string()).take(pa.array(np.zeros(n, np.int32))),
-                "length": pa.array(np.full(n, len(parts), np.int32)),
-                "phrase": phrase.view(pa.string()),
-                "slot": pa.array(_slot(keys, self.bits)),
+                "length": pa.array(np.full(n, len(words), np.int32)),
+                "start": pa.array(start.astype(np.int32)),
+                **{f"k{i}": keys[i - 1] if i <= len(keys) else empty for i in (1, 2, 3)},
                 "count": pa.array(counts.astype(np.int64)),
+                "lang": pa.array([self.lang if named else None] * n, pa.string()),
+                "word": pa.array(self.words[1:], pa.binary()).view(pa.string())
+                if named
+                else pa.nulls(n, pa.string()),
             }
         )
 
     def counted(self, step: int, shards: int, reached: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Rows (lang, length, phrase, slot, count) of the phrases active at ``step``.
+        """Counts of the phrases active at ``step``.
 
         ``reached[n]`` holds for each slot the step from which phrases of n words in it are
         known to be frequent.
         """
-        active = lambda start: (start <= step) & (step < start.astype(np.int64) + shards)
-        ids = self.ids
-        if step < shards:
+        ids, keys = self.ids, self.keys
+        active = lambda since: (since <= step) & (step < since.astype(np.int64) + shards)
+        if step < shards and len(self.words) > 1:
             counts = np.bincount(ids, minlength=len(self.words))[1:]
-            seen = np.arange(1, len(self.words), dtype=np.int64)
-            if len(seen):
-                yield self._rows([seen], self.keys[1:], counts)
-        if step == 0:
-            return
-        start = reached[1][_slot(self.keys, self.bits)]
-        start[0] = _NEVER
+            yield self._rows([np.arange(1, len(self.words))], counts, np.zeros(len(counts)))
+        known = reached[1][_slot(self.bits, keys)]
+        known[0] = _NEVER
         # places where two frequent words stand side by side
-        place = np.flatnonzero((start[ids[:-1]] != _NEVER) & (start[ids[1:]] != _NEVER))
+        place = np.flatnonzero((known[ids[:-1]] != _NEVER) & (known[ids[1:]] != _NEVER))
         if not len(place):
             return
         size = np.int64(len(self.words))
         code = ids[place].astype(np.int64) * size + ids[place + 1]
         pairs, which, counts = np.unique(code, return_inverse=True, return_counts=True)
         left, right = pairs // size, pairs % size
-        keys = _joined_key(self.keys[left], self.keys[right])
-        now = active(np.maximum(start[left], start[right]))
+        since = np.maximum(known[left], known[right])
+        now = active(since)
         if now.any():
-            yield self._rows([left[now], right[now]], keys[now], counts[now])
-        frequent = reached[2][_slot(keys, self.bits)]
-        # two pairs, one word further on
+            yield self._rows([left[now], right[now]], counts[now], since[now])
+        known = reached[2][_slot(self.bits, keys[left], keys[right])]
+        # two frequent pairs, one word apart
         at = np.flatnonzero(place[1:] == place[:-1] + 1)
         first, second = which[at], which[at + 1]
-        kept = active(np.maximum(frequent[first], frequent[second]))
-        kept &= (frequent[first] != _NEVER) & (frequent[second] != _NEVER)
-        first, second = first[kept], second[kept]
-        if not len(first):
+        since = np.maximum(known[first], known[second])
+        kept = (since != _NEVER) & active(since)
+        if not kept.any():
             return
-        code = first.astype(np.int64) * len(pairs) + second
+        code = first[kept].astype(np.int64) * len(pairs) + second[kept]
         triples, counts = np.unique(code, return_counts=True)
         first, second = triples // len(pairs), triples % len(pairs)
-        keys3 = _joined_key(keys[first], self.keys[right[second]])
-        yield self._rows([left[first], right[first], right[second]], keys3, counts)
+        since = np.maximum(known[first], known[second])
+        yield self._rows([left[first], right[first], right[second]], counts, since)
 
 
-_COUNTS = "lang string, length int, phrase string, slot long, count long"
+_COUNTS = (
+    "length int, start int, k1 long, k2 long, k3 long, count long, lang string, word string"
+)
 
 
-def _scan(step: int, shards: int, bits: int, sent):
+def _scan(step: int, shards: int, bits: int, seed: int, sent):
     """Counts of one shard's batches; ``sent`` holds the steps of all slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +203,8 @@ def _scan(step: int, shards: int, bits: int, sent):
 
         def counted(lang: str) -> Iterator[pa.RecordBatch]:
             del sizes[lang]
-            return _Counter(lang, tokens_of(held.pop(lang)), bits).counted(step, shards, reached)
+            tokens = tokens_of(held.pop(lang))
+            return _Counter(lang, tokens, bits, seed).counted(step, shards, reached)
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -219,8 +242,19 @@ def _newly_reached(slots: DataFrame, known: np.ndarray, step: int) -> bool:
     return found
 
 
+def _in_slots(bits: int, sent):
+    """The rows of pairs that lie in a slot with a frequent pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(bits, *(batch.column(k).to_numpy() for k in ("k1", "k2")))
+            yield batch.filter(pa.array(sent.value[slot] != _NEVER))
+
+    return run
+
+
 def counted_phrases(
-    docs: DataFrame, least: int = 10, shards: int = 4, bits: int = 24
+    docs: DataFrame, least: int = 10, shards: int = 2, bits: int = 24
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to three words seen ``least`` times, and the size of each language.
 
@@ -228,57 +262,80 @@ def counted_phrases(
     within pieces, overlaps included. The second is ``(lang, n)`` with all word occurrences.
     Only ``text`` (null: empty) and ``lang`` (null: ``und``) are read. Repeated rows and very
     long texts count like any other; an empty table gives empty results. ``2 ** bits`` slots
-    of a byte are sent to every task; ``shards`` is 80 at most.
+    of a byte are sent to every task; ``shards`` is 80 at most. ``docs`` is read once a step,
+    three times a shard at most; store it first if it is costly to make.
     """
-    spark = docs.sparkSession
-    folder = new_folder(spark, "shards")
-    docs.select(
+    for seed in count():
+        found = _counted(docs, least, shards, bits, seed)
+        if found:
+            return found
+    raise AssertionError
+
+
+def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
+    """As ``counted_phrases``; None if two words turn out to have one number."""
+    context = docs.sparkSession.sparkContext
+    texts = docs.select(
         F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(docs["text"], F.lit("")).alias("text"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
-    ).write.partitionBy("shard").parquet(folder)
-    texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
+    )
+    shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))  # the same rows in every cycle
     reached = {n: np.full(1 << bits, _NEVER, np.uint8) for n in range(1, LONGEST)}
-    counts: dict[int, list[DataFrame]] = {n: [] for n in range(1, LONGEST + 1)}
+    steps: list[DataFrame] = []
     step, last = 0, shards - 1
     while step <= last:
-        sent = spark.sparkContext.broadcast(reached)
-        found = (
-            texts.where(F.col("shard") == step % shards)
-            .select("lang", "text")
-            .mapInArrow(_scan(step, shards, bits, sent), _COUNTS)
-            .groupBy("lang", "length", "phrase", "slot")
-            .agg(F.sum("count").alias("count"))
-        )
-        found = stored(found, f"phrases-{step}", "length")
+        sent = context.broadcast(reached)
+        scan = _scan(step, shards, bits, seed, sent)
+        found = texts.where(shard == step % shards).mapInArrow(scan, _COUNTS)
+        steps.append(stored(found, f"phrases-{step}"))
         sent.destroy()
-        for length, tables in counts.items():
-            # words are all counted after the first cycle
-            if length > 1 or step < shards:
-                tables.append(found.where(F.col("length") == length))
+        # phrases still in their cycle; shared hashes would only add to what gets active
+        going = _union(steps[max(0, step - shards + 1) :]).where(F.col("start") > step - shards)
         for length, known in reached.items():
             if length == 1 and step >= shards:
-                continue
-            often = _total(counts[length], "slot").where(F.col("f") >= least)
+                continue  # words are all counted
+            keys = [F.col(f"k{i}") for i in range(1, length + 1)]
+            often = (
+                going.where(F.col("length") == length)
+                .groupBy(F.shiftright(F.xxhash64(*keys), 32).cast("int").alias("hash"))
+                .agg(F.sum("count").alias("f"))
+                .where(F.col("f") >= least)
+                .select(F.shiftrightunsigned("hash", 32 - bits).cast("long").alias("slot"))
+            )
             if _newly_reached(often, known, step + 1):
                 last = max(last, step + shards)
         step += 1
-    frequent = [
-        _total(tables).where(F.col("f") >= least).withColumn("length", F.lit(length))
-        for length, tables in counts.items()
-    ]
-    sizes = _union(counts[1]).groupBy("lang").agg(F.sum("count").alias("n"))
-    return _union(frequent).select("lang", "length", "phrase", "f"), sizes
+    counts = _union(steps)
+    words = stored(
+        counts.where("length = 1").groupBy("lang", "word", "k1").agg(F.sum("count").alias("f")),
+        "words",
+    )
+    if words.groupBy("k1").count().where("count > 1").limit(1).count():
+        return None
+    frequent = words.where(F.col("f") >= least)
+    names = frequent.select("lang", F.col("k1").alias("k"), "word")
+    parts = [frequent.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "f")]
+    for length in range(2, LONGEST + 1):
+        keys = [f"k{i}" for i in range(1, length + 1)]
+        rows = counts.where(F.col("length") == length).select(*keys, "count")
+        if length == 2:
+            sent = context.broadcast(reached[2])
+            rows = rows.mapInArrow(_in_slots(bits, sent), rows.schema)
+        total = rows.groupBy(*keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        for key in keys:  # a frequent word is in very many phrases
+            name = names.select(F.col("k").alias(key), F.col("word").alias(f"w{key}"), "lang")
+            name = name if key == "k1" else name.drop("lang")
+            others = [k for k in keys if k != key]
+            total = spread_join(total, name, [key], "inner", spread=others)
+        phrase = F.concat_ws(" ", *(F.col(f"w{k}") for k in keys))
+        parts.append(total.select("lang", F.lit(length).alias("length"), phrase.alias("phrase"), "f"))
+    return _union(parts), words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, tables)
 
 
-def _total(tables: list[DataFrame], *more: str) -> DataFrame:
-    return _union(tables).groupBy("lang", "phrase", *more).agg(F.sum("count").alias("f"))
-
-
 def _part(words: Column, start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -289,7 +346,7 @@ def score_column() -> Column:
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, shards: int = 4
+    docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, shards: int = 2
 ) -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score.
 

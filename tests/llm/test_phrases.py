@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ ODD = (
 )
 
 
-@pytest.mark.parametrize("shards", [1, 3, 4])
+@pytest.mark.parametrize("shards", [1, 2, 5])
 def test_odd_rows_against_brute_force(spark, shards):
     found = phrases.collocations(frame(spark, ODD), shards=shards)
     assert sorted(map(tuple, found.collect())) == slow_collocations(ODD)
@@ -111,3 +112,27 @@ def test_empty_table(spark):
 def test_whole_table_equals_sql(spark):
     name = "op13_phrase_collocations"
     assert compare(spark, database(SF), SF, QUERIES[name], ORACLE[name]) is None
+
+
+def test_numbers_of_phrases_are_those_of_spark(spark):
+    rows = [(i * 7_919_000_000_000_003 - 2**62, -i, 2**63 - 1 - i) for i in range(50)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    for names in ("a", "ab", "abc"):
+        want = [r[0] for r in df.select(F.xxhash64(*names)).collect()]
+        arrays = [np.array([r["abc".index(n)] for r in rows], np.int64) for n in names]
+        assert phrases.hashed(*arrays).view(np.int64).tolist() == want
+
+
+def test_another_seed_when_two_words_share_a_number(spark, monkeypatch):
+    """Counting starts again; the words' numbers are made by the workers."""
+    seeds = []
+    original = phrases._counted
+
+    def counted(docs, least, shards, bits, seed):
+        seeds.append(seed)
+        return None if seed < 2 else original(docs, least, shards, bits, seed)
+
+    monkeypatch.setattr(phrases, "_counted", counted)
+    found = phrases.collocations(frame(spark, ODD))
+    assert sorted(map(tuple, found.collect())) == slow_collocations(ODD)
+    assert seeds == [0, 1, 2]
