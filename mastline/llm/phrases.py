@@ -141,7 +141,7 @@ class _Counter:
                 "start": pa.array(start.astype(np.int32)),
                 **{f"k{i}": keys[i - 1] if i <= len(keys) else empty for i in (1, 2, 3)},
                 "count": pa.array(counts.astype(np.int64)),
-                "lang": pa.array([self.lang if named else None] * n, pa.string()),
+                "lang": pa.array([self.lang] * n) if named else pa.nulls(n, pa.string()),
                 "word": pa.array(self.words[1:], pa.binary()).view(pa.string())
                 if named
                 else pa.nulls(n, pa.string()),
@@ -242,17 +242,6 @@ def _newly_reached(slots: DataFrame, known: np.ndarray, step: int) -> bool:
     return found
 
 
-def _in_slots(bits: int, sent):
-    """The rows of pairs that lie in a slot with a frequent pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slot(bits, *(batch.column(k).to_numpy() for k in ("k1", "k2")))
-            yield batch.filter(pa.array(sent.value[slot] != _NEVER))
-
-    return run
-
-
 def counted_phrases(
     docs: DataFrame, least: int = 10, shards: int = 2, bits: int = 24
 ) -> tuple[DataFrame, DataFrame]:
@@ -272,6 +261,16 @@ def counted_phrases(
     raise AssertionError
 
 
+def _slots_seen(rows: DataFrame, keys: list[str], least: int, bits: int) -> DataFrame:
+    """Slots of phrases seen often enough so far; what shares a hash only adds to them."""
+    return (
+        rows.groupBy(F.shiftright(F.xxhash64(*keys), 32).cast("int").alias("hash"))
+        .agg(F.sum("count").alias("f"))
+        .where(F.col("f") >= least)
+        .select(F.shiftrightunsigned("hash", 32 - bits).cast("long").alias("slot"))
+    )
+
+
 def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
     """As ``counted_phrases``; None if two words turn out to have one number."""
     context = docs.sparkSession.sparkContext
@@ -282,6 +281,7 @@ def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))  # the same rows in every cycle
     reached = {n: np.full(1 << bits, _NEVER, np.uint8) for n in range(1, LONGEST)}
     steps: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     step, last = 0, shards - 1
     while step <= last:
         sent = context.broadcast(reached)
@@ -289,39 +289,50 @@ def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
         found = texts.where(shard == step % shards).mapInArrow(scan, _COUNTS)
         steps.append(stored(found, f"phrases-{step}"))
         sent.destroy()
-        # phrases still in their cycle; shared hashes would only add to what gets active
-        going = _union(steps[max(0, step - shards + 1) :]).where(F.col("start") > step - shards)
+        # what started at ``done`` has now been through its cycle, later ones are on their way
+        done = step - shards + 1
+        cycle = _union(steps[max(0, done) :])
         for length, known in reached.items():
-            if length == 1 and step >= shards:
-                continue  # words are all counted
-            keys = [F.col(f"k{i}") for i in range(1, length + 1)]
-            often = (
-                going.where(F.col("length") == length)
-                .groupBy(F.shiftright(F.xxhash64(*keys), 32).cast("int").alias("hash"))
-                .agg(F.sum("count").alias("f"))
-                .where(F.col("f") >= least)
-                .select(F.shiftrightunsigned("hash", 32 - bits).cast("long").alias("slot"))
-            )
-            if _newly_reached(often, known, step + 1):
+            keys = [f"k{i}" for i in range(1, length + 1)]
+            # words start at step 0, pairs at step ``shards`` at the latest
+            starts = (0, 0) if length == 1 else (1, shards)
+            of_length = cycle.where(F.col("length") == length)
+            seen = []
+            if max(done + 1, starts[0]) <= min(step, starts[1]):
+                seen.append(_slots_seen(of_length.where(F.col("start") > done), keys, least, bits))
+            if starts[0] <= done <= starts[1]:
+                named = ["lang", "word"] if length == 1 else []
+                total = (
+                    of_length.where(F.col("start") == done)
+                    .groupBy(*named, *keys)
+                    .agg(F.sum("count").alias("f"))
+                )
+                if length == 1:
+                    total = words = stored(total, "words")
+                    if words.groupBy("k1").count().where("count > 1").limit(1).count():
+                        return None
+                often = total.where(F.col("f") >= least)
+                if length == 2:
+                    often = stored(often, "pairs")
+                    pairs.append(often)
+                seen.append(
+                    often.select(F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits).alias("slot"))
+                )
+            if seen and _newly_reached(_union(seen), known, step + 1):
                 last = max(last, step + shards)
         step += 1
-    counts = _union(steps)
-    words = stored(
-        counts.where("length = 1").groupBy("lang", "word", "k1").agg(F.sum("count").alias("f")),
-        "words",
+    triples = (
+        _union(steps)
+        .where("length = 3")
+        .groupBy("k1", "k2", "k3")
+        .agg(F.sum("count").alias("f"))
+        .where(F.col("f") >= least)
     )
-    if words.groupBy("k1").count().where("count > 1").limit(1).count():
-        return None
     frequent = words.where(F.col("f") >= least)
     names = frequent.select("lang", F.col("k1").alias("k"), "word")
     parts = [frequent.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "f")]
-    for length in range(2, LONGEST + 1):
+    for length, total in ((2, _union(pairs) if pairs else triples.drop("k3")), (3, triples)):
         keys = [f"k{i}" for i in range(1, length + 1)]
-        rows = counts.where(F.col("length") == length).select(*keys, "count")
-        if length == 2:
-            sent = context.broadcast(reached[2])
-            rows = rows.mapInArrow(_in_slots(bits, sent), rows.schema)
-        total = rows.groupBy(*keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
         for key in keys:  # a frequent word is in very many phrases
             name = names.select(F.col("k").alias(key), F.col("word").alias(f"w{key}"), "lang")
             name = name if key == "k1" else name.drop("lang")
