@@ -16,6 +16,7 @@ from mastline.llm import (
     quality_rules,
     simhash,
     token_files,
+    toxicity,
     url_rules,
     warc,
 )
@@ -187,6 +188,19 @@ FROM leaves l JOIN fold2 f USING (id) JOIN (SELECT lvl, h FROM up2 WHERE n = 1)
 """
 
 
+@_query
+def op12_toxicity(spark, sf_dir):
+    """A toxicity score for every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id",
+        F.expr("coalesce(crc32(CAST(doc_id AS STRING)) % 5 = 0, false)").alias("held_out"),
+        toxicity.score_column(spark, network, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @_query
 def op13_phrase_collocations(spark, sf_dir):
     """Each language's 2,000 closest phrases of two or three words seen ten times."""

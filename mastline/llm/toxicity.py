@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled texts of each kind that a model is fitted on, at most; those of smallest hashed id.
-MAX_LABELS = 1500
+MAX_LABELS = 2000
 #: Characters of a text the fit looks at, at most; longer ones are left out of the fit.
 MAX_CHARACTERS = 40_000
 WINDOW = 32
@@ -297,7 +297,7 @@ def trained(texts: Sequence[str], labels: Sequence[int], epochs: int = 12, batch
     """A network fitted to texts in a given order; the same input gives the same network."""
     split = [list(words_of(t)) for t in texts]
     spread = Counter(w for words in split for w in set(words))
-    common = sorted((w for w, n in spread.items() if n >= 3), key=lambda w: (-spread[w], w))
+    common = sorted((w for w, n in spread.items() if n >= 5), key=lambda w: (-spread[w], w))
     network = Network(common[:_WORDS])
     words = Words({w: i for i, w in enumerate(network.vocabulary, 1)})
     held = _Texts([words.ids(s) for s in split])
@@ -431,7 +431,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Net
         yield pa.record_batch({"network": pa.array([network.to_bytes()], pa.binary())})
 
     sample = training_rows(docs, labels, max_labels).coalesce(1)
-    return Network.from_bytes(sample.mapInArrow(run, "network binary").first()["network"])
+    found = sample.mapInArrow(run, "network binary").first()  # an empty sample may have no task
+    return Network.from_bytes(found["network"]) if found else trained([], [])
 
 
 def score_column(spark, network: Network, text: Column) -> Column:

@@ -1,0 +1,174 @@
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mastline.llm import toxicity as T
+from mastline.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, toxic int, score double, known_id long, network string"
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def slow_logit(network, window):
+    """One window of words, place by place and number by number."""
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    h = T._HIDDEN
+    taken = []
+    for word in window:
+        known = network.vocabulary.index(word) + 1 if word in network.vocabulary else 0
+        marked = f"<{word}>"
+        grams = [marked[i : i + 3] for i in range(len(marked) - 2)]
+        letters = sum(p["gram"][zlib.crc32(g.encode()) % T._TRIGRAMS] for g in grams) / len(grams)
+        taken.append(np.concatenate([p["word"][known], letters]))
+    states = [None] * len(window)
+    for d in "fb":
+        state = np.zeros(h)
+        places = range(len(window)) if d == "f" else reversed(range(len(window)))
+        for t in places:
+            share, pulled = taken[t] @ p[f"in_{d}"] + p[f"bias_{d}"], state @ p[f"own_{d}"]
+            new = np.zeros(h)
+            for j in range(h):
+                update = sigmoid(share[j] + pulled[j])
+                reset = sigmoid(share[h + j] + pulled[h + j])
+                fresh = math.tanh(share[2 * h + j] + reset * pulled[2 * h + j])
+                new[j] = (1 - update) * fresh + update * state[j]
+            state = new
+            states[t] = state if d == "f" else np.concatenate([states[t], state])
+    weights = np.array([math.exp(np.tanh(s @ p["look"]) @ p["focus"]) for s in states])
+    pooled = sum(w * s for w, s in zip(weights, states)) / weights.sum()
+    return float(pooled @ p["out"] + p["intercept"][0])
+
+
+def slow_score(network, text):
+    words = re.findall(r"\w+", (text or "").lower())
+    if not words:
+        return sigmoid(float(network.p["intercept"][0]))
+    last = max(0, len(words) - T.WINDOW)
+    starts = [*range(0, last, T.STRIDE), last]
+    return sigmoid(max(slow_logit(network, words[s : s + T.WINDOW]) for s in starts))
+
+
+TEXTS = [
+    "short", "", " .,!", "You MORON, you üble Größe x_1", "word " * 16 + "moron " + "other " * 47,
+    " ".join(f"w{i}" for i in range(100)), "一二三 four", "a " * 32, "b " * 33,
+]
+
+
+@pytest.fixture(scope="module")
+def network():
+    texts = [f"plain text number {i % 7} and more words" for i in range(60)]
+    texts += [f"plain text number {i % 7} you moron and more words" for i in range(60)]
+    return T.trained(texts, [0] * 60 + [1] * 60, epochs=8)
+
+
+def test_scores_equal_a_slow_network(network):
+    scorer = T.Scorer(T.Network.from_bytes(network.to_bytes()))
+    assert scorer([]).tolist() == []
+    for texts in (TEXTS, TEXTS[::-1], [None, None]):
+        want = [slow_score(network, t) for t in texts]
+        assert scorer(texts) == pytest.approx(want, abs=1e-4)
+
+
+def test_forgetting_words_changes_nothing(network, monkeypatch):
+    want = T.Scorer(network)(TEXTS)
+    monkeypatch.setattr(T.Scorer, "_KEPT", 3)
+    monkeypatch.setattr(T.Scorer, "_TOGETHER", 5)
+    monkeypatch.setattr(T, "_BATCH", 2)
+    monkeypatch.setattr(T, "_LONG", 20)
+    assert T.Scorer(network)(TEXTS) == pytest.approx(want, abs=1e-5)
+
+
+def test_every_word_is_in_a_window():
+    for n in (0, 1, 31, 32, 33, 48, 49, 1000):
+        starts = T.window_starts(n)
+        assert {i for s in starts for i in range(s, min(n, s + T.WINDOW))} == set(range(n))
+        assert all(b - a <= T.STRIDE for a, b in zip(starts, starts[1:]))
+
+
+def test_gradients_are_those_of_the_loss(network):
+    probe = T.Network(network.vocabulary, {k: v.astype(np.float64) for k, v in network.p.items()})
+    words = T.Words({w: i for i, w in enumerate(probe.vocabulary, 1)})
+    held = T._Texts([words.ids(T.words_of(t)) for t in ("you moron and text", "plain words " * 16)])
+    words.learn()
+    windows, mask = held.windows(np.arange(2))
+    labels = np.array([1, 0], np.float32)
+    loss = lambda: probe.gradients(words, windows, mask, words.known[windows], labels)
+    _, grads = loss()
+    rng = np.random.default_rng(3)
+    for name, grad in grads.items():
+        flat, value = np.abs(grad).ravel(), probe.p[name].reshape(-1)
+        for at in {int(flat.argmax()), int(rng.integers(len(flat)))}:
+            kept, step = value[at], 1e-3
+            value[at] = kept + step
+            above = loss()[0]
+            value[at] = kept - step
+            below = loss()[0]
+            value[at] = kept
+            assert grad.ravel()[at] == pytest.approx((above - below) / (2 * step), abs=2e-4), name
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame(
+        [(i, f"t{i}", 1, 0.0, 1, "n") for i in range(40)]
+        + [(1, "repeated", 1, 0.0, 1, "n")] * 50
+        + [(None, "none", 1, 0.0, 1, "n"), (41, None, 1, 0.0, 1, "n")]
+        + [(42, "x" * (T.MAX_CHARACTERS + 1), 1, 0.0, 1, "n")],
+        SCHEMA,
+    )
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(43)] + [(None, 1), (3, 0), (5, 7)], "doc_id long, toxic int"
+    )
+    rows = T.training_rows(docs, labels, 8).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) <= 16
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+    everything = {r["doc_id"]: r for r in T.training_rows(docs, labels).collect()}
+    assert everything.keys() == {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert all(r["toxic"] == d % 2 for d, r in everything.items())
+
+
+def test_odd_rows(spark, network):
+    rows = [(1, None), (2, ""), (None, "you moron"), (3, "w " * 100_000 + "moron"), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame([(*r, 1, 0.5, 9, "n") for r in rows], SCHEMA)
+    scored = docs.select("*", T.score_column(spark, network, F.col("text")).alias("found"))
+    found = scored.collect()
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:9]) for r in found) == sorted(
+        (i or -1, (t or "")[:9]) for i, t in rows
+    )
+    for row in found:
+        if len(row["text"] or "") < 100:
+            assert row["found"] == pytest.approx(slow_score(network, row["text"]), abs=1e-4)
+    # the word at the end of a long text counts as much as anywhere
+    assert max(r["found"] for r in found if r["doc_id"] == 3) > 0.5
+    none = docs.where(F.lit(False))
+    assert none.select(T.score_column(spark, network, F.col("text")).alias("s")).count() == 0
+
+
+def test_without_labels_of_both_kinds(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", 1, 0.0, 1, "n") for i in range(20)], SCHEMA)
+    for kinds, score in (([], 0.01), ([0], 0.01), ([1], 0.99)):
+        labels = spark.createDataFrame([(i, k) for i in range(20) for k in kinds], "doc_id long, toxic int")
+        network = T.fit(docs, labels)
+        assert T.Scorer(network)(["any", ""]) == pytest.approx([score] * 2, abs=1e-4)
+    assert T.Scorer(T.fit(docs.where("false"), labels))([""]) == pytest.approx([0.01], abs=1e-4)
+
+
+def test_held_out_documents(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    found = QUERIES["op12_toxicity"](spark, SF).collect()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    held = [(r["score"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for s, t in held if not t], [s for s, t in held if t]
+    ranked = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(good) * len(bad))
+    assert ranked > 0.8
+    again = {r["doc_id"]: r["score"] for r in QUERIES["op12_toxicity"](spark, SF).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-6) for r in found)
