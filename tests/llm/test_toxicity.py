@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mastline.llm import toxicity as T
 from mastline.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, toxic int, score double, known_id long, network string"
 
 
@@ -167,8 +167,14 @@ def test_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
     held = [(r["score"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
-    good, bad = [s for s, t in held if not t], [s for s, t in held if t]
-    ranked = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(good) * len(bad))
-    assert ranked > 0.8
-    again = {r["doc_id"]: r["score"] for r in QUERIES["op12_toxicity"](spark, SF).collect()}
-    assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-6) for r in found)
+    good, bad = np.array([s for s, t in held if not t]), np.array([s for s, t in held if t])
+    ranked = (bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2
+    assert ranked > 0.93
+    assert (bad >= 0.5).mean() > 0.75 and (good < 0.5).mean() > 0.95
+
+
+def test_reruns_agree():
+    texts = [f"text {i % 9} of {i % 5} kinds {'moron' if i % 4 == 0 else ''}" for i in range(80)]
+    labels = [int(i % 4 == 0) for i in range(80)]
+    first, second = (T.trained(texts, labels, epochs=2, steps=5).to_bytes() for _ in "ab")
+    assert first == second
