@@ -1,10 +1,13 @@
 """Run telemetry: one row per run, summaries, cost scenarios and storage."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mastline.operators.joins import spread_join
+from mastline.sources import run_documents
 
 # fixed values: job categories, counters of a job profile
 CATEGORIES = ["incremental", "full", "source_change", "consumption"]
@@ -146,65 +149,163 @@ def run_rollup(
     ).drop(*hidden)
 
 
+#: metrics that are summarised per scenario, for both methods
+SUMMARY_METRICS = [
+    f"{method}_{metric}"
+    for metric in (
+        "server_seconds", "cpu_wall_seconds", "inputRowCount", "inputBytes", "outputBytes",
+        "job_meter_cru",
+    )
+    for method in ("incremental", "full")
+]
+_DETAILS = [
+    "customers", "subscriptions", "selected_customers", "affected_customers", "tag_transitions",
+    "verify", "verify_reverse", "verify_counts", "changed_source_rows",
+]
+
+
+def run_report(
+    documents: DataFrame, named: Sequence[str] = (), unnamed: Sequence[str] = ()
+) -> DataFrame:
+    """One row per verified run, from its documents (path, content).
+
+    A run counts if its manifest has a ``verify_counts`` statement, its name begins with one
+    of ``named`` (if there are any) and ends with none of ``unnamed``. Plan and result
+    documents that were not collected leave their columns NULL.
+    """
+    manifest = run_documents.manifests(documents)
+    wanted = F.lit(True)
+    if named:
+        wanted = reduce(or_, (F.col("run_id").startswith(n) for n in named))
+    for suffix in unnamed:
+        wanted = wanted & ~F.col("run_id").endswith(suffix)
+    verified = manifest.filter((F.col("label") == "verify_counts") & wanted).select("run_id").distinct()
+    runs = run_rollup(
+        manifest.join(verified, "run_id", "left_semi"),
+        run_documents.histories(documents),
+        run_documents.jobs(documents),
+        profile_metrics(run_documents.profiles(documents)),
+    )
+    found = runs.join(run_documents.plans(documents), "run_id", "left").join(
+        run_documents.results(documents), "run_id", "left"
+    )
+    found = found.withColumn("changed_source_rows", F.coalesce("changed_source_rows", F.lit(0)))
+    return found.select("run_id", *_DETAILS, *(c for c in runs.columns if c != "run_id"))
+
+
+def scenarios_of(runs: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """``runs`` with ``scenario``, a row for every prefix that a run's name begins with."""
+    matching = F.filter(
+        F.array(*(F.lit(p) for p in prefixes)), lambda p: F.col("run_id").startswith(p)
+    )
+    return runs.withColumn("scenario", F.explode(matching))
+
+
 # the sketch is off by at most this share of the rows of a group; brackets are five times wider
 _RANK_ERROR = 1e-5
 _MARGIN = 5 * _RANK_ERROR
+# a bracket is cut into so many buckets of equal width
+_BUCKETS = 1000
 
 
 def summarise(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """n, exact median, nearest-rank p95, min and max per group; NULL values do not count.
+    """n, exact median, nearest-rank p95, min and max per group; see ``summarise_metrics``."""
+    return summarise_metrics(df, group, [value]).drop("metric")
+
 
-    A NULL group is a group like any other: groups are compared as structs.
+def summarise_metrics(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """n, exact median, nearest-rank p95, min and max per group and metric, in three scans.
 
-    No group is gathered in one place. A sketch brackets the wanted ranks; values outside
-    the brackets are only counted, and equal values inside them are counted together, so
-    the exact ranks are found among a five-thousandth of the values of a group. Should a
-    rank ever fall outside its bracket, the query fails rather than answer wrongly.
+    The metrics are columns of numbers; the result has a row for each group and ``metric``
+    that has a value, NULL values do not count. A NULL group is a group like any other:
+    groups are compared as structs.
+
+    No group is gathered or ranked in one place. A sketch brackets the wanted ranks, values
+    outside the brackets are only counted, brackets are cut into buckets of equal width. The
+    bucket totals, at most a few thousand a group, tell which bucket holds a rank, and only the
+    values of that bucket are put in order, equal ones as one row. Should a rank ever fall
+    outside its bracket, the query fails rather than answer wrongly.
     """
-    present = df.select(
-        F.struct(*group).alias("_g"), F.col(value).cast("double").alias("_v")
-    ).filter("_v IS NOT NULL")
+    listed = F.array(
+        *(F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in metrics)
+    )
+    present = (
+        df.select(F.struct(*group).alias("_g"), F.explode(listed).alias("_x"))
+        .select("_g", F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        .filter("_v IS NOT NULL")
+        .select(F.struct("_g", "_m").alias("_k"), "_v")
+    )
     brackets = [p + side * _MARGIN for p in (0.5, 0.95) for side in (-1, 1)]
-    sketch = present.groupBy("_g").agg(
+    sketch = present.groupBy("_k").agg(
         F.percentile_approx("_v", brackets, int(1 / _RANK_ERROR)).alias("_b"),
         F.count("*").alias("n"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
     )
-    ranked = sketch.withColumns(
-        {
-            "_r1": F.floor((F.col("n") + 1) / F.lit(2)).cast("long"),
-            "_r2": F.floor((F.col("n") + 2) / F.lit(2)).cast("long"),
-            "_r3": F.ceil(F.col("n") * F.lit(0.95)).cast("long"),
-        }
-    )
-    near = spread_join(present, ranked.select("_g", "_b"), ["_g"], "inner", spread=["_v"])
+    # equal rows of a hot group are told apart by where they were read
+    spread = present.withColumn("_row", F.monotonically_increasing_id())
     v, b = F.col("_v"), F.col("_b")
     zone = (
         F.when(v < b[0], 0).when(v <= b[1], 1).when(v < b[2], 2).when(v <= b[3], 3).otherwise(4)
     )
-    # one row per value inside a bracket, one row per zone outside
-    counted = (
-        near.withColumn("_zone", zone)
-        .groupBy("_g", "_zone", F.when(F.col("_zone").isin(1, 3), v).alias("_v"))
+    low = F.when(F.col("_zone") == 1, b[0]).otherwise(b[2])
+    width = F.when(F.col("_zone") == 1, b[1]).otherwise(b[3]) - low
+    bucket = F.when(
+        F.col("_zone").isin(1, 3) & (width > 0) & (width < float("inf")),
+        F.floor((v - low) / width * _BUCKETS),
+    ).otherwise(F.lit(0))
+    dealt = (
+        spread_join(spread, sketch.select("_k", "_b"), ["_k"], "inner", spread=["_row"])
+        .withColumn("_zone", zone)
+        .withColumn("_bucket", bucket.cast("int"))
+    )
+    before = Window.partitionBy("_k").orderBy("_zone", "_bucket")
+    totals = (
+        dealt.groupBy("_k", "_zone", "_bucket")
         .agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(before))
     )
-    upto = (
-        Window.partitionBy("_g")
-        .orderBy("_zone", "_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.col("n")
+    ranks = F.array(
+        F.floor((n + 1) / F.lit(2)), F.floor((n + 2) / F.lit(2)), F.ceil(n * F.lit(0.95))
     )
-    placed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(
-        ranked.select("_g", "_r1", "_r2", "_r3"), "_g"
+    asked = sketch.select("_k", F.posexplode(ranks).alias("_which", "_rank"))
+    places = (
+        totals.join(asked, "_k")
+        .filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+        .filter(F.col("_zone").isin(1, 3))
+        .select(
+            "_k",
+            "_zone",
+            "_bucket",
+            "_which",
+            (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_inside"),
+        )
     )
-    holds = lambda rank: (F.col(rank) <= F.col("_upto")) & (F.col(rank) > F.col("_upto") - F.col("_n"))
-    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
-    at = lambda rank: F.max(F.when(holds(rank), F.coalesce(v, missed)))
-    exact = placed.groupBy("_g").agg(
-        ((at("_r1") + at("_r2")) / 2).alias("median"), at("_r3").alias("p95_nearest_rank")
+    inside = ["_k", "_zone", "_bucket"]
+    within = Window.partitionBy(*inside).orderBy("_v")
+    counted = (
+        spread_join(dealt, places.select(*inside).distinct(), inside, "inner", spread=["_row"])
+        .groupBy(*inside, "_v")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(within))
+    )
+    at = lambda which: F.max(F.when(F.col("_which") == which, F.col("_v")))
+    exact = (
+        counted.join(places, inside)
+        .filter((F.col("_inside") <= F.col("_upto")) & (F.col("_inside") > F.col("_upto") - F.col("_n")))
+        .groupBy("_k")
+        .agg(((at(0) + at(1)) / 2).alias("median"), at(2).alias("p95_nearest_rank"))
     )
-    return ranked.join(exact, "_g").select(
-        *[F.col("_g")[name].alias(name) for name in group], "n", "median", "p95_nearest_rank", "min", "max"
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    return sketch.join(exact, "_k", "left").select(
+        *[F.col("_k._g")[name].alias(name) for name in group],
+        F.col("_k._m").alias("metric"),
+        "n",
+        F.coalesce("median", missed).alias("median"),
+        F.coalesce("p95_nearest_rank", missed).alias("p95_nearest_rank"),
+        "min",
+        "max",
     )
 
 
@@ -241,15 +342,53 @@ def cost_scenarios(df: DataFrame) -> DataFrame:
     )
 
 
-def cost_projection(summary: DataFrame, rate: float, cycles: int = 2880) -> DataFrame:
-    """Cost of each summarised case from its median seconds, at one unit of compute."""
-    seconds = F.col("median")
-    cycle = F.greatest(F.lit(60.0), seconds + 60) * rate / 3600
-    return summary.withColumns(
+#: the price that refreshes are charged by, and the unit it must be in
+COMPUTE_SKU, COMPUTE_UNIT = "vc_gp_event", "CRU*hour"
+CYCLES = 2880
+
+
+def cost_projection(summary: DataFrame, prices: DataFrame) -> DataFrame:
+    """Cost of every scenario and method from its median server seconds and the price rows.
+
+    ``summary`` has scenario, metric and median, as from ``summarise_metrics``; ``prices``
+    has sku_code, measurements_unit, price_rate and discount_rate. One unit of compute, an
+    idle tail of a minute, ``CYCLES`` cycles in 30 days. A price in another unit, several
+    different ones, or none, fail the query.
+    """
+    rate = (
+        prices.filter(F.col("sku_code") == COMPUTE_SKU)
+        .groupBy("sku_code")
+        .agg(
+            F.collect_set(F.struct("measurements_unit", "price_rate", "discount_rate")).alias("p")
+        )
+        .select("sku_code", F.col("p")[0].alias("p"), F.size("p").alias("different"))
+    )
+    method = F.regexp_extract("metric", "^(incremental|full)_server_seconds$", 1)
+    priced = (
+        summary.withColumn("method", method)
+        .filter("method <> ''")
+        .withColumn("sku_code", F.lit(COMPUTE_SKU))
+        .join(rate, "sku_code", "left")
+    )
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("double")
+    charged = (
+        F.when(F.col("p").isNull(), wrong("no compute price"))
+        .when(F.col("different") > 1, wrong("several compute prices"))
+        .when(F.col("p.measurements_unit") != COMPUTE_UNIT, wrong("unknown compute billing unit"))
+        .otherwise(F.col("p.price_rate") * F.col("p.discount_rate"))
+    )
+    seconds = F.col("measured_server_seconds_median")
+    cycle = F.greatest(F.lit(60.0), seconds + 60) * F.col("usd_per_cru_hour") / 3600
+    return priced.select(
+        "scenario",
+        "method",
+        F.col("median").alias("measured_server_seconds_median"),
+        charged.alias("usd_per_cru_hour"),
+    ).withColumns(
         {
-            "busy_capacity_proxy": seconds * rate / 3600,
-            "modeled_cost_per_cycle": cycle,
-            "modeled_cost_per_30_days": cycle * cycles,
+            "busy_capacity_proxy_usd": seconds * F.col("usd_per_cru_hour") / 3600,
+            "modeled_vc_usd_per_cycle": cycle,
+            "modeled_vc_usd_per_30_days": cycle * CYCLES,
         }
     )
 

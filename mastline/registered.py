@@ -17,7 +17,7 @@ from mastline.plans.refresh import TagTables
 from mastline.plans.tagging import features_from_base, tags_from_base
 from mastline.schemas import TAG_COLUMNS
 from mastline.sources import fixtures as fx
-from mastline.sources import landing, run_fixtures
+from mastline.sources import landing, run_documents, run_fixtures
 from mastline.sources.store import Snapshots, publish
 from mastline.streaming.ingest import ingest_stream, stream_xdr
 from mastline.streaming.latest import keep_latest, sessions_table
@@ -578,24 +578,38 @@ def redact_documents(spark, sf):
 # --- telemetry
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    manifest, history, jobs, profiles = (
-        run_fixtures.table(spark, sf, name)
-        for name in ("manifest", "history", "jobs", "profiles")
-    )
-    return telemetry.run_rollup(manifest, history, jobs, telemetry.profile_metrics(profiles))
+_SCENARIOS = ["measured2_delta_0", "measured2_noop_0", "scale1m_delta_0"]
+
+
+def _run_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of all runs, written to an archive and read from there."""
+    folder = new_folder(spark, "run-documents")
+    run_documents.write_archive(run_fixtures.documents(spark, sf), folder)
+    return run_documents.scan_archive(spark, folder)
+
+
+def _report(documents: DataFrame) -> DataFrame:
+    return telemetry.run_report(documents, ("measured2_", "scale1m_"), ("explain", "init"))
+
+
+def _scenarios(documents: DataFrame) -> DataFrame:
+    runs = telemetry.scenarios_of(_report(documents), _SCENARIOS)
+    # three scans of the summary read the runs, not their documents
+    folder = new_folder(documents.sparkSession, "runs")
+    runs = publish(runs.select("scenario", *telemetry.SUMMARY_METRICS), folder)
+    return telemetry.summarise_metrics(runs, ["scenario"], telemetry.SUMMARY_METRICS)
 
 
 @registered
 def run_rollup(spark, sf):
-    return _runs(spark, sf)
+    """Every verified run in one row, from the documents it left."""
+    return _report(_run_documents(spark, sf))
 
 
 @registered
 def run_summary(spark, sf):
-    """Refresh seconds per run-name prefix; runs without a complete time do not count."""
-    runs = _runs(spark, sf).withColumn("prefix", F.substring("run_id", 1, 5))
-    return telemetry.summarise(runs, ["prefix"], "incremental_server_seconds")
+    """Twelve metrics per scenario; a run counts where it has the metric."""
+    return _scenarios(_run_documents(spark, sf))
 
 
 @registered
@@ -621,8 +635,9 @@ def cost_scenarios(spark, sf):
 
 @registered
 def cost_projection(spark, sf):
-    summary = telemetry.summarise(fx.table(spark, sf, "events"), ["event_type"], "value")
-    return telemetry.cost_projection(summary.select("event_type", "n", "median"), rate=1.86)
+    """Cost of each scenario and method from the run summaries and the observed price."""
+    documents = _run_documents(spark, sf)
+    return telemetry.cost_projection(_scenarios(documents), run_documents.prices(documents))
 
 
 @registered

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_PROFILE = (
+PROFILE = (
     "data struct<jobSummary: struct<"
     "stats: struct<inputOutputStats: map<string, string>>,"
     "meter: struct<measurements: array<struct<key: string, unit: string, value: string>>>>>"
@@ -37,7 +37,7 @@ def scan_rows(spark: SparkSession, glob: str, row_schema: str) -> DataFrame:
 def scan_profiles(spark: SparkSession, glob: str) -> DataFrame:
     """Job profile documents, named <number>_<label>.json in a folder profiles_<run>."""
     summary = F.col("data.jobSummary")
-    return scan_documents(spark, glob, _PROFILE).select(
+    return scan_documents(spark, glob, PROFILE).select(
         F.regexp_replace("run_id", "^profiles_", "").alias("run_id"),
         F.regexp_replace("file", r"^\d+_|\.json$", "").alias("label"),
         summary["stats"]["inputOutputStats"].alias("stats"),

@@ -191,8 +191,7 @@ def _idle(table: str) -> str:
 # --- telemetry
 
 _RUN = {
-    name: text.replace("{STRING}", "VARCHAR").replace("{DIV}", "//").strip()
-    for name, text in run_fixtures.DEFINITIONS.items()
+    name: run_fixtures.definition(name, "VARCHAR", "//") for name in run_fixtures.DEFINITIONS
 }
 _COUNTERS = {
     "inputRowCount": "e.event_id * 3",
@@ -210,16 +209,25 @@ _COUNTERS = {
 
 def _run_rollup() -> str:
     profile = ", ".join(f"{expr} AS {name}" for name, expr in _COUNTERS.items())
+    labels = ["affected_customers", "tag_transitions", "verify", "verify_reverse", "verify_counts"]
+    answers = ", ".join(
+        f"MAX(value) FILTER (WHERE place = {place} AND asked = 0 AND answered) AS {label}"
+        for place, label in enumerate(labels, 9)
+    )
     ctes = {
         **_RUN,
         "statements": f"""
 SELECT m.*, h.refresh_mode, h.job_id IS NOT NULL AND m.category = 'incremental' AS refreshed,
  CASE WHEN h.job_id IS NOT NULL AND m.category = 'incremental' THEN h.duration_s ELSE j.execution_s END AS seconds,
  h.end_time AS history_end, j.end_time AS job_end, p.*
-FROM manifest m LEFT JOIN (FROM history QUALIFY snapshot = max(snapshot) OVER (PARTITION BY run_id, job_id)) h
+FROM (FROM manifest WHERE run_id IN (SELECT run_id FROM manifest WHERE label = 'verify_counts')
+  AND run_id NOT LIKE '%init' AND run_id NOT LIKE '%explain') m LEFT JOIN (FROM history QUALIFY snapshot = max(snapshot) OVER (PARTITION BY run_id, job_id)) h
  ON h.run_id = m.run_id AND h.job_id = m.job_id
  LEFT JOIN (FROM jobs QUALIFY snapshot = max(snapshot) OVER (PARTITION BY job_id)) j ON j.job_id = m.job_id
  LEFT JOIN (SELECT e.event_id AS profile_of, {profile} FROM events e WHERE e.event_id % 17 <> 0) p ON p.profile_of = m.seq""",
+        "results": f"""
+SELECT run_id, {answers}, CAST(COALESCE(SUM(value) FILTER (WHERE place >= 14), 0) AS BIGINT) AS changed_source_rows
+FROM result GROUP BY run_id""",
     }
     columns = []
     for category in ("incremental", "full", "source_change", "consumption"):
@@ -246,8 +254,11 @@ FROM manifest m LEFT JOIN (FROM history QUALIFY snapshot = max(snapshot) OVER (P
     ]
     return _sql(
         ctes,
-        "SELECT * EXCLUDE (gap, known), CASE WHEN known THEN gap END AS last_source_commit_to_tags_seconds"
-        " FROM (SELECT run_id, " + ",\n ".join(columns) + " FROM statements GROUP BY run_id)",
+        "SELECT * EXCLUDE (gap, known, changed), CASE WHEN known THEN gap END AS last_source_commit_to_tags_seconds"
+        ", COALESCE(changed, 0) AS changed_source_rows"
+        " FROM (SELECT run_id, " + ",\n ".join(columns) + " FROM statements GROUP BY run_id)"
+        " LEFT JOIN plan USING (run_id)"
+        " LEFT JOIN (SELECT * RENAME (changed_source_rows AS changed) FROM results) USING (run_id)",
     )
 
 
@@ -260,6 +271,21 @@ FROM (SELECT {group}, {value}, row_number() OVER (PARTITION BY {group} ORDER BY
   COUNT(*) OVER (PARTITION BY {group}) AS total FROM {source} WHERE {value} IS NOT NULL) GROUP BY {group}"""
 
 
+def _run_summary() -> str:
+    """The runs of each scenario, one row per metric and run that has it."""
+    kinds = ["server_seconds", "cpu_wall_seconds", "inputRowCount", "inputBytes", "outputBytes", "job_meter_cru"]
+    metrics = [f"{method}_{kind}" for kind in kinds for method in ("incremental", "full")]
+    values = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in metrics)
+    scenario = (
+        "CASE WHEN starts_with(run_id, 'measured2_delta_0') THEN 'measured2_delta_0'"
+        " WHEN starts_with(run_id, 'measured2_noop_0') THEN 'measured2_noop_0'"
+        " WHEN starts_with(run_id, 'scale1m_delta_0') THEN 'scale1m_delta_0' END"
+    )
+    runs = f"(SELECT {scenario} AS scenario, {values} FROM ({_run_rollup()}) WHERE {scenario} IS NOT NULL)"
+    long = f"(UNPIVOT {runs} ON {', '.join(metrics)} INTO NAME metric VALUE value)"
+    return _summary("scenario, metric", "value", long)
+
+
 _SUMMARY = _summary("event_type", "value", "events")
 
 
@@ -486,11 +512,7 @@ SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM lineitem GROUP BY ALL HAV
         ),
         "redact_documents": f"SELECT doc_id, {_redacted('text')} AS text FROM documents",
         "run_rollup": _run_rollup(),
-        "run_summary": _summary(
-            "prefix",
-            "incremental_server_seconds",
-            f"(SELECT *, run_id[:5] AS prefix FROM ({_run_rollup()}))",
-        ),
+        "run_summary": _run_summary(),
         "metric_summary": _SUMMARY,
         "cost_scenarios": """
 SELECT o_orderkey, rate, cru, active_seconds, idle_seconds, cadence_minutes, days, 'ILLUSTRATIVE_NOT_MEASURED' AS status,
@@ -504,9 +526,12 @@ FROM (SELECT *, days * 86400 / (cadence_minutes * 60) AS runs,
    CAST(o_orderkey % 1000 AS DOUBLE) AS active_seconds, CAST(60 AS DOUBLE) AS idle_seconds,
    CAST(o_orderkey % 4 * 5 + 5 AS DOUBLE) AS cadence_minutes, CAST(30 AS DOUBLE) AS days FROM orders))""",
         "cost_projection": f"""
-SELECT event_type, n, median, median * CAST(1.86 AS DOUBLE) / 3600 AS busy_capacity_proxy,
- greatest(60, median + 60) * CAST(1.86 AS DOUBLE) / 3600 AS modeled_cost_per_cycle,
- greatest(60, median + 60) * CAST(1.86 AS DOUBLE) / 3600 * 2880 AS modeled_cost_per_30_days FROM ({_SUMMARY})""",
+SELECT scenario, method, median AS measured_server_seconds_median, usd_per_cru_hour,
+ median * usd_per_cru_hour / 3600 AS busy_capacity_proxy_usd,
+ greatest(60, median + 60) * usd_per_cru_hour / 3600 AS modeled_vc_usd_per_cycle,
+ greatest(60, median + 60) * usd_per_cru_hour / 3600 * 2880 AS modeled_vc_usd_per_30_days
+FROM (SELECT scenario, split_part(metric, '_', 1) AS method, median FROM ({_run_summary()}) WHERE metric LIKE '%\\_server\\_seconds' ESCAPE '\\'),
+ (SELECT CAST(p_size AS DOUBLE) / 8 * CAST(0.75 AS DOUBLE) AS usd_per_cru_hour FROM part WHERE p_partkey = 1)""",
         "storage_rollup": """
 SELECT p_brand AS table_schema, CAST(SUM(p_size) AS BIGINT) * 1048576 AS all_object_bytes,
  CAST(COALESCE(SUM(p_size) FILTER (WHERE p_type IN ('PROMO', 'LARGE')), 0) AS BIGINT) * 1048576 AS derived_bytes,
