@@ -1,8 +1,16 @@
-"""Keyed refresh: recompute the customers a change touches, table by table."""
+"""Keyed refresh: recompute the customers a change touches, table by table.
+
+A change that touches few customers is named in the scans: tables in the order of the customer
+(``publish_clustered``, and the derived tables themselves) are then read by the page. A larger
+one is joined.
+"""
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mastline.functions.usage import seconds_between
 from mastline.operators import features as f
@@ -10,7 +18,7 @@ from mastline.operators.changes import affected_by_feature
 from mastline.operators.joins import keep_keys, rows_of, union_all
 from mastline.operators.tags import customer_tags
 from mastline.plans.base import BaseTables, Change
-from mastline.sources.store import Commit, CommitLog, KeyedTable, write_counted
+from mastline.sources.store import Commit, CommitLog, KeyedTable, range_bounds, write_counted
 
 _KEY = "customer_id"
 CHILDREN = ["subscription_features", "billing_features", "care_features"]
@@ -32,8 +40,45 @@ _DDL = {
 }
 
 
-# keys to recompute and their number
-Keys = tuple[DataFrame, int]
+#: so many keys at most are taken to the driver and named in a scan
+NAMED_KEYS = 500
+
+
+@dataclass(frozen=True)
+class Keys:
+    """Customers to recompute; ``n`` is their number."""
+
+    rows: DataFrame
+    n: int
+
+    def values(self) -> list[int | None] | None:
+        """The keys themselves, if they are few."""
+        return _few(self.rows, _KEY) if self.n <= NAMED_KEYS else None
+
+    @cached_property
+    def named(self) -> Column | None:
+        """The condition that a row belongs to one of a few customers."""
+        found = self.values()
+        return None if found is None else _one_of(_KEY, found)
+
+    def cut(self, df: DataFrame, spread: list[str]) -> DataFrame:
+        """Rows of the customers; tables with one row per customer need no spreading."""
+        if self.named is not None:
+            return df.filter(self.named)
+        return rows_of(df, self.rows, _KEY, spread) if spread else keep_keys(df, self.rows, [_KEY])
+
+
+def _few(rows: DataFrame, key: str) -> list[int | None] | None:
+    """The distinct values of a column, unless there are more than ``NAMED_KEYS``."""
+    found = [r[0] for r in rows.select(key).distinct().limit(NAMED_KEYS + 1).collect()]
+    return found if len(found) <= NAMED_KEYS else None
+
+
+def _one_of(key: str, values: Sequence[int | None]) -> Column:
+    """Whether a column has one of the values; NULL is a value like any other."""
+    known = [v for v in values if v is not None]
+    found = F.col(key).isin(known)
+    return found | F.col(key).isNull() if len(known) < len(values) else found
 
 
 class TagTables:
@@ -60,7 +105,9 @@ class TagTables:
     def build(self, base: BaseTables) -> list[Commit]:
         """First build, or a rebuild of everything."""
         version = self.log.next_version()
-        done = [self._full(name, base, version) for name in TABLES]
+        bounds = self._bounds(base)
+        done = _at_once(lambda name: self._full(name, base, version, bounds), CHILDREN)
+        done += [self._full(name, base, version, bounds) for name in TABLES[len(CHILDREN) :]]
         self.log.write()
         return done
 
@@ -68,11 +115,9 @@ class TagTables:
         """Bring all tables from the old base state to the new one."""
         version = self.log.next_version()
         affected = self._affected(old, new, changes, version)
-        done, reached = [], []
-        for name in CHILDREN:
-            keys = affected.get(name)
-            done.append(self._step(name, new, version, keys))
-            reached.append(self._reached(done[-1], keys))
+        # the three children read base tables only
+        done = _at_once(lambda name: self._step(name, new, version, affected.get(name)), CHILDREN)
+        reached = [self._reached(c, affected.get(c.table_name)) for c in done]
         reached.append(affected.get("customer_features"))
         keys = self._together([k for k in reached if k is not None], version)
         done.append(self._step("customer_features", new, version, keys))
@@ -97,7 +142,7 @@ class TagTables:
         )
         written = self.spark.read.schema("feature string, customer_id bigint").parquet(folder)
         return {
-            name: (written.filter(F.col("feature") == name).select(_KEY), n)
+            name: Keys(written.filter(F.col("feature") == name).select(_KEY), n)
             for name, n in counts.items()
             if n
         }
@@ -108,7 +153,7 @@ class TagTables:
             return keys
         changed = self.tables[done.table_name].changes([done.version]).select(_KEY)
         n = max(done.rows_inserted, done.rows_deleted)
-        return (changed, n) if n else None
+        return Keys(changed, n) if n else None
 
     def _together(self, reached: Sequence[Keys], version: int) -> Keys | None:
         """Distinct keys of several sets."""
@@ -116,24 +161,31 @@ class TagTables:
             return reached[0] if reached else None
         folder = f"{self.path}/reached/{version}"
         counts = write_counted(
-            union_all([keys for keys, _ in reached]).distinct(), folder, keys=F.count(F.lit(1))
+            union_all([keys.rows for keys in reached]).distinct(), folder, keys=F.count(F.lit(1))
         )
-        return self.spark.read.schema("customer_id bigint").parquet(folder), counts["keys"]
+        return Keys(self.spark.read.schema("customer_id bigint").parquet(folder), counts["keys"])
 
-    def _step(self, name: str, new: BaseTables, version: int, found: Keys | None) -> Commit:
+    def _step(self, name: str, new: BaseTables, version: int, keys: Keys | None) -> Commit:
         table = self.tables[name]
-        if found is None:
+        if keys is None:
             return table.idle(version)
-        keys, n = found
-        if n > self.full_ratio * table.size():
-            return self._full(name, new, version, n)
-        rows = self._rows(name, new, lambda df, spread: _cut(df, keys, spread))
+        if keys.n > self.full_ratio * table.size():
+            return self._full(name, new, version, self._bounds(new), keys.n)
         if name == "billing_features":
-            accounts = rows_of(new.billing_account, keys, _KEY, ["account_id"])
-            rows = f.billing_features(
-                rows_of(new.customer_bill, accounts, "account_id", ["bill_id"]), accounts
-            )
-        return table.apply(rows, keys, version, n)
+            rows = self._billing(new, keys)
+        else:
+            rows = self._rows(name, new, keys.cut)
+        return table.apply(rows, keys.rows, version, keys.n, keys.named)
+
+    def _billing(self, new: BaseTables, keys: Keys) -> DataFrame:
+        """Bills name accounts, not customers: the customers' accounts are looked up first."""
+        accounts = keys.cut(new.billing_account, ["account_id"])
+        few = None if keys.named is None else _few(accounts, "account_id")
+        if few is None:
+            bills = rows_of(new.customer_bill, accounts, "account_id", ["bill_id"])
+        else:
+            bills = new.customer_bill.filter(_one_of("account_id", few))
+        return f.billing_features(bills, accounts)
 
     def _tags_step(
         self, features: Commit, new: BaseTables, version: int, keys: Keys | None
@@ -141,16 +193,27 @@ class TagTables:
         """Tags follow the features row by row: the rows just written are all they need."""
         found = self._reached(features, keys)
         table = self.tables["customer_tags"]
-        if found is None or features.kind != "changes" or found[1] > self.full_ratio * table.size():
+        if found is None or features.kind != "changes" or found.n > self.full_ratio * table.size():
             return self._step("customer_tags", new, version, found)
         changed = self.tables["customer_features"].changes([version])
         return table.apply(
-            customer_tags(changed.filter("NOT _removed")), changed.select(_KEY), version, found[1]
+            customer_tags(changed.filter("NOT _removed")),
+            changed.select(_KEY),
+            version,
+            found.n,
+            found.named,
         )
 
-    def _full(self, name: str, base: BaseTables, version: int, affected: int = 0) -> Commit:
+    def _bounds(self, base: BaseTables) -> list[int]:
+        """Customer ids that cut the derived tables into as many files as a shuffle has parts."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return range_bounds(base.customer, _KEY, parts)
+
+    def _full(
+        self, name: str, base: BaseTables, version: int, bounds: list[int], affected: int = 0
+    ) -> Commit:
         rows = self._rows(name, base, lambda df, spread: df)
-        return self.tables[name].create(rows, version, affected)
+        return self.tables[name].create(rows, version, affected, bounds)
 
     def _rows(
         self, name: str, base: BaseTables, reduced: Callable[[DataFrame, list[str]], DataFrame]
@@ -171,9 +234,10 @@ class TagTables:
         return customer_tags(reduced(self.read("customer_features"), []))
 
 
-def _cut(df: DataFrame, keys: DataFrame, spread: list[str]) -> DataFrame:
-    """Rows of the wanted customers; tables with one row per customer need no spreading."""
-    return rows_of(df, keys, _KEY, spread) if spread else keep_keys(df, keys, [_KEY])
+def _at_once(step: Callable[[str], Commit], names: Sequence[str]) -> list[Commit]:
+    """The steps side by side, so that none waits for another's few jobs."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(step, names))
 
 
 def freshness(history: DataFrame, committed: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a refresh of a few hundred keys names them in the scan; see plans/refresh.py
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # the streams keep every id: state belongs on local disk and in the checkpoint, not the heap
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -6,6 +6,7 @@ version exists once its row is in the commit log.
 """
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from dataclasses import astuple, dataclass, fields
 
@@ -34,18 +35,64 @@ def publish(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: rows of a page in a clustered table: a read of one key takes in little more
+PAGE_ROWS = 500
+_PAGE_OPTION = "parquet.page.row.count.limit"
+
+
+def publish_clustered(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Publish a table in the order of ``key``, so that reads of a few keys skip the rest.
+
+    Files hold ranges of the key in order; a key that most rows share spreads over many files.
+    """
+    # dealt by ranges, not in equal shares of hashed keys; the row's number splits a hot key
+    dealt = df.repartitionByRange(key, F.monotonically_increasing_id()).sortWithinPartitions(key)
+    dealt.write.option(_PAGE_OPTION, PAGE_ROWS).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def range_bounds(keys: DataFrame, key: str, parts: int) -> list[int]:
+    """Values that cut a column of unique numbers into about equal parts."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = keys.agg(F.percentile_approx(key, shares, 100 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def in_ranges(df: DataFrame, key: str, bounds: Sequence[int]) -> DataFrame:
+    """Rows dealt by the ranges that ``bounds`` cut a unique key into, in order inside each.
+
+    A NULL key goes to the first range.
+    """
+    reached = lambda found: F.size(F.filter(found, lambda bound: bound <= F.col(key)))
+    longs = lambda values: F.array(*(F.lit(b).cast("bigint") for b in values))
+    # two steps of about the root of their number, instead of a look at every bound
+    size = math.isqrt(len(bounds)) + 1
+    groups = [bounds[at : at + size] for at in range(0, len(bounds), size)]
+    part = F.lit(0)
+    if groups:
+        group = reached(longs(g[0] for g in groups))
+        inside = reached(F.element_at(F.array(*(longs(g) for g in groups)), group))
+        part = F.when(group > 0, (group - 1) * size + inside).otherwise(0)
+    return df.repartitionById(len(bounds) + 1, part.cast("int")).sortWithinPartitions(key)
+
+
 def consume(df: DataFrame) -> None:
     """Run a micro-batch without keeping it: its state is only saved if it is read to the end."""
     df.write.format("noop").mode("overwrite").save()
 
 
-def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+def write_counted(
+    df: DataFrame, path: str, page_rows: int | None = None, **counts: Column
+) -> dict[str, int]:
     """Write a version folder and return counts taken while writing, without another job."""
     seen = Observation()
     observed = df.observe(
         seen, *[F.coalesce(value, F.lit(0)).alias(name) for name, value in counts.items()]
     )
-    observed.write.mode("overwrite").parquet(path)
+    writer = observed.write.mode("overwrite")
+    (writer.option(_PAGE_OPTION, page_rows) if page_rows else writer).parquet(path)
     return {name: int(value) for name, value in seen.get.items()}
 
 
@@ -184,22 +231,39 @@ class KeyedTable:
         """Number of rows, from the commits. Only tables kept by create and apply know it."""
         return sum(c.rows_inserted - c.rows_deleted for c in self._commits("base", "changes"))
 
-    def create(self, df: DataFrame, version: int, affected: int = 0) -> Commit:
-        """Write the whole table as a new base."""
+    def create(
+        self, df: DataFrame, version: int, affected: int = 0, bounds: Sequence[int] | None = None
+    ) -> Commit:
+        """Write the whole table as a new base; ``bounds`` of its one key cluster it."""
         started, before = now(), self.size()
+        rows = self._typed(df)
+        if bounds is not None:
+            rows = in_ranges(rows, self.key[0], bounds)
         counts = write_counted(
-            self._typed(df), self._folder("base", version), rows=F.count(F.lit(1))
+            rows,
+            self._folder("base", version),
+            page_rows=None if bounds is None else PAGE_ROWS,
+            rows=F.count(F.lit(1)),
         )
         return self._done(version, "base", "FULL", affected, counts["rows"], before, started)
 
-    def apply(self, rows: DataFrame, keys: DataFrame, version: int, affected: int = 0) -> Commit:
+    def apply(
+        self,
+        rows: DataFrame,
+        keys: DataFrame,
+        version: int,
+        affected: int = 0,
+        only: Column | None = None,
+    ) -> Commit:
         """Make ``rows`` the only rows of ``keys``.
 
         Rows that come out as they were are not written, so later tables do not see them.
+        ``only`` says the same as ``keys`` as a condition that a scan can be cut down by.
         """
         started = now()
+        before = keep_keys(self.read(), keys, self.key) if only is None else self.read().filter(only)
         counts = write_counted(
-            self._difference(self._typed(rows), keep_keys(self.read(), keys, self.key)),
+            self._difference(self._typed(rows), before),
             self._folder("changes", version),
             inserted=F.count_if(~F.col(_REMOVED)),
             deleted=F.count_if(F.col(_EXISTED)),

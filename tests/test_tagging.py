@@ -9,11 +9,12 @@ from mastline.operators import quality
 from mastline.operators.tags import campaign_audience, tag_counts
 from mastline.plans import scenarios
 from mastline.plans.base import BaseTables, Change
-from mastline.plans.refresh import TagTables, freshness
+from mastline.plans import refresh as refresh_module
+from mastline.plans.refresh import Keys, TagTables, freshness
 from mastline.plans.tagging import features_from_base, tags_from_base
 from mastline.schemas import KEYS, REFERENCES, TAG_COLUMNS
 from mastline.sources import fixtures as fx
-from mastline.sources.store import publish
+from mastline.sources.store import in_ranges, publish, publish_clustered, range_bounds
 from mastline.workspace import new_folder
 from tests.records import expected_tags, frame, tags_by_customer
 
@@ -249,3 +250,74 @@ def test_rows_without_a_customer_survive_a_refresh(spark, base):
         both = quality.verify_equal(tables.read(name), rebuilt.read(name), rebuilt.read(name).columns)
         assert tuple(both.first()) == (0, 0), name
     assert tables.read("subscription_features").filter("customer_id IS NULL").count() == 1
+
+
+def scanned_rows(df):
+    """Rows that came out of the scans of a query without a shuffle, by its own metrics."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_few_keys_are_read_by_the_page(spark):
+    """Clustered tables: a hundred of 40,000 customers take a tenth of the rows at most."""
+    customers = 40_000
+    folder = new_folder(spark, "clustered")
+    seed = fx.seed_base(spark, customers, customers * 3 // 2)
+    base = BaseTables(
+        **{
+            name: publish_clustered(getattr(seed, name), f"{folder}/{name}", key)
+            for name, key in [
+                *((n, "customer_id") for n in ("customer", "billing_account", "product_inventory", "trouble_ticket")),
+                ("customer_bill", "account_id"), ("product_offering", "offering_id"),
+            ]
+        }
+    )
+    tables = TagTables(spark, f"{folder}/tags")
+    tables.build(base)
+    few = Keys(spark.createDataFrame([(20_000 + i,) for i in range(100)], "customer_id long"), 100)
+    for df in (base.product_inventory, base.customer, tables.read("customer_features")):
+        everything = df.count()
+        found = few.cut(df, ["customer_id"])
+        assert scanned_rows(found) <= everything / 10
+        assert found.count() == df.filter("customer_id BETWEEN 20000 AND 20099").count() >= 100
+
+
+@pytest.mark.parametrize("named", [0, 10_000])
+def test_named_and_joined_keys_agree(spark, base, keys, monkeypatch, named):
+    monkeypatch.setattr(refresh_module, "NAMED_KEYS", named)
+    tables = TagTables(spark, new_folder(spark, "named"), full_ratio=2.0)
+    tables.build(base)
+    state, changes = scenarios.payment(base, keys)
+    state = stored(spark, state, "named-state")
+    tables.refresh(base, state, changes)
+    assert tuple(quality.verify_equal(tables.read(), tags_from_base(state), TAG_COLUMNS).first()) == (0, 0)
+
+
+def test_a_null_customer_is_named_too(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "customer_id long, x string")
+    keys = Keys(spark.createDataFrame([(None,), (1,)], "customer_id long"), 2)
+    assert {r.x for r in keys.cut(df, ["x"]).collect()} == {"a", "b"}
+
+
+def test_a_hot_key_spreads_over_files(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep small files apart
+    try:
+        back = publish_clustered(df, new_folder(spark, "hot"), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = back.filter("k = 7").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) > 1 and back.count() == 4000
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 50])
+def test_ranges_of_a_key(spark, parts):
+    df = spark.range(1000).select((F.col("id") * 3 - 500).alias("k")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    bounds = range_bounds(df, "k", parts)
+    assert len(bounds) == parts - 1
+    dealt = in_ranges(df, "k", bounds).withColumn("p", F.spark_partition_id()).collect()
+    assert len(dealt) == 1001
+    for row in dealt:
+        assert row.p == (0 if row.k is None else sum(b <= row.k for b in bounds))
+    assert range_bounds(df.where("false"), "k", parts) == []
