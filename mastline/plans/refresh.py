@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mastline.functions.usage import seconds_between
 from mastline.operators import features as f
-from mastline.operators.changes import affected_by_feature
+from mastline.operators.changes import FEATURE_OF, affected_by_feature
 from mastline.operators.joins import keep_keys, rows_of, union_all
 from mastline.operators.tags import customer_tags
 from mastline.plans.base import BaseTables, Change
+from mastline.plans.inputs import InputLog, compared, identities
 from mastline.sources.store import Commit, CommitLog, KeyedTable, range_bounds, write_counted
 
 _KEY = "customer_id"
@@ -86,10 +87,17 @@ class TagTables:
 
     A refresh is a version. It becomes visible for all five tables at once, when its
     commits are written; a refresh cut short before that is simply run again.
+
+    With ``watched`` the identity of every base table is kept with each version. A base table
+    that was replaced without a declared change then makes the tables computed from it, and
+    those after them, be rebuilt.
     """
 
-    def __init__(self, spark: SparkSession, path: str, full_ratio: float = 0.5):
+    def __init__(
+        self, spark: SparkSession, path: str, full_ratio: float = 0.5, watched: bool = False
+    ):
         self.spark, self.path, self.full_ratio = spark, path, full_ratio
+        self.inputs = InputLog(spark, f"{path}/inputs") if watched else None
         self.log = CommitLog(spark, f"{path}/commits")
         self.tables = {
             name: KeyedTable(f"{path}/{name}", [_KEY], _DDL[name], self.log) for name in TABLES
@@ -108,20 +116,39 @@ class TagTables:
         bounds = self._bounds(base)
         done = _at_once(lambda name: self._full(name, base, version, bounds), CHILDREN)
         done += [self._full(name, base, version, bounds) for name in TABLES[len(CHILDREN) :]]
+        if self.inputs:
+            self.inputs.write(version, identities(base))
         self.log.write()
         return done
 
     def refresh(self, old: BaseTables, new: BaseTables, changes: Sequence[Change]) -> list[Commit]:
         """Bring all tables from the old base state to the new one."""
         version = self.log.next_version()
+        rebuilt: set[str] = set()
+        if self.inputs:
+            now, replaced = compared(self.inputs.read(version - 1), old, new, changes)
+            rebuilt = {FEATURE_OF[name] for name in replaced}
         affected = self._affected(old, new, changes, version)
+
+        def step(name: str, keys: Keys | None) -> Commit:
+            if name in rebuilt:
+                return self._full(name, new, version, self._bounds(new))
+            return self._step(name, new, version, keys)
+
         # the three children read base tables only
-        done = _at_once(lambda name: self._step(name, new, version, affected.get(name)), CHILDREN)
+        done = _at_once(lambda name: step(name, affected.get(name)), CHILDREN)
+        if rebuilt:  # what reads a rebuilt table has no keys to go by
+            rebuilt |= {"customer_features", "customer_tags"}
         reached = [self._reached(c, affected.get(c.table_name)) for c in done]
         reached.append(affected.get("customer_features"))
         keys = self._together([k for k in reached if k is not None], version)
-        done.append(self._step("customer_features", new, version, keys))
-        done.append(self._tags_step(done[-1], new, version, keys))
+        done.append(step("customer_features", keys))
+        if rebuilt:
+            done.append(step("customer_tags", keys))
+        else:
+            done.append(self._tags_step(done[-1], new, version, keys))
+        if self.inputs:
+            self.inputs.write(version, now)
         self.log.write()
         return done
 

@@ -438,6 +438,25 @@ def refresh_history(spark, sf):
     )
 
 
+@registered
+def refresh_replaced(spark, sf):
+    """Bills are truncated and loaded anew, a change of consent is declared besides."""
+    old, new, changes = _stored_outcome(spark, sf, "delta")
+    tables = TagTables(spark, new_folder(spark, "tags-replaced"), watched=True)
+    tables.build(old)
+    folder = new_folder(spark, "reloaded")
+    reloaded = old.customer_bill.filter("outstanding_amount > 40 OR NOT overdue_30")
+    bills = publish(reloaded, f"{folder}/bills")
+    consent = [change for change in changes if change.table == "customer"]
+    old = old.with_table("customer_bill", bills)
+    # written anew with the same content: no reason to rebuild
+    old = old.with_table("trouble_ticket", publish(old.trouble_ticket, f"{folder}/tickets"))
+    tables.refresh(old, old.with_table("customer", new.customer), consent)
+    return tables.history().filter("version = 1").select(
+        "table_name", "refresh_mode", "affected_keys", "rows_inserted", "rows_deleted"
+    )
+
+
 @registered
 def affected_customers(spark, sf):
     """Customers behind every change case: directly, through accounts, through offerings."""

@@ -461,6 +461,29 @@ WHERE sessions >= 2 ORDER BY sessions DESC, event_hour, reliability LIMIT 24""",
                 ]
             ),
         ),
+        "refresh_replaced": _sql(
+            {
+                **_BASE_TAGS,
+                "reloaded": f"SELECT * FROM {_BASE['customer_bill']} WHERE outstanding_amount > 40 OR NOT overdue_30",
+                **_tag_ctes("_reloaded", customer_bill="reloaded"),
+            },
+            " UNION ALL ".join(
+                [
+                    _idle("subscription_features").replace("SELECT 'subscription_features', 'NO_DATA', 0, 0, 0",
+                        "SELECT 'subscription_features' AS table_name, 'NO_DATA' AS refresh_mode, CAST(0 AS BIGINT) AS affected_keys,"
+                        " CAST(0 AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_deleted"),
+                    _idle("care_features"),
+                    *(
+                        f"SELECT '{table}', 'FULL', 0, (SELECT COUNT(*) FROM {new}), (SELECT COUNT(*) FROM {old})"
+                        for table, new, old in (
+                            ("billing_features", "bil_reloaded", "bil"),
+                            ("customer_features", "cf_reloaded", "cf"),
+                            ("customer_tags", "tags_reloaded", "tags"),
+                        )
+                    ),
+                ]
+            ),
+        ),
         "affected_customers": _sql(
             _BASE_INPUTS,
             " UNION ALL ".join(

@@ -10,6 +10,7 @@ from mastline.operators.tags import campaign_audience, tag_counts
 from mastline.plans import scenarios
 from mastline.plans.base import BaseTables, Change
 from mastline.plans import refresh as refresh_module
+from mastline.plans.inputs import Content, content_of
 from mastline.plans.refresh import Keys, TagTables, freshness
 from mastline.plans.tagging import features_from_base, tags_from_base
 from mastline.schemas import KEYS, REFERENCES, TAG_COLUMNS
@@ -321,3 +322,57 @@ def test_ranges_of_a_key(spark, parts):
     for row in dealt:
         assert row.p == (0 if row.k is None else sum(b <= row.k for b in bounds))
     assert range_bounds(df.where("false"), "k", parts) == []
+
+
+def modes(steps):
+    return {s.table_name: s.refresh_mode for s in steps}
+
+
+FULL_BILLING = {
+    "subscription_features": "NO_DATA", "billing_features": "FULL", "care_features": "NO_DATA",
+    "customer_features": "FULL", "customer_tags": "FULL",
+}
+
+
+def test_a_replaced_input_is_noticed(spark, base, keys):
+    """Reloaded with other rows, or with one row changed and nothing declared."""
+    tables = TagTables(spark, new_folder(spark, "replaced"), watched=True)
+    tables.build(base)
+    state = base
+    one = F.when(F.col("bill_id") == 7, 80).otherwise(F.col("outstanding_amount")).cast("decimal(12,2)")
+    for name, bills in (
+        ("reloaded", base.customer_bill.filter("bill_id % 3 = 0")),
+        ("one", base.customer_bill.withColumn("outstanding_amount", one)),
+    ):
+        state = state.with_table("customer_bill", publish(bills, new_folder(spark, name)))
+        assert modes(tables.refresh(state, state, [])) == FULL_BILLING
+        assert tuple(quality.verify_equal(tables.read(), tags_from_base(state), TAG_COLUMNS).first()) == (0, 0)
+        # known from now on
+        assert set(modes(tables.refresh(state, state, [])).values()) == {"NO_DATA"}
+    # a new state that differs without a declared change
+    later = state.with_table("customer_bill", publish(base.customer_bill, new_folder(spark, "later")))
+    assert modes(tables.refresh(state, later, [])) == FULL_BILLING
+
+
+def test_an_input_written_anew_is_not_replaced(spark, base, keys):
+    tables = TagTables(spark, new_folder(spark, "anew"), watched=True)
+    tables.build(base)
+    again = stored(spark, base, "again")
+    assert set(modes(tables.refresh(again, again, [])).values()) == {"NO_DATA"}
+    # declared changes keep the known content up to date, without reading the table
+    state, changes = scenarios.delta(again, keys)
+    state = stored(spark, state, "again-delta")
+    steps = modes(tables.refresh(again, state, changes))
+    assert steps["customer_features"] == "INCREMENTAL" and steps["billing_features"] == "NO_DATA"
+    moved = stored(spark, state, "again-moved")
+    assert set(modes(tables.refresh(moved, moved, [])).values()) == {"NO_DATA"}
+    reopened = TagTables(spark, tables.path, watched=True)
+    assert set(modes(reopened.refresh(moved, moved, [])).values()) == {"NO_DATA"}
+
+
+def test_content_tells_rows_apart(spark):
+    one = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
+    assert content_of(one) == content_of(one.select("b", "a").select("b", "a"))
+    assert content_of(one) != content_of(one.select(F.col("b").alias("a"), F.col("a").alias("b")).limit(1))
+    assert content_of(one.limit(1)) != content_of(spark.createDataFrame([(None, 1)], "a int, b int"))
+    assert content_of(one.where("false")) == Content(0, 0)
