@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 SHARD_TOKENS = 1 << 22
 _SAMPLE = 256
 _KNOWN = 1 << 20  # pieces whose ids a worker remembers
+_LATIN = "\u0250"  # below it, letters are the same to Python and to the pre-tokenizer
 SHARD = (
     "part int, shard int, n_docs long, n_tokens long, width int, tokens binary, low_bits int,"
     " low binary, high binary, samples binary, doc_ids binary, null_ids long"
@@ -128,11 +129,28 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        self.letters = _ByteLetters()
+        self.line = self._ids(["\n"])[0] if self.by_piece else b""
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
+    def _words(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of Latin words behind a space, or behind the line feed they begin with.
+
+        To the pre-tokenizer each is one unit, a line feed another one, so that the
+        vocabulary's model can be asked at once, in the letters it has for bytes.
+        """
+        tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
+        for piece in pieces:
+            if piece[0] == "\n":
+                found = tokenize(piece[1:].translate(letters))
+                yield self.line + array(code, [t.id for t in found]).tobytes()
+            else:
+                found = tokenize((" " + piece).translate(letters))
+                yield array(code, [t.id for t in found]).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > _KNOWN:
             # frequent pieces came first: the older half stays
@@ -144,12 +162,15 @@ class Encoder:
             # letters never share a token with the marks behind them
             head = piece.rstrip(punctuation)
             word = head.removeprefix("\n")
-            if len(head) < len(piece) and word.isalpha() and max(word) < "\u0250":
+            if len(head) < len(piece) and _latin(word):
                 ended.append((piece, head, piece[len(head) :]))
                 if not self.known.get(head):
                     new.add(head)
             elif _one_word(piece.removeprefix("\n")):
                 new.add(piece)
+        words = [p for p in new if _latin(p.removeprefix("\n"))]
+        self.known.update(zip(words, self._words(words), strict=True))
+        new.difference_update(words)
         # a piece with a line feed stood behind it, any other behind a space
         ids = self._ids([p if p[0] == "\n" else " " + p for p in new])
         self.known.update(zip(new, ids, strict=True))
@@ -183,6 +204,28 @@ class Encoder:
         return out
 
 
+class _ByteLetters(dict):
+    """For ``str.translate``: the letters that byte-level vocabularies have for UTF-8 bytes.
+
+    Printable bytes stand for themselves, the others for the letters from 256 on.
+    """
+
+    def __init__(self):
+        super().__init__()
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in plain)
+        self.of_byte = {b: chr(b) for b in plain}
+        self.of_byte.update((b, chr(256 + i)) for i, b in enumerate(others))
+
+    def __missing__(self, point: int) -> str:
+        found = self[point] = "".join(self.of_byte[b] for b in chr(point).encode())
+        return found
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and max(word) < _LATIN
+
+
 def _one_word(text: str) -> bool:
     return text.split() == [text]
 

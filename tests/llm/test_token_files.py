@@ -110,3 +110,17 @@ def test_repeated_ids_are_all_written(spark, library):
     found = plain(K.read(spark, folder))
     assert sorted((r[0], r[2], r[3]) for r in found) == sorted((r[0], r[2], r[3]) for r in expected(rows, library))
     assert [r[1] for r in found[1:]] == np.cumsum([r[2] for r in found])[:-1].tolist()
+
+
+def test_words_by_the_model_alone_are_those_of_the_library(spark):
+    """All words of the larger table, and every Latin letter, in the ways a piece can stand."""
+    encoder = K.Encoder(tokenizer_path(), added_tokens=True)
+    library = encoder._ids
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toPandas()["text"]
+    words = {w.rstrip(".,") for t in texts for w in t.split()}
+    words |= {chr(i) for i in range(0x250)} | {f"ab{chr(i)}c" for i in range(0x250)}
+    words = sorted(w for w in words if w and K._latin(w))
+    pieces = [*words, *("\n" + w for w in words[::5])]
+    found = list(encoder._words(pieces))
+    assert len(pieces) > 50_000
+    assert found == library([p if p[0] == "\n" else " " + p for p in pieces])
