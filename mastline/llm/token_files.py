@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 22
 _SAMPLE = 256
-_KNOWN = 1 << 20  # pieces whose ids a worker remembers
+_KNOWN = 3 << 18  # pieces whose ids a worker remembers
 _LATIN = "\u0250"  # below it, letters are the same to Python and to the pre-tokenizer
 SHARD = (
     "part int, shard int, n_docs long, n_tokens long, width int, tokens binary, low_bits int,"
@@ -143,20 +143,20 @@ class Encoder:
         vocabulary's model can be asked at once, in the letters it has for bytes.
         """
         tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
+        space = " ".translate(letters)
         for piece in pieces:
-            if piece[0] == "\n":
-                found = tokenize(piece[1:].translate(letters))
-                yield self.line + array(code, [t.id for t in found]).tobytes()
-            else:
-                found = tokenize((" " + piece).translate(letters))
-                yield array(code, [t.id for t in found]).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > _KNOWN:
-            # frequent pieces came first: the older half stays
-            self.known = dict(islice(self.known.items(), _KNOWN // 2))
-            self.tails.clear()
-        self.known.update(dict.fromkeys(pieces, False))  # not a piece that stands alone
+            before, start = (self.line, 1) if piece[0] == "\n" else (b"", 0)
+            word = piece[start:] if piece.isascii() else piece[start:].translate(letters)
+            found = tokenize(word if start else space + word)
+            yield before + array(code, [t.id for t in found]).tobytes()
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
+        """The ids of new pieces; False for one that does not stand alone.
+
+        A word met for the first time is remembered without the marks behind it: most such
+        words are not met again.
+        """
+        found: dict[str, bytes | bool] = dict.fromkeys(pieces, False)
         new, ended = set(), []
         for piece in pieces:
             # letters never share a token with the marks behind them
@@ -169,15 +169,30 @@ class Encoder:
             elif _one_word(piece.removeprefix("\n")):
                 new.add(piece)
         words = [p for p in new if _latin(p.removeprefix("\n"))]
-        self.known.update(zip(words, self._words(words), strict=True))
+        learned = dict(zip(words, self._words(words), strict=True))
         new.difference_update(words)
         # a piece with a line feed stood behind it, any other behind a space
         ids = self._ids([p if p[0] == "\n" else " " + p for p in new])
-        self.known.update(zip(new, ids, strict=True))
+        learned.update(zip(new, ids, strict=True))
         tails = list({tail for *_, tail in ended}.difference(self.tails))
         self.tails.update(zip(tails, self._ids(tails), strict=True))
+        kept = dict(learned)
         for piece, head, tail in ended:
-            self.known[piece] = self.known[head] + self.tails[tail]
+            again = self.known.get(head)
+            found[piece] = (again or learned[head]) + self.tails[tail]
+            if again:
+                kept[piece] = found[piece]
+        for piece in pieces:
+            if piece in learned:
+                found[piece] = learned[piece]
+            elif not found[piece]:
+                kept[piece] = False
+        if len(self.known) + len(kept) > _KNOWN:
+            # frequent pieces came first: the older half stays
+            self.known = dict(islice(self.known.items(), _KNOWN // 2))
+            self.tails.clear()
+        self.known.update(kept)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -187,12 +202,12 @@ class Encoder:
         first = [c.pop(0) for c in cut]
         found = [[*map(self.known.get, pieces)] for pieces in cut]
         holes = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        self._learn({p[i] for p, h in zip(cut, holes, strict=True) for i in h})
+        learned = self._learn({p[i] for p, h in zip(cut, holes, strict=True) for i in h})
         out: list[bytes | None] = []
         parts = zip(texts, first, self._ids(first), cut, found, holes, strict=True)
         for text, head, start, pieces, ids, hole in parts:
             for i in hole:
-                ids[i] = self.known[pieces[i]]
+                ids[i] = learned[pieces[i]]
             alone = _one_word(head) and not any(x in text for x in self.added)
             try:
                 out.append(start + b"".join(ids) if alone else None)
