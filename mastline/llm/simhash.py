@@ -27,7 +27,7 @@ from mastline.llm.runtime import stored
 SEED = 42
 FANOUT = 16
 _STEP = 1 << 15  # shingles whose bits are counted at a time
-_FRONT = 1 << 20  # node visits held at a time
+_FRONT = 1 << 18  # node visits held at a time
 _SIGN = np.uint64(1 << 63)
 
 
@@ -108,10 +108,14 @@ class GrayIndex:
         top = len(self.levels)  # level 0 are the fingerprints themselves
         width = len(self.levels[-1][0]) if top else len(self.prints)
         step = max(1, _FRONT // width)
-        stack = []
         for at in range(0, len(queries), step):
             q = np.arange(at, min(at + step, len(queries)))
-            stack.append((top, np.repeat(q, width), np.tile(np.arange(width), len(q)), None, None))
+            first = (top, np.repeat(q, width), np.tile(np.arange(width), len(q)), None, None)
+            yield from self._descend(first, queries, radius)
+
+    def _descend(self, first: tuple, queries: np.ndarray, radius: int):
+        """As ``search``, from some nodes down."""
+        stack = [first]
         while stack:
             level, q, node, spent, above = stack.pop()
             mask, pattern = self.levels[level - 1] if level else (None, self.prints)
