@@ -157,23 +157,25 @@ class Encoder:
         words are not met again.
         """
         found: dict[str, bytes | bool] = dict.fromkeys(pieces, False)
-        new, ended = set(), []
+        words, others, ended = set(), [], []
         for piece in pieces:
+            word = piece.removeprefix("\n")
+            if _latin(word):
+                words.add(piece)
+                continue
             # letters never share a token with the marks behind them
             head = piece.rstrip(punctuation)
-            word = head.removeprefix("\n")
-            if len(head) < len(piece) and _latin(word):
+            if len(head) < len(piece) and _latin(head.removeprefix("\n")):
                 ended.append((piece, head, piece[len(head) :]))
                 if not self.known.get(head):
-                    new.add(head)
-            elif _one_word(piece.removeprefix("\n")):
-                new.add(piece)
-        words = [p for p in new if _latin(p.removeprefix("\n"))]
+                    words.add(head)
+            elif _one_word(word):
+                others.append(piece)
+        words = list(words)
         learned = dict(zip(words, self._words(words), strict=True))
-        new.difference_update(words)
         # a piece with a line feed stood behind it, any other behind a space
-        ids = self._ids([p if p[0] == "\n" else " " + p for p in new])
-        learned.update(zip(new, ids, strict=True))
+        ids = self._ids([p if p[0] == "\n" else " " + p for p in others])
+        learned.update(zip(others, ids, strict=True))
         tails = list({tail for *_, tail in ended}.difference(self.tails))
         self.tails.update(zip(tails, self._ids(tails), strict=True))
         kept = dict(learned)
@@ -238,7 +240,7 @@ class _ByteLetters(dict):
 
 
 def _latin(word: str) -> bool:
-    return word.isalpha() and max(word) < _LATIN
+    return word.isalpha() and (word.isascii() or max(word) < _LATIN)
 
 
 def _one_word(text: str) -> bool:
