@@ -21,6 +21,7 @@ one batch of texts. Spark's committer writes them: a lost task leaves nothing be
 """
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,13 +30,16 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 22
 _SAMPLE = 256
 _KNOWN = 3 << 18  # pieces whose ids a worker remembers
-_LATIN = "\u0250"  # below it, letters are the same to Python and to the pre-tokenizer
+# a line feed or none, Latin letters, ASCII marks
+_WORD = re.compile(f"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(punctuation)}]*)")
+_SLICE = 1 << 21  # characters that are encoded at once, or one text
 SHARD = (
     "part int, shard int, n_docs long, n_tokens long, width int, tokens binary, low_bits int,"
     " low binary, high binary, samples binary, doc_ids binary, null_ids long"
@@ -125,8 +129,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes | bool] = {}
-        self.tails: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None
         self.letters = _ByteLetters()
@@ -150,73 +154,69 @@ class Encoder:
             found = tokenize(word if start else space + word)
             yield before + array(code, [t.id for t in found]).tobytes()
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
-        """The ids of new pieces; False for one that does not stand alone.
+    def _learn(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of new pieces; None for one that does not stand alone.
 
-        A word met for the first time is remembered without the marks behind it: most such
-        words are not met again.
+        Words are remembered without the marks behind them.
         """
-        found: dict[str, bytes | bool] = dict.fromkeys(pieces, False)
-        words, others, ended = set(), [], []
-        for piece in pieces:
-            word = piece.removeprefix("\n")
-            if _latin(word):
-                words.add(piece)
-                continue
-            # letters never share a token with the marks behind them
-            head = piece.rstrip(punctuation)
-            if len(head) < len(piece) and _latin(head.removeprefix("\n")):
-                ended.append((piece, head, piece[len(head) :]))
-                if not self.known.get(head):
-                    words.add(head)
-            elif _one_word(word):
-                others.append(piece)
-        words = list(words)
-        learned = dict(zip(words, self._words(words), strict=True))
-        # a piece with a line feed stood behind it, any other behind a space
-        ids = self._ids([p if p[0] == "\n" else " " + p for p in others])
-        learned.update(zip(others, ids, strict=True))
-        tails = list({tail for *_, tail in ended}.difference(self.tails))
+        found = [*map(_WORD.fullmatch, pieces)]
+        cut = [m and m.groups() for m in found]
+        words = list({c[0] for c in cut if c}.difference(self.known))
+        self.known.update(zip(words, self._words(words), strict=True))
+        # letters never share a token with the marks behind them
+        tails = list({c[1] for c in cut if c}.difference(self.tails))
         self.tails.update(zip(tails, self._ids(tails), strict=True))
-        kept = dict(learned)
-        for piece, head, tail in ended:
-            again = self.known.get(head)
-            found[piece] = (again or learned[head]) + self.tails[tail]
-            if again:
-                kept[piece] = found[piece]
-        for piece in pieces:
-            if piece in learned:
-                found[piece] = learned[piece]
-            elif not found[piece]:
-                kept[piece] = False
-        if len(self.known) + len(kept) > _KNOWN:
+        others = [p for p, c in zip(pieces, cut, strict=True) if not c]
+        alone = [p for p in others if _one_word(p.removeprefix("\n"))]
+        # a piece with a line feed stood behind it, any other behind a space
+        ids = self._ids([p if p[0] == "\n" else " " + p for p in alone])
+        self.known.update(zip(alone, ids, strict=True))
+        out = [
+            self.known[c[0]] + self.tails[c[1]] if c else self.known.get(p)
+            for p, c in zip(pieces, cut, strict=True)
+        ]
+        if len(self.known) > _KNOWN:
             # frequent pieces came first: the older half stays
             self.known = dict(islice(self.known.items(), _KNOWN // 2))
-            self.tails.clear()
-        self.known.update(kept)
-        return found
+        if len(self.tails) > _KNOWN // 8:
+            self.tails = {"": b""}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if not self.by_piece:
+        """The ids of each text.
+
+        Arrow cuts all texts into pieces and numbers the different ones; only those are
+        looked up, and their ids are gathered by number into one buffer for all texts.
+        """
+        if not self.by_piece or not texts:
             return self._ids(texts)
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        first = [c.pop(0) for c in cut]
-        found = [[*map(self.known.get, pieces)] for pieces in cut]
-        holes = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        learned = self._learn({p[i] for p, h in zip(cut, holes, strict=True) for i in h})
+        first = [t.replace("\n", " \n").partition(" ") for t in texts]
+        rest = pa.array([tail if space else None for _, space, tail in first], pa.large_string())
+        cut = pc.split_pattern(rest, " ")
+        places = pc.cumulative_sum(pc.fill_null(pc.list_value_length(cut), 0))
+        ends = np.concatenate([[0], places.to_numpy()])
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.known.get, pieces)]
+        holes = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(holes, self._learn([pieces[i] for i in holes]), strict=True):
+            ids[i] = x
+        found = pa.array(ids, pa.large_binary()).take(coded.indices)
+        broken = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])
+        # the values lie one after the other, so that a text's ids are one stretch of them
+        found = pc.fill_null(found, b"")
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64, len(found) + 1)[ends] if len(found) else ends
         out: list[bytes | None] = []
-        parts = zip(texts, first, self._ids(first), cut, found, holes, strict=True)
-        for text, head, start, pieces, ids, hole in parts:
-            for i in hole:
-                ids[i] = learned[pieces[i]]
-            alone = _one_word(head) and not any(x in text for x in self.added)
-            try:
-                out.append(start + b"".join(ids) if alone else None)
-            except TypeError:  # some piece does not stand alone
+        heads = self._ids([head for head, *_ in first])
+        for i, (text, start) in enumerate(zip(texts, heads, strict=True)):
+            alone = broken[ends[i]] == broken[ends[i + 1]] and _one_word(first[i][0])
+            if alone and not any(x in text for x in self.added):
+                out.append(start + (data[at[i] : at[i + 1]].to_pybytes() if data else b""))
+            else:
                 out.append(None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
@@ -239,10 +239,6 @@ class _ByteLetters(dict):
         return found
 
 
-def _latin(word: str) -> bool:
-    return word.isalpha() and (word.isascii() or max(word) < _LATIN)
-
-
 def _one_word(text: str) -> bool:
     return text.split() == [text]
 
@@ -271,6 +267,17 @@ def _shard(part: int, number: int, width: int, ids: list, tokens: list[bytes]) -
 _encoders: dict[str, Encoder] = {}
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with ``_SLICE`` characters, or a row of more."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _written(tokenizer: str, end_id: int, shard_tokens: int):
     def write(batches):
         from pyspark import TaskContext
@@ -283,8 +290,7 @@ def _written(tokenizer: str, end_id: int, shard_tokens: int):
         number = held = 0
         ids, tokens = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in _slices(batch):
                 found = encoder.encode([t or "" for t in some.column(1).to_pylist()])
                 for doc, raw in zip(some.column(0).to_pylist(), found, strict=True):
                     ids.append(doc)

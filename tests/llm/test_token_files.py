@@ -119,8 +119,30 @@ def test_words_by_the_model_alone_are_those_of_the_library(spark):
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toPandas()["text"]
     words = {w.rstrip(".,") for t in texts for w in t.split()}
     words |= {chr(i) for i in range(0x250)} | {f"ab{chr(i)}c" for i in range(0x250)}
-    words = sorted(w for w in words if w and K._latin(w))
+    matches = [K._WORD.fullmatch(w) for w in words]
+    words = sorted(m[1] for m in matches if m and not m[2])
     pieces = [*words, *("\n" + w for w in words[::5])]
     found = list(encoder._words(pieces))
     assert len(pieces) > 50_000
     assert found == library([p if p[0] == "\n" else " " + p for p in pieces])
+
+
+def test_a_small_memory_and_slices_of_any_size_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(K, "_KNOWN", 8)
+    encoder = K.Encoder(tokenizer_path(), added_tokens=True)
+    texts = ["", " ", "one", "one two, two... \nthree", "été, l'été; ﬁn\tx y", "a  b", "x\n\ny", "z! "] * 3
+    texts += [f"word{i} wörd, w{'o' * i}rd\nnext{i}." for i in range(60)]
+    for size in (1, 3, len(texts)):
+        runs = [texts[i : i + size] for i in range(0, len(texts), size)]
+        found = [np.frombuffer(x, "<u2").tolist() for run in runs for x in encoder.encode(run)]
+        assert found == [library(t) for t in texts]
+    assert encoder.encode([]) == []
+
+
+def test_slices_cover_every_row(monkeypatch):
+    monkeypatch.setattr(K, "_SLICE", 5)
+    texts = ["abcdef", None, "", "ab", "abc", "abcd", "x" * 30, ""]
+    batch = K.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    runs = [s.column(1).to_pylist() for s in K._slices(batch)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 5 for run in runs)
