@@ -3,7 +3,9 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from mastline.functions.usage import hour_of
 
 FANOUT = 8
 _SALT, _KEY = "_salt", "_boxed_key"
@@ -68,3 +70,47 @@ def _matching(
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def first_after(
+    rows: DataFrame, marks: DataFrame, at: str, mark_at: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Each row with the first mark at or after its time, among the marks of the same ``by``.
+
+    Of marks at one time the smallest in the order of their other columns counts. Rows
+    without a later mark, or without a time, get NULLs; marks without a time are left out;
+    NULL is a value of ``by`` like any other. Times are zone-less. Mark columns must not
+    share names with those of the rows, except for ``by``.
+
+    Not a range join: rows and marks are united and run through hour by hour, latest first,
+    and an hour without a mark of its own takes the first one of the next hour that has one.
+    A task holds one hour of one ``by``, and one line per hour to look further ahead.
+    """
+    others = [name for name in marks.columns if name not in (*by, mark_at)]
+    clashing = {mark_at, *others} & set(rows.columns)
+    if clashing:
+        raise ValueError(f"columns of both sides: {sorted(clashing)}")
+    keys = F.struct(F.lit(0).alias("_"), *by).alias("_by")
+    row, mark = F.struct(*rows.columns), F.struct(mark_at, *others)
+    united = rows.select(keys, F.col(at).alias("_t"), row.alias("_row")).unionByName(
+        marks.filter(F.col(mark_at).isNotNull()).select(
+            keys, F.col(mark_at).alias("_t"), mark.alias("_mark")
+        ),
+        allowMissingColumns=True,
+    )
+    united = united.withColumn("_hour", hour_of(F.col("_t")))
+    # latest first, so that the running minimum is the nearest mark ahead
+    in_hour = Window.partitionBy("_by", "_hour").orderBy(F.desc("_t"))
+    later = Window.partitionBy("_by").orderBy(F.desc("_hour")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    hours = (
+        united.groupBy("_by", "_hour")
+        .agg(F.min("_mark").alias("_first"))
+        .select("_by", "_hour", F.min("_first").over(later).alias("_later"))
+    )
+    near = united.withColumn("_near", F.min("_mark").over(in_hour)).filter("_row IS NOT NULL")
+    found = near.join(hours, ["_by", "_hour"], "left").withColumn(
+        "_mark", F.coalesce("_near", "_later")
+    )
+    return found.select("_row.*", "_mark.*")

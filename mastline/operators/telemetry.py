@@ -6,7 +6,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mastline.operators.joins import spread_join
+from mastline.functions.usage import seconds_between
+from mastline.operators.joins import first_after, spread_join
 from mastline.sources import run_documents
 
 # fixed values: job categories, counters of a job profile
@@ -408,3 +409,22 @@ def storage_rollup(tables: DataFrame) -> DataFrame:
             "derived_month_cost": month("derived_bytes"),
         }
     )
+
+
+def freshness_of(commits: DataFrame, refreshes: DataFrame) -> DataFrame:
+    """Every source commit with the first refresh of its source that started after it.
+
+    Commits need ``source`` and ``committed_at``, refreshes ``source``, ``started_at`` and
+    ``finished_at``. ``seconds`` runs from the commit to the end of that refresh; it is NULL
+    while no refresh has started, or the one that has is not finished.
+    """
+    pairs = first_after(
+        commits,
+        refreshes.select("source", "started_at", "finished_at"),
+        "committed_at",
+        "started_at",
+        ["source"],
+    )
+    return pairs.withColumn(
+        "seconds", seconds_between(F.col("committed_at"), F.col("finished_at"))
+    )

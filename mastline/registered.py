@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mastline.functions.privacy import mask_columns, redact_values
 from mastline.operators import changes as ch
 from mastline.operators import features as feat
-from mastline.operators import quality, rollups, semantic, telemetry
+from mastline.operators import quality, rollups, semantic, sketches, telemetry
 from mastline.operators.joins import union_all
 from mastline.operators.tags import campaign_audience, tag_counts
 from mastline.operators.versions import sessions
@@ -17,7 +17,7 @@ from mastline.plans.refresh import TagTables
 from mastline.plans.tagging import features_from_base, tags_from_base
 from mastline.schemas import TAG_COLUMNS
 from mastline.sources import fixtures as fx
-from mastline.sources import landing, run_documents, run_fixtures
+from mastline.sources import base_tables, landing, run_documents, run_fixtures
 from mastline.sources.store import Snapshots, publish
 from mastline.streaming.ingest import ingest_stream, stream_xdr
 from mastline.streaming.latest import keep_latest, sessions_table
@@ -125,6 +125,42 @@ def correction_batch(spark, sf):
     return ch.correction_batch(issued, 7, when, share=1 / 40)
 
 
+@registered
+def sketch_totals(spark, sf):
+    """Distinct subscribers by day and by cell from sketches kept per cell-hour.
+
+    The first batch is loaded, then corrections arrive and the days they touch are rebuilt.
+    The totals must come within the sketches' error of the exact numbers.
+    """
+    records = _xdr(spark, sf)
+    first = F.col("batch_id").eqNullSafe(0)
+    before, after = sessions(records.filter(first)), sessions(records)
+    table = sketches.SketchTable(spark, new_folder(spark, "sketches"))
+    table.build(before)
+    table.rebuild(after, sketches.touched_days(before, records.filter(~first)))
+    return union_all(
+        [
+            _close_totals(level, key, table.read(), after)
+            for level, key in [("day", F.to_date("event_hour")), ("cell", F.col("cell_id"))]
+        ]
+    )
+
+
+def _close_totals(level: str, key, hours: DataFrame, whole: DataFrame) -> DataFrame:
+    key = key.cast("string").alias("total_of")
+    exact = whole.groupBy(key).agg(F.count_distinct("msisdn").alias("exact"))
+    found = sketches.merged(hours, [key]).withColumnRenamed("total_of", "found_of")
+    gap = F.abs(F.col("subscribers_approx") - F.col("exact"))
+    return found.join(exact, F.col("found_of").eqNullSafe(F.col("total_of")), "full").select(
+        F.lit(level).alias("level"),
+        "total_of",
+        "sessions",
+        "bytes",
+        "revenue",
+        (gap <= F.col("exact") * 0.08 + 1).alias("close"),
+    )
+
+
 # --- landing, loading, streaming
 
 
@@ -579,6 +615,36 @@ def orphan_rows(spark, sf):
     )
 
 
+@registered
+def base_drift(spark, sf):
+    """Tables written with columns of another type, missing and undeclared ones, unknown and
+    repeated keys, against their declaration."""
+    base, folder = fx.base_tables(spark, sf), new_folder(spark, "drift")
+    changed = fx.table(spark, sf, "changed_customer").select(
+        F.col("customer_id").alias("changed_id")
+    )
+    customer = base.customer.join(
+        changed, F.col("customer_id") == F.col("changed_id"), "left"
+    ).select(
+        F.when(F.col("changed_id").isNull(), F.col("customer_id")).alias("customer_id"),
+        F.lit(None).cast("bigint").alias("party_id"),
+        "status",
+        "marketing_consent",
+    )
+    written = {
+        "customer": customer,
+        "billing_account": base.billing_account.withColumn("region", F.lit("north")),
+        "product_offering": base.product_offering.union(base.product_offering),
+        "customer_bill": base.customer_bill.withColumn(
+            "outstanding_amount", F.col("outstanding_amount").cast("double")
+        ),
+        "trouble_ticket": base.trouble_ticket.drop("priority"),
+    }
+    for name, df in written.items():
+        publish(df, f"{folder}/{name}")
+    return base_tables.drift(spark, folder, list(written))
+
+
 # --- governance
 
 
@@ -631,6 +697,24 @@ def run_summary(spark, sf):
     return _scenarios(_run_documents(spark, sf))
 
 
+@registered
+def freshness(spark, sf):
+    """Voice records stand for refreshes of a cell's data, all others for its commits."""
+    records = _xdr(spark, sf)
+    voice = F.col("record_type") == "VOICE"
+    end = F.col("ingest_ts") + F.make_dt_interval(secs=F.col("duration_s"))
+    return telemetry.freshness_of(
+        records.filter(~voice).select(
+            "xdr_id", "record_version", F.col("cell_id").alias("source"),
+            F.col("ingest_ts").alias("committed_at"),
+        ),
+        records.filter(voice).select(
+            F.col("cell_id").alias("source"), F.col("ingest_ts").alias("started_at"),
+            end.alias("finished_at"),
+        ),
+    )
+
+
 @registered
 def metric_summary(spark, sf):
     return telemetry.summarise(fx.table(spark, sf, "events"), ["event_type"], "value")

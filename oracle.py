@@ -329,6 +329,37 @@ def oracle_sql() -> dict[str, str]:
         "latest_sessions": _sql(_SESSIONS, "SELECT * FROM sessions"),
         "hourly_cell_usage": _sql(_HOURLY, "SELECT * FROM hourly"),
         "approx_subscribers": _sql(_HOURLY, "SELECT event_hour, cell_id, rat, TRUE AS close FROM hourly"),
+        "sketch_totals": _sql(
+            _SESSIONS,
+            " UNION ALL ".join(
+                f"""SELECT '{level}' AS level, CAST({key} AS VARCHAR) AS total_of, COUNT(*) AS sessions,
+ CAST(SUM(COALESCE(bytes_dl, 0) + COALESCE(bytes_ul, 0)) AS BIGINT) AS bytes,
+ CAST(SUM(rated_amount) AS DECIMAL(22,4)) AS revenue, TRUE AS close FROM sessions GROUP BY {key}"""
+                for level, key in [("day", "CAST(event_ts AS DATE)"), ("cell", "cell_id")]
+            ),
+        ),
+        "freshness": _sql(
+            {
+                **_XDR,
+                "refresh": """
+SELECT cell_id AS of_cell, ingest_ts AS started_at, MIN(ingest_ts + INTERVAL 1 SECOND * duration_s) AS finished_at
+FROM xdr WHERE record_type = 'VOICE' AND ingest_ts IS NOT NULL GROUP BY ALL""",
+                "written": "SELECT * FROM xdr WHERE record_type <> 'VOICE'",
+            },
+            """SELECT xdr_id, record_version, cell_id AS source, ingest_ts AS committed_at, started_at, finished_at,
+ date_diff('microsecond', ingest_ts, finished_at) / CAST(1000000 AS DOUBLE) AS seconds
+FROM written ASOF LEFT JOIN refresh ON cell_id = of_cell AND ingest_ts <= started_at""",
+        ),
+        "base_drift": _sql(
+            _BASE_INPUTS,
+            f"""SELECT 'customer' AS table_name, 'customer_id' AS column_name, 'null_key' AS problem,
+ CAST(NULL AS VARCHAR) AS declared, CAST(NULL AS VARCHAR) AS found, COUNT(*) AS rows FROM telco_customer
+ WHERE {_PICKED} HAVING COUNT(*) > 0
+UNION ALL SELECT 'product_offering', 'offering_id', 'repeated_key', NULL, NULL, 2 * COUNT(*) FROM product_offering
+UNION ALL SELECT 'billing_account', 'region', 'extra', NULL, 'string', NULL
+UNION ALL SELECT 'customer_bill', 'outstanding_amount', 'type', 'decimal(12,2)', 'double', NULL
+UNION ALL SELECT 'trouble_ticket', 'priority', 'missing', 'string', NULL, NULL""",
+        ),
         "subscriber_daily": _sql(
             _SESSIONS,
             """SELECT CAST(event_ts AS DATE) AS event_date, msisdn, CAST(SUM(bytes_dl + bytes_ul) AS BIGINT) AS bytes_total,

@@ -1,0 +1,157 @@
+"""Sketches that are kept, pairing with what comes next, base tables as declared."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from mastline import schemas
+from mastline.operators import sketches
+from mastline.operators.joins import first_after
+from mastline.operators.telemetry import freshness_of
+from mastline.operators.versions import sessions
+from mastline.sources import base_tables
+from mastline.sources.store import publish
+from mastline.workspace import new_folder
+from tests.records import HOUR, collected, frame, xdr, xdr_frame
+
+H = dt.timedelta(hours=1)
+MARKS = "source string, started_at timestamp_ntz, finished_at timestamp_ntz"
+
+
+def test_first_after_equals_brute_force(spark):
+    dice = random.Random(5)
+    moment = lambda: None if dice.random() < 0.05 else HOUR + dt.timedelta(minutes=dice.randrange(0, 4000, 7))
+    key = lambda: dice.choice(["a", "a", "a", "b", None])
+    rows = [(i, key(), moment()) for i in range(400)] + [(0, "a", HOUR)] * 3 + [(9, "only", HOUR)]
+    starts = [(key(), moment()) for _ in range(40)]
+    marks = [(k, t, None if t is None else t + H * dice.randrange(3)) for k, t in starts * 2]
+    found = first_after(
+        spark.createDataFrame(rows, "id int, source string, t timestamp_ntz"),
+        spark.createDataFrame(marks, MARKS),
+        "t",
+        "started_at",
+        ["source"],
+    )
+
+    def brute(t, k):
+        later = [m[1:] for m in marks if m[0] == k and t and m[1] and m[1] >= t]
+        return min(later, default=(None, None))
+
+    expected = [(*row, *brute(row[2], row[1])) for row in rows]
+    assert found.columns == ["id", "source", "t", "started_at", "finished_at"]
+    order = lambda row: [(v is None, str(v)) for v in row]
+    assert collected(found) == sorted(expected, key=order)
+
+
+def test_first_after_without_marks_and_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", HOUR)], "id int, source string, t timestamp_ntz")
+    none = spark.createDataFrame([], MARKS)
+    assert first_after(rows, none, "t", "started_at", ["source"]).first().started_at is None
+    with pytest.raises(ValueError, match="both sides"):
+        first_after(rows, none.withColumnRenamed("finished_at", "id"), "t", "started_at", ["source"])
+
+
+def test_freshness_counts_from_commit_to_the_end_of_the_next_refresh(spark):
+    commits = [("a", HOUR), ("a", HOUR + 30 * H), ("b", HOUR), ("a", HOUR + H)]
+    refreshes = [("a", HOUR + H, HOUR + 2 * H), ("a", HOUR - H, HOUR + H), ("b", HOUR + 50 * H, None)]
+    found = freshness_of(
+        spark.createDataFrame(commits, "source string, committed_at timestamp_ntz"),
+        spark.createDataFrame(refreshes, MARKS),
+    )
+    assert {(r.source, r.committed_at): r.seconds for r in found.collect()} == {
+        ("a", HOUR): 7200.0,
+        ("a", HOUR + H): 3600.0,
+        ("a", HOUR + 30 * H): None,
+        ("b", HOUR): None,
+    }
+
+
+FIRST = [
+    *(xdr(f"n{i}", msisdn=f"65{i % 50}", event=HOUR + H * (i % 30), cell_id=f"c{i % 3}") for i in range(400)),
+    xdr("moves", msisdn="1", event=HOUR + 72 * H),
+    xdr("lost", msisdn="2", event=None),
+    xdr("unknown", msisdn=None, bytes_dl=None, cell_id="c9"),
+    xdr(None, msisdn="3", cell_id="c9"),
+]
+SECOND = [
+    xdr("moves", 2, msisdn="1", event=HOUR + 96 * H),
+    xdr("n1", 2, msisdn="new", cell_id="c2", event=HOUR),
+    xdr("lost", 2, msisdn="2", event=HOUR),
+    xdr("n2", 2, msisdn="2", event=None),
+]
+
+
+def test_kept_sketches_equal_sketches_of_everything(spark):
+    before, raw = xdr_frame(spark, FIRST), xdr_frame(spark, FIRST + SECOND)
+    table = sketches.SketchTable(spark, new_folder(spark, "sketches"))
+    table.build(sessions(before))
+    days = sketches.touched_days(sessions(before), xdr_frame(spark, SECOND))
+    for _ in range(2):  # a repeated run changes nothing
+        table.rebuild(sessions(raw), days)
+    whole = sketches.hourly_sketches(sessions(raw))
+    for by in (["event_date"], ["cell_id", "rat"], []):
+        # few subscribers: the sketches are exact
+        assert collected(sketches.merged(table.read(), by)) == collected(sketches.merged(whole, by))
+    assert (HOUR + 72 * H).date() not in {r.event_date for r in table.read().collect()}
+    c9 = sketches.merged(table.read(), ["cell_id"]).filter("cell_id = 'c9'").first()
+    assert (c9.sessions, c9.subscribers_approx) == (2, 1)
+
+
+def test_totals_read_sketches_only(spark):
+    table = sketches.SketchTable(spark, new_folder(spark, "sketches"))
+    table.build(sessions(xdr_frame(spark, FIRST)))
+    totals = sketches.merged(table.read(), ["event_date"])
+    assert all(table.path in file for file in totals.inputFiles())
+    exact = {f"65{i}" for i in range(50)} | {"1", "2", "3"}
+    found = sketches.merged(table.read(), []).first().subscribers_approx
+    assert found == len(exact)
+
+
+def _written(spark, **tables):
+    folder = new_folder(spark, "base")
+    for name, df in tables.items():
+        publish(df, f"{folder}/{name}")
+    return folder
+
+
+def test_base_tables_are_read_as_declared(spark):
+    rows = [(1, 10, "open", "high"), (None, 11, "open", None), (2, 12, None, "low"), (2, 12, None, "low")]
+    good = frame(spark, "trouble_ticket", rows)
+    shuffled = good.select("priority", "status", "customer_id", "ticket_id")
+    folder = _written(spark, trouble_ticket=shuffled.selectExpr("*", "1 AS more"))
+    read = base_tables.read_base(spark, folder, "trouble_ticket")
+    assert read.schema.names == schemas.BASE["trouble_ticket"].names
+    assert collected(read) == collected(good)
+    found = collected(base_tables.drift(spark, folder, ["trouble_ticket"]))
+    assert found == [
+        ("trouble_ticket", "more", "extra", None, "int", None),
+        ("trouble_ticket", "ticket_id", "null_key", None, None, 1),
+        ("trouble_ticket", "ticket_id", "repeated_key", None, None, 2),
+    ]
+
+
+def test_drifted_tables_are_refused(spark):
+    bills = frame(spark, "customer_bill", [])
+    folder = _written(
+        spark,
+        customer_bill=bills.selectExpr("bill_id", "account_id", "due_date", "overdue_30", "1.0D AS outstanding_amount"),
+        party=frame(spark, "party", [(1, "person", "x")]).drop("party_id"),
+        customer=frame(spark, "customer", []),
+    )
+    with pytest.raises(ValueError, match="outstanding_amount: type"):
+        base_tables.read_base(spark, folder, "customer_bill")
+    with pytest.raises(ValueError, match="party_id: missing"):
+        base_tables.read_base(spark, folder, "party")
+    found = collected(base_tables.drift(spark, folder, ["customer", "customer_bill", "party"]))
+    assert found == [
+        ("customer_bill", "outstanding_amount", "type", "decimal(12,2)", "double", None),
+        ("party", "party_id", "missing", "bigint", None, None),
+    ]
+
+
+def test_all_eight_tables_have_a_declaration(spark):
+    empty = {name: spark.createDataFrame([], schema) for name, schema in schemas.BASE.items()}
+    folder = _written(spark, **empty)
+    assert base_tables.drift(spark, folder).count() == 0
+    assert all(base_tables.read_base(spark, folder, name).count() == 0 for name in schemas.BASE)
