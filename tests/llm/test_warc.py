@@ -63,7 +63,7 @@ def test_records_are_whole(spark):
     pages = {p: h for p, _, h in ROWS}
     for row in W.records(spark, archive(spark, ROWS)).collect():
         fields, body = parsed(bytes(row["record"]))
-        page = fields.get(b"WARC-Record-ID", b"<urn:page:>")[10:-1]
+        page = fields[b"WARC-Record-ID"][10:].partition(b":")[0]
         if page:
             assert bytes(row["payload"]) == (pages[int(page)] or "").encode()
         assert body == (bytes(row["payload"]) if fields[b"WARC-Type"] == b"response" else b"")
@@ -90,3 +90,27 @@ def test_changed_and_missing_payloads_are_errors(spark):
 def test_empty_table(spark):
     folder = archive(spark, [])
     assert W.listed(spark, folder).count() == 0
+
+
+def test_records_have_the_fields_that_the_format_requires(spark):
+    rows = [bytes(r["record"]) for r in W.records(spark, archive(spark, ROWS)).collect()]
+    found = [parsed(record)[0] for record in rows]
+    ids = [fields[b"WARC-Record-ID"] for fields in found]
+    assert len(set(ids)) == len(ids) == len(ROWS)
+    responses = {f[b"WARC-Record-ID"] for f in found if f[b"WARC-Type"] == b"response"}
+    for fields in found:
+        assert {b"WARC-Type", b"WARC-Date", b"Content-Length"} <= set(fields)
+        assert fields[b"WARC-Date"] == W.NO_DATE.encode()
+        if fields[b"WARC-Type"] == b"revisit":
+            assert fields[b"WARC-Refers-To"] in responses
+            assert b"WARC-Profile" in fields
+
+
+def test_given_dates_and_text_ids(spark):
+    rows = [("a:b>c", "u", LONG, "2026-01-02T03:04:05Z"), ("é 1", "u", LONG, None), ("z", "u", "", None)]
+    folder = new_folder(spark, "warc")
+    W.write(spark.createDataFrame(rows, "page_id string, url string, html string, day string"), folder, date=F.col("day"))
+    found = {tuple(r)[0]: tuple(r)[3:] for r in W.listed(spark, folder, "string").collect()}
+    assert found == {"a:b>c": ("response", None), "é 1": ("revisit", "a:b>c"), "z": ("response", None)}
+    dates = [parsed(bytes(r["record"]))[0][b"WARC-Date"].decode() for r in W.records(spark, folder).collect()]
+    assert sorted(dates) == sorted(["2026-01-02T03:04:05Z", W.NO_DATE, W.NO_DATE])
