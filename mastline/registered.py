@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mastline.functions.privacy import mask_columns, redact_values
+from mastline.functions.privacy import CLEAR, READER, mask_columns, reader_view, redact_values
 from mastline.operators import changes as ch
 from mastline.operators import features as feat
 from mastline.operators import quality, rollups, semantic, sketches, telemetry
@@ -654,6 +654,29 @@ def mask_msisdn(spark, sf):
     return reader.select("xdr_id", "record_version", "msisdn", "imsi", "cell_id")
 
 
+READERS = {
+    "billing": {"msisdn": CLEAR, "roaming_partner": CLEAR},
+    "network": {"msisdn": 4, "imsi": 5, "roaming_partner": CLEAR},
+    "analyst": {"msisdn": 2},
+}
+
+
+def _reader_query(reader: str) -> Query:
+    def query(spark, sf):
+        # a session of its own: the setting must not reach other queries
+        session = spark.newSession()
+        session.conf.set(READER, reader)
+        return reader_view(_xdr(session, sf), READERS).select(
+            "xdr_id", "record_version", "msisdn", "imsi", "roaming_partner", "cell_id"
+        )
+
+    return query
+
+
+for _reader in READERS:
+    QUERIES[f"reader_{_reader}"] = _reader_query(_reader)
+
+
 @registered
 def redact_documents(spark, sf):
     documents = fx.table(spark, sf, "documents")

@@ -564,6 +564,19 @@ SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM lineitem GROUP BY ALL HAV
             """SELECT xdr_id, record_version, msisdn[:4] || regexp_replace(msisdn[5:], '[0-9]', '#', 'g') AS msisdn,
  regexp_replace(imsi, '[0-9]', '#', 'g') AS imsi, cell_id FROM xdr""",
         ),
+        **{
+            f"reader_{reader}": _sql(
+                _XDR, f"SELECT xdr_id, record_version, {columns}, cell_id FROM xdr"
+            )
+            for reader, columns in {
+                "billing": "msisdn, regexp_replace(imsi, '[0-9]', '#', 'g') AS imsi, roaming_partner",
+                "network": "msisdn[:4] || regexp_replace(msisdn[5:], '[0-9]', '#', 'g') AS msisdn,"
+                " imsi[:5] || regexp_replace(imsi[6:], '[0-9]', '#', 'g') AS imsi, roaming_partner",
+                "analyst": "msisdn[:2] || regexp_replace(msisdn[3:], '[0-9]', '#', 'g') AS msisdn,"
+                " regexp_replace(imsi, '[0-9]', '#', 'g') AS imsi,"
+                " regexp_replace(roaming_partner, '[A-Z]', 'X', 'g') AS roaming_partner",
+            }.items()
+        },
         "redact_documents": f"SELECT doc_id, {_redacted('text')} AS text FROM documents",
         "run_rollup": _run_rollup(),
         "run_summary": _run_summary(),

@@ -1,4 +1,4 @@
-"""Sketches that are kept, pairing with what comes next, base tables as declared."""
+"""Sketches that are kept, pairing with what comes next, declared base tables, reader policies."""
 
 import datetime as dt
 import random
@@ -6,6 +6,7 @@ import random
 import pytest
 
 from mastline import schemas
+from mastline.functions.privacy import CLEAR, READER, reader_view
 from mastline.operators import sketches
 from mastline.operators.joins import first_after
 from mastline.operators.telemetry import freshness_of
@@ -155,3 +156,40 @@ def test_all_eight_tables_have_a_declaration(spark):
     folder = _written(spark, **empty)
     assert base_tables.drift(spark, folder).count() == 0
     assert all(base_tables.read_base(spark, folder, name).count() == 0 for name in schemas.BASE)
+
+
+POLICIES = {"billing": {"name": CLEAR}, "analyst": {"name": 1, "place": CLEAR}}
+
+
+def _people(session):
+    rows = [("Ann Lee 9", "Bern", 1), (None, "Ulm", 2), ("", None, 3)]
+    return session.createDataFrame(rows, "name string, place string, n int")
+
+
+def test_each_reader_sees_what_the_policy_shows(spark):
+    seen = {}
+    for reader in POLICIES:
+        session = spark.newSession()
+        session.conf.set(READER, reader)
+        seen[reader] = collected(reader_view(_people(session), POLICIES))
+    assert seen["billing"] == collected(
+        spark.createDataFrame([("Ann Lee 9", "Xxxx", 1), (None, "Xxx", 2), ("", None, 3)], "a string, b string, c int")
+    )
+    assert seen["analyst"] == collected(
+        spark.createDataFrame([("Axx Xxx #", "Bern", 1), (None, "Ulm", 2), ("", None, 3)], "a string, b string, c int")
+    )
+
+
+def test_no_policy_shows_nothing(spark):
+    with pytest.raises(PermissionError, match="no masking policy"):
+        reader_view(_people(spark), POLICIES)
+    session = spark.newSession()
+    for reader in ("", "guest", "ANALYST"):
+        session.conf.set(READER, reader)
+        with pytest.raises(PermissionError):
+            reader_view(_people(session), POLICIES)
+    session.conf.set(READER, "billing")
+    for column in ("n", "address"):
+        with pytest.raises(ValueError, match=column):
+            reader_view(_people(session), {**POLICIES, "care": {column: 0}})
+    assert spark.conf.get(READER, None) is None
