@@ -23,6 +23,7 @@ from mastline.llm.runtime import stored
 
 BLOCK = 64  # words
 SHARD = 65_536  # slots
+SLOTS_PER_TASK = 1 << 18
 MAX_DRAWS = 1_000_000  # shards times sources; beyond, shards get longer
 MAX_SOURCES = 10_000  # the list of sources is held in memory
 MAX_PASSES = 3
@@ -201,10 +202,12 @@ class Mixture:
 
         zero, run = F.lit(0).cast("long"), F.lit(SHARD).cast("long")
         last = F.least(F.col("n"), F.col("run") + run) - 1
+        # a given number: the plan is so short that it would be merged into one task otherwise
+        tasks = max(1, -(-sum(quotas) // SLOTS_PER_TASK))
         each = (
             spark.createDataFrame(plan, schema)
             .select("*", F.explode(F.sequence(zero, F.col("n") - 1, run)).alias("run"))
-            .repartition("shard", "number", "run")
+            .repartition(tasks, "shard", "number", "run")
             .select("*", F.explode(F.sequence(F.col("run"), last)).alias("i"))
         )
         return each.select(

@@ -132,3 +132,19 @@ def test_odd_rows(spark):
     none = docs.where("text IS NULL OR text = ''")
     assert [r["taken"] for r in M.Mixture(none).documents().collect()] == [0, 0]
     assert M.mixed_documents(none).count() == 0
+
+
+def test_slots_are_made_by_as_many_tasks_as_planned(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, "w " * (500 + i), "en", "abc"[i % 3], 1, "x", 0) for i in range(60)], SCHEMA
+    )
+    slots = []
+    for size in (M.SLOTS_PER_TASK, 100):
+        monkeypatch.setattr(M, "SLOTS_PER_TASK", size)
+        mix = M.Mixture(docs, shard=64)
+        total = mix.slots.count()
+        made = mix.slots.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert mix.slots.rdd.getNumPartitions() == -(-total // size)
+        assert made > 1 or total <= size
+        slots.append(sorted(map(tuple, mix.slots.collect())))
+    assert slots[0] == slots[1]
