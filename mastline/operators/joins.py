@@ -26,12 +26,14 @@ def spread_join(
     adaptive execution can split further; the lookup is repeated once per salt. The salt
     depends on the row alone: filters pass through it, and a lost task makes it again.
     Valid for joins that keep or filter the facts. NULL keys match nothing. No broadcast is
-    forced: Spark broadcasts the lookup only where its own size check allows.
+    forced: Spark broadcasts the lookup only where its own size check allows. The repeats come
+    from a join, whose size that check knows; an exploded array would pass for one copy.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat lookup rows once per salt")
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int"))
-    repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
+    salts = lookup.sparkSession.range(0, fanout, 1, 1).select(F.col("id").cast("int").alias(_SALT))
+    repeated = lookup.crossJoin(salts)
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 

@@ -40,6 +40,21 @@ def test_spread_join_refuses_joins_it_would_multiply(spark):
         spread_join(df, df, ["n"], "right", ["n"])
 
 
+def test_spread_join_counts_its_copies_before_a_broadcast(spark):
+    """A lookup just below Spark's size limit is over it eight times."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    lookup = spark.range(5000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    spark.conf.set(name, 100_000)
+    try:
+        facts = spark.range(100_000).select("id", (F.col("id") % 5000).alias("k"))
+        joined = spread_join(facts, lookup, ["k"], "inner", ["id"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_null_is_a_key(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
     keys = spark.createDataFrame([(None,)], "k int")
