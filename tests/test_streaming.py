@@ -113,6 +113,28 @@ def test_streams_equal_batch_after_every_load(spark):
     assert {r.table_name for r in tables.history().collect()} == {"hourly", "daily", "audit"}
 
 
+def test_latest_keeps_no_state_and_old_versions_change_nothing(spark):
+    """An old version that arrives after a newer one was folded into the base does not count."""
+    folder, state = new_folder(spark, "landing"), new_folder(spark, "state")
+    latest = sessions_table(spark, new_folder(spark, "latest"))
+    loads = [
+        [xdr("a", 3, cell_id="SG-C-7"), xdr("a", 2), xdr(None, 2, cell_id="SG-C-8"), xdr("b")],
+        [xdr("a", 1, cell_id="SG-C-1"), xdr(None, 1), xdr("b", 2, event=None)],
+        [xdr("a", 3, cell_id="SG-C-7"), xdr("b", 1)],
+    ]
+    seen = []
+    for rows in loads:
+        seen += rows
+        landing.write_landing(xdr_frame(spark, rows), folder)
+        query = keep_latest(stream_xdr(spark, folder, max_files=1), latest, state)
+        query.awaitTermination()
+        assert not any(p.stateOperators for p in query.recentProgress)
+        expected = latest_versions(xdr_frame(spark, seen))
+        assert tuple(quality.verify_equal(latest.read(), expected, XDR.names).first()) == (0, 0)
+        assert latest.read().count() == 3
+        latest.compact()
+
+
 def test_touched_days_are_literal_partition_filters(spark):
     folder = new_folder(spark, "landing")
     tables = UsageRollups(spark, new_folder(spark, "usage"), compact_every=2)
