@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 22
 _SAMPLE = 256
-_KNOWN = 3 << 18  # pieces whose ids a worker remembers
+_KNOWN = 1 << 19  # pieces whose ids a worker remembers
 # a line feed or none, Latin letters, ASCII marks
 _WORD = re.compile(f"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(punctuation)}]*)")
-_SLICE = 1 << 21  # characters that are encoded at once, or one text
+_SLICE = 1 << 20  # characters that are encoded at once, or one text
 SHARD = (
     "part int, shard int, n_docs long, n_tokens long, width int, tokens binary, low_bits int,"
     " low binary, high binary, samples binary, doc_ids binary, null_ids long"
@@ -149,18 +149,19 @@ class Encoder:
         tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
         space = " ".translate(letters)
         for piece in pieces:
-            before, start = (self.line, 1) if piece[0] == "\n" else (b"", 0)
-            word = piece[start:] if piece.isascii() else piece[start:].translate(letters)
-            found = tokenize(word if start else space + word)
-            yield before + array(code, [t.id for t in found]).tobytes()
+            spaced = piece[0] != "\n"
+            word = space + piece if spaced else piece[1:]
+            if not piece.isascii():
+                word = space + piece.translate(letters) if spaced else word.translate(letters)
+            ids = array(code, [t.id for t in tokenize(word)]).tobytes()
+            yield ids if spaced else self.line + ids
 
     def _learn(self, pieces: list[str]) -> list[bytes | None]:
         """The ids of new pieces; None for one that does not stand alone.
 
         Words are remembered without the marks behind them.
         """
-        found = [*map(_WORD.fullmatch, pieces)]
-        cut = [m and m.groups() for m in found]
+        cut = [*map(_word_and_marks, pieces)]
         words = list({c[0] for c in cut if c}.difference(self.known))
         self.known.update(zip(words, self._words(words), strict=True))
         # letters never share a token with the marks behind them
@@ -239,6 +240,15 @@ class _ByteLetters(dict):
         return found
 
 
+def _word_and_marks(piece: str) -> tuple[str, str] | None:
+    """The groups of ``_WORD``, or None; ASCII letters are told without it."""
+    word = piece.rstrip(punctuation)
+    if word.isascii() and word.removeprefix("\n").isalpha():
+        return word, piece[len(word) :]
+    found = _WORD.fullmatch(piece)
+    return found and found.groups()
+
+
 def _one_word(text: str) -> bool:
     return text.split() == [text]
 

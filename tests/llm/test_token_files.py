@@ -146,3 +146,13 @@ def test_slices_cover_every_row(monkeypatch):
     runs = [s.column(1).to_pylist() for s in K._slices(batch)]
     assert [t for run in runs for t in run] == texts
     assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 5 for run in runs)
+
+
+def test_words_and_marks_are_cut_as_the_pattern_cuts_them():
+    """ASCII words are told without the pattern; odd letters, marks and line feeds agree too."""
+    heads = ["", "\n", "\n\n", "-", "4", "\t"]
+    words = ["", "word", "Wört", "ǅ", "ﬁn", "词", "a1", "a_b", "ª", "É", "á", "a\n", "don't"]
+    marks = ["", ".", "?!", "\n", "…", ".a", "_", "\\", "]^", ".\n", "«"]
+    for piece in (h + w + m for h in heads for w in words for m in marks):
+        found = K._WORD.fullmatch(piece)
+        assert K._word_and_marks(piece) == (found and found.groups()), piece
