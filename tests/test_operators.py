@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mastline.functions.privacy import REDACTED, mask_columns, redact_values
 from mastline.operators import quality, telemetry
+from mastline.operators.features import billing_features
 from mastline.operators.joins import drop_keys, keep_keys, spread_join
 from mastline.operators.semantic import NETWORK_USAGE, Metric, SemanticView, ask
 from mastline.sources import landing, reports
@@ -55,6 +56,20 @@ def test_spread_join_counts_its_copies_before_a_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_accounts_are_not_broadcast_by_the_size_of_their_file(spark):
+    """A million accounts may lie in a file below Spark's limit."""
+    accounts = spark.range(50).select(F.col("id").alias("account_id"), (F.col("id") % 7).alias("customer_id"))
+    bills = spark.range(200).select(
+        (F.col("id") % 60).alias("account_id"),
+        (F.col("id") % 2 == 0).alias("overdue_30"),
+        F.lit(Decimal(1)).alias("outstanding_amount"),
+    )
+    found = billing_features(bills, accounts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.agg(F.sum("overdue_amount")).first()[0] == sum(i % 2 == 0 and i % 60 < 50 for i in range(200))
+
+
 def test_null_is_a_key(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
     keys = spark.createDataFrame([(None,)], "k int")
