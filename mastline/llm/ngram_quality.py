@@ -24,13 +24,14 @@ PRIOR = 16  # n-grams a bucket that the target is taken to have seen as the raw
 #: Trusted ids that are broadcast at a time, about; the texts are read once for each block.
 BLOCK = 1 << 20
 THRESHOLD = -0.05
-_SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text, split by ASCII white space; none for null."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")  # one character: split without a pattern
 
 
 def _hashes(w: Column) -> Column:
@@ -94,7 +95,7 @@ def base(docs: DataFrame, text_column: str = "text") -> DataFrame:
         F.coalesce(docs[text_column], F.lit("")).alias("text"),
         words(docs[text_column]).alias("w"),
     ).select("*", _hashes(F.col("w")).alias("h"), F.transform("w", lambda a: F.xxhash64(a)).alias("x"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\f\r")) != "")
     hashed = split.select(
         "*",
         lines.alias("lines"),
@@ -111,7 +112,7 @@ def base(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "*",
         F.when(
             F.size(F.array_distinct("hashes")) < F.size("hashes"),
-            F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).alias("ordered"),
     )
     before = F.slice("ordered", 1, F.size("ordered") - 1)
