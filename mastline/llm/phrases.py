@@ -23,6 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,9 +61,16 @@ def normalised(text: bytes) -> bytes:
     return text.translate(_TABLE) + _MARK
 
 
+def _token_array(texts: list[bytes]) -> pa.LargeBinaryArray:
+    """The words of normalised texts in order, with a mark behind each piece."""
+    spaced = b"".join(texts).replace(_MARK, b" " + _MARK + b" ")
+    parts = pc.split_pattern(pa.array([spaced], pa.large_binary()), b" ").flatten()
+    return parts.filter(pc.greater(pc.binary_length(parts), 0))
+
+
 def tokens_of(texts: list[bytes]) -> list[bytes]:
     """The words of normalised texts in order, with a mark behind each piece."""
-    return b"".join(texts).replace(_MARK, b" " + _MARK + b" ").split()
+    return _token_array(texts).to_pylist()
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
@@ -106,28 +114,19 @@ def _slot(bits: int, *numbers: np.ndarray) -> np.ndarray:
     return (hashed(*numbers) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-class _Vocabulary(dict):
-    """Numbers words as they come; 0 is the mark."""
-
-    def __init__(self):
-        super().__init__({_MARK: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class _Counter:
-    """Counts the active phrases of one language in a chunk of tokens."""
+    """Counts the active phrases of one language in a chunk of normalised texts."""
 
-    def __init__(self, lang: str, tokens: list[bytes], bits: int, seed: int):
+    def __init__(self, lang: str, texts: list[bytes], bits: int, seed: int):
         self.lang, self.bits = lang, bits
-        vocabulary = _Vocabulary()
-        self.ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
-        self.words = list(vocabulary)
+        # Arrow numbers words as they come; with a mark before the first, 0 is the mark
+        numbered = _token_array([_MARK, *texts]).dictionary_encode()
+        self.ids, self.words = numbered.indices.to_numpy(), numbered.dictionary
         prefix = lang.encode() + b"\t"
         self.keys = np.fromiter(
-            (xxhash.xxh64_intdigest(prefix + w, seed) for w in self.words), np.uint64, len(self.words)
+            (xxhash.xxh64_intdigest(prefix + w, seed) for w in self.words.to_pylist()),
+            np.uint64,
+            len(self.words),
         ).view(np.int64)
 
     def _rows(self, words: list[np.ndarray], counts: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +141,7 @@ class _Counter:
                 **{f"k{i}": keys[i - 1] if i <= len(keys) else empty for i in (1, 2, 3)},
                 "count": pa.array(counts.astype(np.int64)),
                 "lang": pa.array([self.lang] * n) if named else pa.nulls(n, pa.string()),
-                "word": pa.array(self.words[1:], pa.binary()).view(pa.string())
+                "word": self.words[1:].cast(pa.binary()).view(pa.string())
                 if named
                 else pa.nulls(n, pa.string()),
             }
@@ -203,8 +202,7 @@ def _scan(step: int, shards: int, bits: int, seed: int, sent):
 
         def counted(lang: str) -> Iterator[pa.RecordBatch]:
             del sizes[lang]
-            tokens = tokens_of(held.pop(lang))
-            return _Counter(lang, tokens, bits, seed).counted(step, shards, reached)
+            return _Counter(lang, held.pop(lang), bits, seed).counted(step, shards, reached)
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -356,6 +354,15 @@ def score_column() -> Column:
     return F.expr("(wide_a * wide_a * 1000000BD) div (wide_l * wide_r)")
 
 
+def with_score(cuts: DataFrame) -> DataFrame:
+    """Column ``score`` from ``a``, ``l`` and ``r``: in longs where both products fit, else wide."""
+    fits = F.expr("a <= 3000000 AND l <= 3000000000 AND r <= 3000000000")
+    wide = {f"wide_{c}": F.when(~fits, F.col(c).cast("decimal(19,0)")) for c in ("a", "l", "r")}
+    narrow = F.expr("(a * a * 1000000L) div (l * r)")
+    scored = cuts.withColumns(wide).withColumn("score", F.when(fits, narrow).otherwise(score_column()))
+    return scored.drop(*wide)
+
+
 def collocations(
     docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, shards: int = 2
 ) -> DataFrame:
@@ -381,18 +388,16 @@ def collocations(
         _part(F.col("words"), F.col("cut") + 1, F.col("length") - F.col("cut")).alias("tail"),
     )
     parts = frequent.where(F.col("length") < LONGEST)
-    # a frequent word begins or ends very many candidates
+    # a frequent word begins or ends very many candidates; there are as many parts, so few copies
     cuts = spread_join(
         cuts, parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")),
-        ["lang", "head"], "inner", spread=["phrase"],
+        ["lang", "head"], "inner", spread=["phrase"], fanout=2,
     )
     cuts = spread_join(
         cuts, parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")),
-        ["lang", "tail"], "inner", spread=["phrase"],
+        ["lang", "tail"], "inner", spread=["phrase"], fanout=2,
     )
-    wide = {f"wide_{c}": F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r")}
-    exact = cuts.withColumns(wide).withColumn("score", score_column())
-    scored = exact.groupBy("lang", "phrase", "length", "a").agg(
+    scored = with_score(cuts).groupBy("lang", "phrase", "length", "a").agg(
         F.min(F.struct("score", "cut", "l", "r")).alias("best")
     )
     inside = (

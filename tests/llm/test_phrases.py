@@ -136,3 +136,23 @@ def test_another_seed_when_two_words_share_a_number(spark, monkeypatch):
     found = phrases.collocations(frame(spark, ODD))
     assert sorted(map(tuple, found.collect())) == slow_collocations(ODD)
     assert seeds == [0, 1, 2]
+
+
+def test_scores_on_both_sides_of_64_bits(spark):
+    """Products are worked out in longs while they fit: the limits, and one more."""
+    fits = (3_000_000, 3_000_000_000, 3_000_000_000)
+    rows = [fits, (10, 10, 11), *(tuple(n + (i == j) for j, n in enumerate(fits)) for i in range(3))]
+    df = phrases.with_score(spark.createDataFrame(rows, "a long, l long, r long"))
+    for r in df.collect():
+        assert r["score"] == 1_000_000 * r["a"] ** 2 // (r["l"] * r["r"])
+    plan = df.where("a < 1000")._jdf.queryExecution().optimizedPlan().toString()
+    assert "a#" in plan and "* 1000000)" in plan
+
+
+def test_words_are_numbered_without_a_list_of_them(monkeypatch):
+    """Neither counts nor numbers need every word as an object of its own."""
+    monkeypatch.setattr(phrases, "tokens_of", None)
+    texts = [phrases.normalised(t) for t in (b"a  B\ta,b", b"", b"\xc3\xa9 a b")]
+    counter = phrases._Counter("en", texts, 8, 0)
+    assert counter.words.to_pylist() == [b"\xff", b"a", b"b", b"\xc3\xa9"]
+    assert counter.ids.tolist() == [0, 1, 2, 1, 0, 2, 0, 0, 3, 1, 2, 0]
