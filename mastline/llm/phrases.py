@@ -40,6 +40,8 @@ _MARK = b"\xff"
 _NEVER = 255
 #: bytes of text counted together by a task before it hands on what it has
 _CHUNK = 12_000_000
+#: bytes of text split at a time, about
+_SPLIT = 1_000_000
 
 
 def _byte_table() -> bytes:
@@ -114,14 +116,27 @@ def _slot(bits: int, *numbers: np.ndarray) -> np.ndarray:
     return (hashed(*numbers) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The number of each token, and the words by their number, as they come; 0 is the mark."""
+    groups, size = [[_MARK]], 0  # a mark before the first word
+    for text in texts:
+        if size >= _SPLIT:
+            groups.append([])
+            size = 0
+        groups[-1].append(text)
+        size += len(text)
+    tokens = pa.chunked_array([_token_array(g) for g in groups], pa.large_binary())
+    chunks = tokens.dictionary_encode().chunks
+    return np.concatenate([c.indices.to_numpy() for c in chunks]), chunks[0].dictionary
+
+
 class _Counter:
     """Counts the active phrases of one language in a chunk of normalised texts."""
 
     def __init__(self, lang: str, texts: list[bytes], bits: int, seed: int):
         self.lang, self.bits = lang, bits
-        # Arrow numbers words as they come; with a mark before the first, 0 is the mark
-        numbered = _token_array([_MARK, *texts]).dictionary_encode()
-        self.ids, self.words = numbered.indices.to_numpy(), numbered.dictionary
+        self.ids, self.words = _numbered(texts)
+        pa.default_memory_pool().release_unused()  # what the splitting held
         prefix = lang.encode() + b"\t"
         self.keys = np.fromiter(
             (xxhash.xxh64_intdigest(prefix + w, seed) for w in self.words.to_pylist()),

@@ -153,6 +153,7 @@ def test_words_are_numbered_without_a_list_of_them(monkeypatch):
     """Neither counts nor numbers need every word as an object of its own."""
     monkeypatch.setattr(phrases, "tokens_of", None)
     texts = [phrases.normalised(t) for t in (b"a  B\ta,b", b"", b"\xc3\xa9 a b")]
+    monkeypatch.setattr(phrases, "_SPLIT", 5)  # more than one part
     counter = phrases._Counter("en", texts, 8, 0)
     assert counter.words.to_pylist() == [b"\xff", b"a", b"b", b"\xc3\xa9"]
     assert counter.ids.tolist() == [0, 1, 2, 1, 0, 2, 0, 0, 3, 1, 2, 0]
