@@ -210,11 +210,13 @@ class Mixture:
             .repartition(tasks, "shard", "number", "run")
             .select("*", F.explode(F.sequence(F.col("run"), last)).alias("i"))
         )
+        block = block_of(F.col("given") + F.col("i"), F.col("blocks"), F.col("number"))
         return each.select(
             "shard",
             (F.col("slot") + F.col("i")).alias("slot"),
             "number",
-            block_of(F.col("given") + F.col("i"), F.col("blocks"), F.col("number")).alias("block"),
+            # never null, and said so: a join would work it out once more, by another worker, to drop nulls
+            F.coalesce(block, zero).alias("block"),
         )
 
     def pieces(self) -> DataFrame:
@@ -236,9 +238,12 @@ class Mixture:
         )
 
     def joined(self) -> DataFrame:
-        """The pieces, each with ``times``: how many slots hold its block."""
+        """The pieces, each with ``times``: how many slots hold its block.
+
+        Both sides come from few rows that Spark takes for all there are: never broadcast by that.
+        """
         times = self.slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-        return self.pieces().join(times, ["number", "block"])
+        return self.pieces().join(times.hint("merge"), ["number", "block"])
 
     def documents(self) -> DataFrame:
         """``(doc_id, size, source_size, target, taken)`` for every row."""
@@ -290,6 +295,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, chosen in zip(texts, spans, strict=True):
+            if text is None:  # taken whole
+                out.append(None)
+                continue
             words = text.encode().split()  # splits at ASCII white space only
             out.append(b" ".join(b" ".join(words[s["first"] : s["first"] + s["n"]]) for s in chosen).decode())
         return pd.Series(out, dtype=object)
@@ -297,9 +305,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # identical rows: which of them does not matter, but each pass once
     one = Window.partitionBy("_key").orderBy("_key")
     taken = keyed.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").join(spans, "_key")
-    text = F.col("row.text")
-    whole = F.col("taken") == n_words(text)
-    new = taken.withColumn("new", F.when(whole, text).otherwise(cut(text, F.col("spans"))))
+    text, whole = F.col("row.text"), F.col("whole")
+    taken = taken.withColumn("whole", F.col("taken") == n_words(text))
+    # what is taken whole does not go through Python
+    new = taken.withColumn("new", F.when(whole, text).otherwise(cut(F.when(~whole, text), F.when(~whole, F.col("spans")))))
     return new.select(
         *(
             F.col("new").alias("text")

@@ -148,3 +148,22 @@ def test_slots_are_made_by_as_many_tasks_as_planned(spark, monkeypatch):
         assert made > 1 or total <= size
         slots.append(sorted(map(tuple, mix.slots.collect())))
     assert slots[0] == slots[1]
+
+
+def test_blocks_and_texts_go_through_one_worker_a_task(spark):
+    """A join's filter for nulls must not have the blocks worked out a second time."""
+    rows = [(i, "w " * (40 + i), "en", "abc"[i % 3], 1, "x", 0) for i in range(30)]
+    mixed = M.mixed_documents(spark.createDataFrame(rows, SCHEMA))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # blocks of slots, cut texts
+    texts = {r[0]: r[1].split() for r in rows}
+    assert all(r["text"].split() == texts[r["doc_id"]][: len(r["text"].split())] for r in mixed.collect())
+
+
+def test_blocks_are_not_broadcast_by_the_size_of_their_plan(spark):
+    """A few rows of the plan become as many slots as the mix has blocks."""
+    docs = spark.createDataFrame([(i, "w " * 500, "en", "ab"[i % 2], 1, "x", 0) for i in range(20)], SCHEMA)
+    found = M.Mixture(docs).joined()
+    found.collect()  # the plan that ran
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [number" in plan and "BroadcastHashJoin [number" not in plan
