@@ -20,6 +20,7 @@ another seed.
 from collections.abc import Iterator
 from functools import reduce
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ _NEVER = 255
 _CHUNK = 12_000_000
 #: bytes of text split at a time, about
 _SPLIT = 1_000_000
+#: rows handed on at a time: both ends of the pipe hold as many
+_ROWS = 1 << 16
 
 
 def _byte_table() -> bytes:
@@ -144,23 +147,27 @@ class _Counter:
             len(self.words),
         ).view(np.int64)
 
-    def _rows(self, words: list[np.ndarray], counts: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    def _rows(
+        self, words: list[np.ndarray], counts: np.ndarray, start: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
         """Rows of phrases; ``words`` holds the places of their words in the vocabulary."""
-        n, empty = len(counts), pa.nulls(len(counts), pa.int64())
-        keys = [pa.array(self.keys[w]) for w in words]
         named = len(words) == 1
-        return pa.record_batch(
-            {
-                "length": pa.array(np.full(n, len(words), np.int32)),
-                "start": pa.array(start.astype(np.int32)),
-                **{f"k{i}": keys[i - 1] if i <= len(keys) else empty for i in (1, 2, 3)},
-                "count": pa.array(counts.astype(np.int64)),
-                "lang": pa.array([self.lang] * n) if named else pa.nulls(n, pa.string()),
-                "word": self.words[1:].cast(pa.binary()).view(pa.string())
-                if named
-                else pa.nulls(n, pa.string()),
-            }
-        )
+        for at in range(0, len(counts), _ROWS):
+            part = slice(at, at + _ROWS)
+            n = len(counts[part])
+            keys = [pa.array(self.keys[w[part]]) for w in words]
+            empty, unnamed = pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())
+            word = self.words[1 + at : 1 + at + n].cast(pa.binary()).view(pa.string()) if named else unnamed
+            yield pa.record_batch(
+                {
+                    "length": pa.array(np.full(n, len(words), np.int32)),
+                    "start": pa.array(start[part].astype(np.int32)),
+                    **{f"k{i}": keys[i - 1] if i <= len(keys) else empty for i in (1, 2, 3)},
+                    "count": pa.array(counts[part].astype(np.int64)),
+                    "lang": pa.array([self.lang] * n) if named else unnamed,
+                    "word": word,
+                }
+            )
 
     def counted(self, step: int, shards: int, reached: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Counts of the phrases active at ``step``.
@@ -172,7 +179,7 @@ class _Counter:
         active = lambda since: (since <= step) & (step < since.astype(np.int64) + shards)
         if step < shards and len(self.words) > 1:
             counts = np.bincount(ids, minlength=len(self.words))[1:]
-            yield self._rows([np.arange(1, len(self.words))], counts, np.zeros(len(counts)))
+            yield from self._rows([np.arange(1, len(self.words))], counts, np.zeros(len(counts)))
         known = reached[1][_slot(self.bits, keys)]
         known[0] = _NEVER
         # places where two frequent words stand side by side
@@ -186,7 +193,7 @@ class _Counter:
         since = np.maximum(known[left], known[right])
         now = active(since)
         if now.any():
-            yield self._rows([left[now], right[now]], counts[now], since[now])
+            yield from self._rows([left[now], right[now]], counts[now], since[now])
         known = reached[2][_slot(self.bits, keys[left], keys[right])]
         # two frequent pairs, one word apart
         at = np.flatnonzero(place[1:] == place[:-1] + 1)
@@ -199,7 +206,7 @@ class _Counter:
         triples, counts = np.unique(code, return_counts=True)
         first, second = triples // len(pairs), triples % len(pairs)
         since = np.maximum(known[first], known[second])
-        yield self._rows([left[first], right[first], right[second]], counts, since)
+        yield from self._rows([left[first], right[first], right[second]], counts, since)
 
 
 _COUNTS = (
@@ -255,6 +262,21 @@ def _newly_reached(slots: DataFrame, known: np.ndarray, step: int) -> bool:
     return found
 
 
+class _Counts(NamedTuple):
+    """Exact counts; a word's number tells its language too.
+
+    ``words`` has all words, ``(lang, word, k1, f)``; ``pairs`` and ``triples`` have the numbers
+    and ``f`` of what was seen often enough.
+    """
+
+    words: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+
+    def sizes(self) -> DataFrame:
+        return self.words.groupBy("lang").agg(F.sum("f").alias("n"))
+
+
 def counted_phrases(
     docs: DataFrame, least: int = 10, shards: int = 2, bits: int = 24
 ) -> tuple[DataFrame, DataFrame]:
@@ -267,6 +289,16 @@ def counted_phrases(
     of a byte are sent to every task; ``shards`` is 80 at most. ``docs`` is read once a step,
     three times a shard at most; store it first if it is costly to make.
     """
+    found = _exact(docs, least, shards, bits)
+    frequent = found.words.where(F.col("f") >= least)
+    parts = [frequent.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "f")]
+    for length, phrases in ((2, found.pairs), (3, found.triples)):
+        named = _named(phrases, frequent, length)
+        parts.append(named.select("lang", F.lit(length).alias("length"), "phrase", "f"))
+    return _union(parts), found.sizes()
+
+
+def _exact(docs: DataFrame, least: int, shards: int, bits: int = 24) -> _Counts:
     for seed in count():
         found = _counted(docs, least, shards, bits, seed)
         if found:
@@ -274,6 +306,18 @@ def counted_phrases(
     raise AssertionError
 
 
+def _named(phrases: DataFrame, words: DataFrame, length: int) -> DataFrame:
+    """With ``lang`` and ``phrase`` in place of the numbers."""
+    keys = [f"k{i}" for i in range(1, length + 1)]
+    for key in keys:  # a frequent word is in very many phrases
+        name = words.select(F.col("k1").alias(key), F.col("word").alias(f"w{key}"), F.col("lang").alias("_lang"))
+        name = name if key == "k1" else name.drop("_lang")
+        phrases = spread_join(phrases, name, [key], "inner", spread=[k for k in keys if k != key])
+    phrase = F.concat_ws(" ", *(F.col(f"w{k}") for k in keys))
+    others = [F.col(c) for c in phrases.columns if c not in ("lang", "_lang", *keys, *(f"w{k}" for k in keys))]
+    return phrases.select(F.col("_lang").alias("lang"), phrase.alias("phrase"), *others)
+
+
 def _slots_seen(rows: DataFrame, keys: list[str], least: int, bits: int) -> DataFrame:
     """Slots of phrases seen often enough so far; what shares a hash only adds to them."""
     return (
@@ -284,8 +328,10 @@ def _slots_seen(rows: DataFrame, keys: list[str], least: int, bits: int) -> Data
     )
 
 
-def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
-    """As ``counted_phrases``; None if two words turn out to have one number."""
+def _counted(
+    docs: DataFrame, least: int, shards: int, bits: int, seed: int
+) -> _Counts | None:
+    """The counts; None if two words turn out to have one number."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(
         F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"),
@@ -341,29 +387,14 @@ def _counted(docs: DataFrame, least: int, shards: int, bits: int, seed: int):
         .agg(F.sum("count").alias("f"))
         .where(F.col("f") >= least)
     )
-    frequent = words.where(F.col("f") >= least)
-    names = frequent.select("lang", F.col("k1").alias("k"), "word")
-    parts = [frequent.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "f")]
-    for length, total in ((2, _union(pairs) if pairs else triples.drop("k3")), (3, triples)):
-        keys = [f"k{i}" for i in range(1, length + 1)]
-        for key in keys:  # a frequent word is in very many phrases
-            name = names.select(F.col("k").alias(key), F.col("word").alias(f"w{key}"), "lang")
-            name = name if key == "k1" else name.drop("lang")
-            others = [k for k in keys if k != key]
-            total = spread_join(total, name, [key], "inner", spread=others)
-        phrase = F.concat_ws(" ", *(F.col(f"w{k}") for k in keys))
-        parts.append(total.select("lang", F.lit(length).alias("length"), phrase.alias("phrase"), "f"))
-    return _union(parts), words.groupBy("lang").agg(F.sum("f").alias("n"))
+    triples = stored(triples, "triples")
+    return _Counts(words, _union(pairs) if pairs else triples.drop("k3"), triples)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, tables)
 
 
-def _part(words: Column, start: Column | int, length: Column | int) -> Column:
-    return F.array_join(F.slice(words, start, length), " ")
-
-
 def score_column() -> Column:
     """Millionths of a * a / (l * r), cut to a whole number, in decimals of 38 digits."""
     return F.expr("(wide_a * wide_a * 1000000BD) div (wide_l * wide_r)")
@@ -378,6 +409,47 @@ def with_score(cuts: DataFrame) -> DataFrame:
     return scored.drop(*wide)
 
 
+def _scored_pairs(found: _Counts, words: DataFrame, share: int) -> DataFrame:
+    """Pairs that no triple holds too often: lang, k1, k2, k3 (null), a, l, r, score."""
+    pairs = found.pairs.withColumnRenamed("f", "a")
+    # a frequent word begins or ends very many pairs
+    head = words.select("k1", "lang", F.col("f").alias("l"))
+    tail = words.select(F.col("k1").alias("k2"), F.col("f").alias("r"))
+    cut = spread_join(pairs, head, ["k1"], "inner", spread=["k2"])
+    cut = spread_join(cut, tail, ["k2"], "inner", spread=["k1"])
+    ends = [("k1", "k2"), ("k2", "k3")]
+    held = [found.triples.select(F.col(x).alias("k1"), F.col(y).alias("k2"), "f") for x, y in ends]
+    longer = _union(held).groupBy("k1", "k2").agg(F.max("f").alias("longer"))
+    kept = cut.join(longer, ["k1", "k2"], "left").where(
+        F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)
+    )
+    return with_score(kept).select(
+        "lang", "k1", "k2", F.lit(None).cast("long").alias("k3"), "a", "l", "r", "score"
+    )
+
+
+def _scored_triples(found: _Counts, words: DataFrame) -> DataFrame:
+    """Triples at the lower-scoring of their two cuts: lang, k1, k2, k3, a, l, r, score."""
+    triples = found.triples.withColumnRenamed("f", "a")
+    # there are as many pairs, so few copies
+    tail = found.pairs.select(F.col("k1").alias("k2"), F.col("k2").alias("k3"), F.col("f").alias("r1"))
+    cut = spread_join(triples, tail, ["k2", "k3"], "inner", spread=["k1"], fanout=2)
+    head = found.pairs.withColumnRenamed("f", "l2")
+    cut = spread_join(cut, head, ["k1", "k2"], "inner", spread=["k3"], fanout=2)
+    first = words.select("k1", "lang", F.col("f").alias("l1"))
+    cut = spread_join(cut, first, ["k1"], "inner", spread=["k2", "k3"])
+    last = words.select(F.col("k1").alias("k3"), F.col("f").alias("r2"))
+    cut = spread_join(cut, last, ["k3"], "inner", spread=["k1", "k2"])
+    for i in (1, 2):
+        cut = with_score(cut.withColumnsRenamed({f"l{i}": "l", f"r{i}": "r"}))
+        cut = cut.withColumnsRenamed({"l": f"l{i}", "r": f"r{i}", "score": f"s{i}"})
+    late = F.expr("s2 < s1")  # of equal ones the first cut counts
+    return cut.select(
+        "lang", "k1", "k2", "k3", "a",
+        *(F.when(late, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(n) for c, n in (("l", "l"), ("r", "r"), ("s", "score"))),
+    )
+
+
 def collocations(
     docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, shards: int = 2
 ) -> DataFrame:
@@ -390,58 +462,30 @@ def collocations(
     percent of its occurrences is dropped. Order: score and ``a`` falling, then the phrase.
     See ``counted_phrases`` for null, empty and repeated rows.
     """
-    frequent, sizes = counted_phrases(docs, least, shards)
-    frequent = stored(frequent, "frequent")
-    words = F.split("phrase", " ")
-    candidates = frequent.where("length > 1").withColumn("words", words)
-    cuts = candidates.select(
-        "lang", "phrase", "length", F.col("f").alias("a"), "words",
-        F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("cut"),
-    ).select(
-        "lang", "phrase", "length", "a", "cut",
-        _part(F.col("words"), F.lit(1), F.col("cut")).alias("head"),
-        _part(F.col("words"), F.col("cut") + 1, F.col("length") - F.col("cut")).alias("tail"),
-    )
-    parts = frequent.where(F.col("length") < LONGEST)
-    # a frequent word begins or ends very many candidates; there are as many parts, so few copies
-    cuts = spread_join(
-        cuts, parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")),
-        ["lang", "head"], "inner", spread=["phrase"], fanout=2,
-    )
-    cuts = spread_join(
-        cuts, parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")),
-        ["lang", "tail"], "inner", spread=["phrase"], fanout=2,
-    )
-    scored = with_score(cuts).groupBy("lang", "phrase", "length", "a").agg(
-        F.min(F.struct("score", "cut", "l", "r")).alias("best")
-    )
-    inside = (
-        candidates.where("length > 2")
-        .select(
-            "lang",
-            F.col("f").alias("longer"),
-            F.explode(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(2), F.col("length") - 1),
-                        lambda size: F.transform(
-                            F.sequence(F.lit(1), F.col("length") - size + 1),
-                            lambda start: _part(F.col("words"), start, size),
-                        ),
-                    )
-                )
-            ).alias("phrase"),
-        )
-        .groupBy("lang", "phrase")
-        .agg(F.max("longer").alias("longer"))
+    found = _exact(docs, least, shards)
+    words = found.words.where(F.col("f") >= least)
+    # all by numbers; only what may be among the first is named
+    scored = stored(_scored_pairs(found, words, share).unionByName(_scored_triples(found, words)), "scored")
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    last = (
+        scored.select("lang", "score", "a")
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= top)
+        .groupBy(F.col("lang").alias("_of"))
+        .agg(F.min("score").alias("_score"), F.min_by("a", F.struct("score", "a")).alias("_a"))
     )
-    kept = (
-        scored.join(inside, ["lang", "phrase"], "left")
-        .where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share))
-        .select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    last = stored(last, "last")  # a row a language: its size is known, whatever it is
+    near = scored.join(last, F.expr("lang = _of")).where(
+        "score > _score OR (score = _score AND a >= _a)"
+    ).drop("_of", "_score", "_a")
+    named = _union(
+        [
+            _named(near.where(which).drop(*without), words, length).select("lang", "phrase", "a", "l", "r", "score")
+            for length, which, without in ((2, "k3 IS NULL", ["k3"]), (3, "k3 IS NOT NULL", []))
+        ]
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return first.join(sizes, "lang").select(
+    first = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return first.join(found.sizes(), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -157,3 +157,28 @@ def test_words_are_numbered_without_a_list_of_them(monkeypatch):
     counter = phrases._Counter("en", texts, 8, 0)
     assert counter.words.to_pylist() == [b"\xff", b"a", b"b", b"\xc3\xa9"]
     assert counter.ids.tolist() == [0, 1, 2, 1, 0, 2, 0, 0, 3, 1, 2, 0]
+
+
+def test_rows_are_handed_on_a_few_at_a_time(monkeypatch):
+    """Neither end of the pipe holds the counts of a whole chunk once more."""
+    monkeypatch.setattr(phrases, "_ROWS", 3)
+    text = b"one two three four five six seven " * 2
+    counter = phrases._Counter("en", [phrases.normalised(text)], 8, 0)
+    reached = {n: np.zeros(256, np.uint8) for n in (1, 2)}
+    batches = list(counter.counted(0, 1, reached))
+    assert max(b.num_rows for b in batches) == 3
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [sum(r["count"] for r in rows if r["length"] == n) for n in (1, 2, 3)] == [14, 13, 12]
+    assert [r["word"] for r in rows if r["length"] == 1] == "one two three four five six seven".split()
+
+
+def test_only_what_may_be_among_the_first_is_named(spark, monkeypatch):
+    """Scores go by numbers; words are looked up for the first and what ties with the last."""
+    given, original = [], phrases._named
+    monkeypatch.setattr(phrases, "_named", lambda rows, *a: given.append(rows.count()) or original(rows, *a))
+    often = " ".join(f"c{i} d{i}." for i in range(5)) + " x y z."
+    rows = [(" ".join(f"a{i} b{i}." for i in range(40)), "en")] * 10 + [(often, "en")] * 12 + [(often, "fr")] * 11 + [("c0 e.", "en")] * 11
+    for top in (3, 6, 9):
+        found = phrases.collocations(frame(spark, rows), top=top)
+        assert sorted(map(tuple, found.collect())) == slow_collocations(rows, top=top)
+    assert sum(given[:2]) < 20  # of more than fifty
