@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mastline.functions.privacy import REDACTED, mask_columns, redact_values
 from mastline.operators import quality, telemetry
-from mastline.operators.features import billing_features
+from mastline.operators.features import billing_features, customer_features
 from mastline.operators.joins import drop_keys, keep_keys, spread_join
 from mastline.operators.semantic import NETWORK_USAGE, Metric, SemanticView, ask
 from mastline.sources import landing, reports
@@ -70,6 +70,30 @@ def test_accounts_are_not_broadcast_by_the_size_of_their_file(spark):
     assert found.agg(F.sum("overdue_amount")).first()[0] == sum(i % 2 == 0 and i % 60 < 50 for i in range(200))
 
 
+def test_children_of_customers_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    """Derived tables in the order of the customer take a tenth of what their rows take in memory."""
+    ids = spark.range(5000).select(F.col("id").alias("customer_id"))
+    child = lambda **columns: publish(
+        ids.filter("customer_id % 3 = 0").withColumns({n: F.lit(v) for n, v in columns.items()}),
+        f"{tmp_path}/{'-'.join(columns)}",
+    )
+    subscription = child(
+        active_subscriptions=2,
+        monthly_spend=Decimal(5),
+        mobile_lines=1,
+        broadband_lines=1,
+        renewal_lines=0,
+    )
+    customer = ids.withColumns({"status": F.lit("active"), "marketing_consent": F.lit(True)})
+    found = customer_features(
+        customer, subscription, child(overdue_amount=Decimal(3)), child(open_complaints=4)
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    sums = found.agg(F.count("*"), F.sum("active_subscriptions"), F.sum("open_complaints")).first()
+    assert tuple(sums) == (5000, 2 * 1667, 4 * 1667)
+
+
 def test_null_is_a_key(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
     keys = spark.createDataFrame([(None,)], "k int")
