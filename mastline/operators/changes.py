@@ -29,8 +29,8 @@ def marked(
     wanted = (
         keys.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_found", F.lit(True))
     )
-    if key in spread:  # the rows' own key: no value repeats
-        found = df.join(wanted, key, "left")
+    if key in spread:  # the rows' own key: no value repeats, and the keys may be as many
+        found = df.join(wanted.hint("merge"), key, "left")
     else:
         found = spread_join(df, wanted, [key], "left", spread)
     return found.select(*df.columns, (hit & F.col("_found").isNotNull()).alias(_HIT))
@@ -110,7 +110,8 @@ def _customers_of(change: Change, states: Sequence[BaseTables]) -> list[DataFram
         if "customer_id" in image.columns:
             found.append(image.select("customer_id"))
         elif change.table == "customer_bill":
-            accounts = image.select("account_id").distinct()
+            # as many as the bills that changed: sorted beside the accounts, never broadcast
+            accounts = image.select("account_id").distinct().hint("merge")
             found += [
                 state.billing_account.join(accounts, "account_id", "left_semi").select(
                     "customer_id"

@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from mastline.functions.usage import hour_of
 
 FANOUT = 8
+#: rows of a lookup, where their number is known, that Spark may still broadcast
+BROADCAST_ROWS = 10_000
 _SALT, _KEY = "_salt", "_boxed_key"
 
 
+def sorted_if_many(lookup: DataFrame, n: int) -> DataFrame:
+    """A lookup of ``n`` rows that, if they are many, is sorted beside the other side.
+
+    Spark's own size check goes by compressed files: keys take many times that in the driver.
+    """
+    return lookup.hint("merge") if n > BROADCAST_ROWS else lookup
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -18,6 +28,7 @@ def spread_join(
     how: str,
     spread: Sequence[str],
     fanout: int = FANOUT,
+    n: int = 0,
 ) -> DataFrame:
     """Join many rows to a narrow lookup whose keys may be very unevenly used.
 
@@ -28,22 +39,26 @@ def spread_join(
     Valid for joins that keep or filter the facts. NULL keys match nothing. No broadcast is
     forced: Spark broadcasts the lookup only where its own size check allows. The repeats come
     from a join, whose size that check knows; an exploded array would pass for one copy.
+    ``n`` is the number of lookup rows, if known: many are never broadcast.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat lookup rows once per salt")
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int"))
     salts = lookup.sparkSession.range(0, fanout, 1, 1).select(F.col("id").cast("int").alias(_SALT))
-    repeated = lookup.crossJoin(salts)
+    repeated = sorted_if_many(lookup.crossJoin(salts), n * fanout)
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
-def rows_of(df: DataFrame, keys: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+def rows_of(
+    df: DataFrame, keys: DataFrame, key: str, spread: Sequence[str], n: int = 0
+) -> DataFrame:
     """Rows whose key is in a (small or distinct) key set, even if one key has most rows.
 
     A NULL key is a key like any other, as in ``keep_keys``: structs compare that way.
+    ``n`` is the number of keys, if known: many are never broadcast.
     """
     boxed = F.struct(F.col(key).alias("k")).alias(_KEY)
-    found = spread_join(df.select("*", boxed), keys.select(boxed), [_KEY], "left_semi", spread)
+    found = spread_join(df.select("*", boxed), keys.select(boxed), [_KEY], "left_semi", spread, n=n)
     return found.drop(_KEY)
 
 

@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mastline.functions.usage import seconds_between
 from mastline.operators import features as f
 from mastline.operators.changes import FEATURE_OF, affected_by_feature
-from mastline.operators.joins import keep_keys, rows_of, union_all
+from mastline.operators.joins import (
+    BROADCAST_ROWS,
+    keep_keys,
+    rows_of,
+    sorted_if_many,
+    union_all,
+)
 from mastline.operators.tags import customer_tags
 from mastline.plans.base import BaseTables, Change
 from mastline.plans.inputs import InputLog, compared, identities
@@ -66,7 +72,9 @@ class Keys:
         """Rows of the customers; tables with one row per customer need no spreading."""
         if self.named is not None:
             return df.filter(self.named)
-        return rows_of(df, self.rows, _KEY, spread) if spread else keep_keys(df, self.rows, [_KEY])
+        if spread:
+            return rows_of(df, self.rows, _KEY, spread, self.n)
+        return keep_keys(df, sorted_if_many(self.rows, self.n), [_KEY])
 
 
 def _few(rows: DataFrame, key: str) -> list[int | None] | None:
@@ -209,7 +217,10 @@ class TagTables:
         accounts = keys.cut(new.billing_account, ["account_id"])
         few = None if keys.named is None else _few(accounts, "account_id")
         if few is None:
-            bills = rows_of(new.customer_bill, accounts, "account_id", ["bill_id"])
+            # a customer may have any number of accounts
+            bills = rows_of(
+                new.customer_bill, accounts, "account_id", ["bill_id"], max(keys.n, BROADCAST_ROWS)
+            )
         else:
             bills = new.customer_bill.filter(_one_of("account_id", few))
         return f.billing_features(bills, accounts)

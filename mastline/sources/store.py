@@ -21,7 +21,7 @@ from pyspark.sql import (
     types as T,
 )
 
-from mastline.operators.joins import drop_keys, keep_keys, union_all
+from mastline.operators.joins import drop_keys, keep_keys, sorted_if_many, union_all
 
 _REMOVED, _EXISTED, _VERSION = "_removed", "_existed", "_version"
 _FLAGS = [_REMOVED, _EXISTED]
@@ -258,10 +258,14 @@ class KeyedTable:
         """Make ``rows`` the only rows of ``keys``.
 
         Rows that come out as they were are not written, so later tables do not see them.
-        ``only`` says the same as ``keys`` as a condition that a scan can be cut down by.
+        ``only`` says the same as ``keys`` as a condition that a scan can be cut down by;
+        ``affected`` is the number of keys.
         """
         started = now()
-        before = keep_keys(self.read(), keys, self.key) if only is None else self.read().filter(only)
+        if only is None:
+            before = keep_keys(self.read(), sorted_if_many(keys, affected), self.key)
+        else:
+            before = self.read().filter(only)
         counts = write_counted(
             self._difference(self._typed(rows), before),
             self._folder("changes", version),
@@ -357,7 +361,8 @@ class KeyedTable:
     def read(self) -> DataFrame:
         bases = [c.version for c in self._commits("base")]
         since = max(bases, default=-1)
-        newer = [c.version for c in self._commits("changes") if c.version > since]
+        later = [c for c in self._commits("changes") if c.version > since]
+        newer = [c.version for c in later]
         if bases:
             base = self.spark.read.schema(self.schema).parquet(self._folder("base", since))
         elif not newer:
@@ -373,7 +378,10 @@ class KeyedTable:
                 .drop("_rank")
             )
         current = changes.filter(~F.col(_REMOVED)).select(*self.columns)
-        return drop_keys(base, changes, self.key).unionByName(current) if bases else current
+        if not bases:
+            return current
+        replaced = sorted_if_many(changes, sum(c.rows_inserted + c.rows_deleted for c in later))
+        return drop_keys(base, replaced, self.key).unionByName(current)
 
     def compact(self) -> None:
         """Fold the changes into a new base of the same version, if there are any."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mastline.operators import changes as ch
-from mastline.operators import quality
+from mastline.operators import joins, quality
 from mastline.operators.tags import campaign_audience, tag_counts
 from mastline.plans import scenarios
 from mastline.plans.base import BaseTables, Change
@@ -295,6 +295,45 @@ def test_named_and_joined_keys_agree(spark, base, keys, monkeypatch, named):
     assert tuple(quality.verify_equal(tables.read(), tags_from_base(state), TAG_COLUMNS).first()) == (0, 0)
 
 
+def broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("case", ["payment", "terminate", "delete_customer"])
+def test_many_changed_keys_are_never_broadcast(spark, base, keys, monkeypatch, case):
+    """However small their files: here any number of keys counts as many."""
+    monkeypatch.setattr(refresh_module, "NAMED_KEYS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    tables = TagTables(spark, new_folder(spark, "many"), full_ratio=2.0)
+    tables.build(base)
+    state, changes = scenarios.run(case, base, keys, fx.AS_OF)
+    state = stored(spark, state, "many-state")
+    tables.refresh(base, state, changes)
+    assert not any(broadcasts(table.read()) for table in tables.tables.values())
+    assert tuple(quality.verify_equal(tables.read(), tags_from_base(state), TAG_COLUMNS).first()) == (0, 0)
+
+
+def test_rows_of_many_keys_are_sorted(spark, base, keys):
+    many = Keys(keys, joins.BROADCAST_ROWS + 1)
+    lines = many.cut(base.product_inventory, ["subscription_id"])
+    customers = many.cut(base.customer, [])
+    assert not broadcasts(lines) and not broadcasts(customers)
+    assert customers.count() == CHANGED
+    wanted = {row[0] for row in keys.collect()}
+    expected = [r for r in base.product_inventory.collect() if r.customer_id in wanted]
+    assert lines.count() == len(expected) > 0
+
+
+def test_keys_of_a_change_are_not_broadcast(spark, base, keys):
+    """They grow with the table that changes, and lie in small files."""
+    state, changes = scenarios.delta(base, keys)
+    assert not broadcasts(state.customer)
+    paid, bills = scenarios.payment(base, keys)
+    bills = [Change(c.table, publish(c.before, new_folder(spark, "bills"))) for c in bills]
+    found = ch.affected_by_feature(bills, base, paid)["billing_features"]
+    assert not broadcasts(found) and found.count() > 0
+
+
 def test_a_null_customer_is_named_too(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "customer_id long, x string")
     keys = Keys(spark.createDataFrame([(None,), (1,)], "customer_id long"), 2)
