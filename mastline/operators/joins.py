@@ -39,13 +39,15 @@ def spread_join(
     Valid for joins that keep or filter the facts. NULL keys match nothing. No broadcast is
     forced: Spark broadcasts the lookup only where its own size check allows. The repeats come
     from a join, whose size that check knows; an exploded array would pass for one copy.
-    ``n`` is the number of lookup rows, if known: many are never broadcast.
+    ``n`` is the number of lookup rows, if known: many are never broadcast. An inner join could
+    broadcast the facts, if their file is small: its sides are always sorted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat lookup rows once per salt")
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int"))
     salts = lookup.sparkSession.range(0, fanout, 1, 1).select(F.col("id").cast("int").alias(_SALT))
-    repeated = sorted_if_many(lookup.crossJoin(salts), n * fanout)
+    repeated = lookup.crossJoin(salts)
+    repeated = repeated.hint("merge") if how == "inner" else sorted_if_many(repeated, n * fanout)
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 

@@ -56,6 +56,17 @@ def test_spread_join_counts_its_copies_before_a_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_spread_join_never_broadcasts_the_facts(spark, tmp_path):
+    """Many rows may lie in a file below Spark's limit, smaller than the lookup's."""
+    rows = spark.range(2000).select("id", (F.col("id") % 50).alias("k"))
+    facts = publish(rows, f"{tmp_path}/facts")
+    lookup = spark.range(40).select(F.col("id").alias("k"), F.repeat(F.lit("v"), 9000).alias("v"))
+    joined = spread_join(facts, lookup, ["k"], "inner", ["id"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert joined.count() == 40 * 40
+
+
 def test_accounts_are_not_broadcast_by_the_size_of_their_file(spark):
     """A million accounts may lie in a file below Spark's limit."""
     accounts = spark.range(50).select(F.col("id").alias("account_id"), (F.col("id") % 7).alias("customer_id"))
