@@ -59,6 +59,18 @@ select {RUN} AS run_id, label,
   named_struct('key', 'wall_time', 'unit', 'ns', 'value', '1')) END AS meter
 from {events} JOIN {manifest} ON seq = event_id where event_id % 17 <> 0"""
 
+# a price list of any length comes in pages, so no document grows with the table: a page is a
+# stretch of what one task read, whatever the keys; the first one is there without prices too
+PAGE = 1000
+_PRICES = f"""
+select shiftright(place, 33) AS reader, (place & {2**33 - 1}) DIV {PAGE} AS page, price
+from (select monotonically_increasing_id() AS place, struct(
+ CASE p_partkey WHEN 1 THEN 'vc_gp_event' ELSE CONCAT('sku_', CAST(p_partkey AS STRING)) END AS sku_code,
+ CASE p_partkey % 2 WHEN 1 THEN 'CRU*hour' ELSE 'GiB*month' END AS measurements_unit,
+ CAST(CAST(p_size AS DOUBLE) / 8 AS STRING) AS price_rate, CAST(0.75 AS DOUBLE) AS discount_rate) AS price
+ from {{part}})
+union all select 0, 0, NULL"""
+
 # what the documents of each kind look like; a duration is a triple or a number
 _DOCUMENTS = """
 select CONCAT('runs/', run_id, '/manifest.json') AS path,
@@ -86,11 +98,9 @@ from {result}
 union all select CONCAT('profiles/profiles_', run_id, '/', lpad(CAST(abs(hash(label)) % 1000 AS STRING), 3, '0'), '_', label, '.json'),
  to_json(struct(struct(struct(struct(stats AS inputOutputStats) AS stats, struct(meter AS measurements) AS meter) AS jobSummary) AS data))
 from {profiles}
-union all select 'observed_prices/000_observed_rates.json', to_json(struct(collect_list(struct(
- CASE p_partkey WHEN 1 THEN 'vc_gp_event' ELSE CONCAT('sku_', CAST(p_partkey AS STRING)) END AS sku_code,
- CASE p_partkey % 2 WHEN 1 THEN 'CRU*hour' ELSE 'GiB*month' END AS measurements_unit,
- CAST(CAST(p_size AS DOUBLE) / 8 AS STRING) AS price_rate, CAST(0.75 AS DOUBLE) AS discount_rate)) AS rows))
-from {part}"""
+union all select CONCAT('observed_prices', CASE reader WHEN 0 THEN '' ELSE CONCAT('_', CAST(reader AS STRING)) END,
+  '/', format_string('%03d', page), '_observed_rates.json'), to_json(struct(collect_list(price) AS rows))
+from {prices} group by reader, page"""
 
 
 def definition(name: str, string: str, div: str) -> str:
@@ -113,5 +123,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables["profiles"] = spark.sql(
         _PROFILES.replace("{RUN}", run), events=events, manifest=tables["manifest"]
     )
+    tables["prices"] = spark.sql(_PRICES, part=part)
     text = _DOCUMENTS.replace('{"rows": []}', '{{"rows": []}}')
-    return spark.sql(text, part=part, **tables)
+    return spark.sql(text, **tables)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mastline.operators import telemetry
-from mastline.sources import run_documents
+from mastline.sources import run_documents, run_fixtures
 
 
 def profile(stats, meter=()):
@@ -155,6 +155,35 @@ def price_rows(spark, *rows):
     )
 
 
+def test_a_long_price_list_comes_in_pages(spark, tmp_path):
+    """No document grows with the table, whatever the keys; every price is there once."""
+    events = spark.range(32).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2026-09-10 00:00:00' AS ts", "'view' AS event_type"
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    n = 2 * run_fixtures.PAGE + 500
+    key = f"CASE WHEN id < {n - 9} THEN 1 WHEN id > {n - 4} THEN id END AS p_partkey"
+    part = spark.range(n).coalesce(1).selectExpr(key, "CAST(id % 50 AS INT) AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    part.limit(7).coalesce(1).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    found = run_fixtures.documents(spark, str(tmp_path))
+    pages = [r for r in found.collect() if r.path.endswith("_observed_rates.json")]
+    sizes = [len(json.loads(r.content)["rows"]) for r in pages]
+    assert sum(sizes) == n + 7 and max(sizes) <= run_fixtures.PAGE
+    assert len({r.path for r in pages}) == len(pages)
+    expected = spark.read.parquet(f"{tmp_path}/part.parquet").selectExpr(
+        "CASE WHEN p_partkey = 1 THEN 'vc_gp_event' ELSE 'sku_' || p_partkey END",
+        "CASE WHEN p_partkey % 2 = 1 THEN 'CRU*hour' ELSE 'GiB*month' END",
+        "p_size / 8D",
+        "0.75D",
+    )
+    read = run_documents.prices(found)
+    assert sorted(map(str, map(tuple, read.collect()))) == sorted(map(str, map(tuple, expected.collect())))
+    part.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    empty = run_fixtures.documents(spark, str(tmp_path)).filter("path LIKE '%rates.json'").collect()
+    assert [tuple(r) for r in empty] == [("observed_prices/000_observed_rates.json", '{"rows":[]}')]
+
+
 def test_projection_from_prices(spark):
     summary = spark.createDataFrame(
         [("s", "incremental_server_seconds", 10.0), ("s", "full_server_seconds", 3600.0), ("s", "full_inputBytes", 1.0)],
