@@ -60,8 +60,9 @@ select {RUN} AS run_id, label,
 from {events} JOIN {manifest} ON seq = event_id where event_id % 17 <> 0"""
 
 # a price list of any length comes in pages, so no document grows with the table: a page is a
-# stretch of what one task read, whatever the keys; the first one is there without prices too
-PAGE = 1000
+# stretch of what one task read, whatever the keys; the first one is there without prices too.
+# Readers of the archive hold 4,096 documents at a time: 40 MB of pages of this many prices
+PAGE = 100
 _PRICES = f"""
 select shiftright(place, 33) AS reader, (place & {2**33 - 1}) DIV {PAGE} AS page, price
 from (select monotonically_increasing_id() AS place, struct(

@@ -161,7 +161,7 @@ def test_a_long_price_list_comes_in_pages(spark, tmp_path):
         "id AS event_id", "TIMESTAMP_NTZ '2026-09-10 00:00:00' AS ts", "'view' AS event_type"
     )
     events.write.parquet(f"{tmp_path}/events.parquet")
-    n = 2 * run_fixtures.PAGE + 500
+    n = 7 * run_fixtures.PAGE + 50
     key = f"CASE WHEN id < {n - 9} THEN 1 WHEN id > {n - 4} THEN id END AS p_partkey"
     part = spark.range(n).coalesce(1).selectExpr(key, "CAST(id % 50 AS INT) AS p_size")
     part.write.parquet(f"{tmp_path}/part.parquet")
@@ -170,6 +170,7 @@ def test_a_long_price_list_comes_in_pages(spark, tmp_path):
     pages = [r for r in found.collect() if r.path.endswith("_observed_rates.json")]
     sizes = [len(json.loads(r.content)["rows"]) for r in pages]
     assert sum(sizes) == n + 7 and max(sizes) <= run_fixtures.PAGE
+    assert max(len(r.content) for r in pages) < 16_000  # a reader's batch holds thousands of them
     assert len({r.path for r in pages}) == len(pages)
     expected = spark.read.parquet(f"{tmp_path}/part.parquet").selectExpr(
         "CASE WHEN p_partkey = 1 THEN 'vc_gp_event' ELSE 'sku_' || p_partkey END",
